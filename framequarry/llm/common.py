@@ -101,3 +101,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
+
+
+def lower_words_text(text: Column) -> Column:
+    """A text in lower case whose ASCII letters are those of A-Z lower-casing alone.
+
+    `lower` is fast but turns U+0130 and U+212A into text with ASCII letters; texts that hold these take the slow way.
+    """
+    t = F.coalesce(text, F.lit(""))
+    odd = t.contains("İ") | t.contains("K")
+    return F.when(odd, lower_ascii(t)).otherwise(F.lower(t))

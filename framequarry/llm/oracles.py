@@ -46,3 +46,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   {", ".join(f"{_ratio[r]}::BIGINT AS {r}_ratio" for r, *_ in _RULES)}, {", ".join(f"max_{r}" for r, *_ in _RULES)}
 FROM v
 """
+
+_BASE10 = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
+
+def _license_sql() -> str:
+    from .license_scan import TEMPLATES
+
+    rows = [(0 + i, x, y, True) for i, (x, y) in enumerate(_BASE10)] + [(3 + i, x, y, False) for i, (y, x) in enumerate(TEMPLATES)]
+    values = ", ".join(f"({t}, '{x}', '{y}', {e})" for t, x, y, e in rows)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT rid, p, w[p+1] || ' ' || w[p+2] || ' ' || w[p+3] AS gram FROM (SELECT rid, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) >= 3)),
+t AS (SELECT t, string_split(x, ' ') AS tw, label, exact FROM (VALUES {values}) v(t, x, label, exact)),
+tg AS (SELECT t, j, len(tw) AS n, label, exact, tw[j+1] || ' ' || tw[j+2] || ' ' || tw[j+3] AS gram FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS j FROM t)),
+hits AS (SELECT rid, t, n, label, exact, p - j AS d, j FROM g JOIN tg USING (gram)),
+diag AS (SELECT DISTINCT rid, t, exact, d FROM hits),
+new AS (SELECT *, CASE WHEN exact OR d - lag(d) OVER (PARTITION BY rid, t ORDER BY d) > 2 THEN 1 ELSE 0 END AS new FROM diag),
+span AS (SELECT rid, t, d, sum(new) OVER (PARTITION BY rid, t ORDER BY d) AS span FROM new),
+cov AS (SELECT h.rid, h.t, any_value(n) AS n, any_value(label) AS label, any_value(exact) AS exact, min(h.d) AS d, count(DISTINCT j + k) AS c
+  FROM hits h JOIN span s ON h.rid = s.rid AND h.t = s.t AND h.d = s.d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY h.rid, h.t, s.span),
+f AS (SELECT *, c / n::DOUBLE AS share, exact AND c = n AS whole, NOT exact AND c / n::DOUBLE >= 0.7 AS found FROM cov),
+a AS (SELECT rid, count(*) FILTER (whole) AS n_base, min(d) FILTER (whole) AS first_word, max(d) FILTER (whole) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR found) AS labels, max(share) FILTER (whole OR NOT exact) AS score FROM f GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN a USING (rid)
+"""
+
+
+ORACLES["op10_license_scan"] = _license_sql()

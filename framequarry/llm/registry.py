@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .license_scan import op10_license_scan
 from .oracles import ORACLES
 from .quality_rules import op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
