@@ -77,3 +77,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 
 
 ORACLES["op10_license_scan"] = _license_sql()
+
+ORACLES["op9_mix_sources"] = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+s AS (SELECT source, 1.0::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / ((SELECT count(*) FROM n)::DOUBLE * n) AS rate FROM n),
+r AS (SELECT source, rate, greatest(ceil(rate / 32.0), 1)::INT AS draws FROM s),
+pois(source, k, lam, p, c) AS (SELECT source, 0, rate / draws, exp(-(rate / draws)), exp(-(rate / draws)) FROM r
+  UNION ALL SELECT source, k + 1, lam, p * lam / (k + 1), c + p * lam / (k + 1) FROM pois WHERE k < ceil(lam + 12 * sqrt(lam) + 24)),
+d AS (SELECT row_number() OVER () AS rid, * FROM documents),
+u AS (SELECT rid, d.source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || i || ':20'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT d.rid, d.doc_id, d.source, unnest(range(1, draws + 1)) AS i FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source) d),
+c AS (SELECT rid, count(*) AS n FROM u JOIN pois ON u.source IS NOT DISTINCT FROM pois.source AND pois.c <= u.u GROUP BY rid)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM d JOIN c USING (rid)
+"""
+ORACLES["op8_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, *, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, source, ls[i] AS line, i FROM (SELECT rid, doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)
+  WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+b AS (SELECT line, min((doc_id, i)) AS first FROM l GROUP BY line HAVING count(DISTINCT source) >= 5),
+g AS (SELECT rid, list(i) AS gone FROM l JOIN b USING (line) WHERE (doc_id, i) <> first GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM l GROUP BY rid),
+t AS (SELECT d.*, gone, coalesce(n.n, 0) AS n, CASE WHEN gone IS NULL THEN text ELSE array_to_string([ls[i] for i in range(1, len(ls) + 1) if NOT list_contains(gone, i)], chr(10)) END AS t
+  FROM d LEFT JOIN g USING (rid) LEFT JOIN n USING (rid))
+SELECT doc_id, t AS text, lang, source, length(t)::BIGINT AS n_chars, n::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed FROM t
+"""
