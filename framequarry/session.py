@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -24,4 +28,19 @@ def session(app: str = "framequarry", master: str | None = None, **conf: str) ->
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables under `sf_dir`."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of this application, once; they may run on machines that don't have it."""
+    context = spark.sparkContext
+    if getattr(context, "_framequarry_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="framequarry-ship-")) / "framequarry.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))  # Spark's own file server hands it out
+    context._framequarry_shipped = True
