@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table
+
 #: ASCII white space, and what splits words everywhere but in license scans.
 SPACE = r"[\x20\x09-\x0D]"
 WORD_GAP = SPACE + "+"
@@ -15,7 +17,7 @@ LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name)
 
 
 def scratch_dir(spark: SparkSession) -> str:

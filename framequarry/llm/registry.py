@@ -6,12 +6,14 @@ from .license_scan import op10_license_scan
 from .line_dedup import op8_line_dedup
 from .mixing import op9_mix_sources
 from .oracles import ORACLES
+from .packing import op5_best_fit_packing
 from .quality_net import op3_quality_net
 from .quality_rules import op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_net": op3_quality_net,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
