@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .lattice_lm import op4_lattice_lm
 from .license_scan import op10_license_scan
 from .line_dedup import op8_line_dedup
 from .mixing import op9_mix_sources
@@ -13,6 +14,7 @@ from .quality_rules import op2_quality_rules
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_net": op3_quality_net,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
