@@ -6,6 +6,7 @@ from .lattice_lm import op4_lattice_lm
 from .license_scan import op10_license_scan
 from .line_dedup import op8_line_dedup
 from .mixing import op9_mix_sources
+from .near_vectors import op7_near_vectors
 from .oracles import ORACLES
 from .packing import op5_best_fit_packing
 from .quality_net import op3_quality_net
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_net": op3_quality_net,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_near_vectors": op7_near_vectors,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
