@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6_jaccard_join
 from .lattice_lm import op4_lattice_lm
 from .license_scan import op10_license_scan
 from .line_dedup import op8_line_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_net": op3_quality_net,
     "op4_lattice_lm": op4_lattice_lm,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_near_vectors": op7_near_vectors,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
