@@ -1,8 +1,66 @@
-"""A corpus pipeline: stages that each read what the one before kept."""
+"""A corpus pipeline over `documents`: stages that each read, as Parquet, what the one before kept.
 
-STAGES = []
+Ids are those of documents; rows that repeat an id stay or go together. run() writes each stage's rows to the shared
+folder before the next reads them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framequarry.llm import common
+from framequarry.llm.jaccard_join import jaccard_groups
+from framequarry.llm.line_dedup import line_dedup
+from framequarry.llm.mixing import mix
+from framequarry.llm.packing import best_fit_pack
+from framequarry.llm.quality_net import fitted, quality_scores
+
+LEAST_QUALITY = 0.7
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold, by a network trained on the labels."""
+    model = fitted(docs, common.documents(spark, sf_dir, "labels"))
+    return quality_scores(docs, model, docs.columns).where(F.col("net_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that many sites show; every document stays."""
+    return line_dedup(docs).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    kept = jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that all sources have equal shares, in shuffled order."""
+    return mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenized documents placed in sequences."""
+    return best_fit_pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", packing),
+]
+#: A trained network and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.written(docs)
+    return docs

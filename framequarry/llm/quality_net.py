@@ -157,14 +157,15 @@ def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str
     keep = ["doc_id"] if keep is None else keep
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(*keep, F.col("text").alias("net_text"))
+    d = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("net_text"))
+    text_at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
             if b.num_rows == 0:
                 continue
-            raw, off = text_bytes(b.column(len(keep)))
+            raw, off = text_bytes(b.column(text_at))
             score = np.concatenate([scorer(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in runs(off)])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, "net_score"])
 

@@ -12,8 +12,10 @@ from .oracles import ORACLES
 from .packing import op5_best_fit_packing
 from .quality_net import op3_quality_net
 from .quality_rules import op2_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_net": op3_quality_net,
     "op4_lattice_lm": op4_lattice_lm,
