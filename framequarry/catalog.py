@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import identity_queries, section_queries, series_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (identity_queries, section_queries, series_queries):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES

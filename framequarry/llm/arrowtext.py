@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Rows in an Arrow batch: with texts of a few hundred KB a batch stays far below an executor's memory.
-BATCH_ROWS = 512
+#: Bytes and rows in an Arrow batch: with texts of any length a batch stays far below an executor's memory.
+BATCH_BYTES, BATCH_ROWS = "4m", 50_000
 
 
 def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

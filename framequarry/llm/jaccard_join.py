@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents' word shingles, by an inverted index that skips by relations between sets.
 
 Equal sets are one class. Every class puts the head of its set, in an order from rare to frequent shingles, into index
-lists; two sets over the threshold share a shingle of their heads. Lists are sorted by set size and read in blocks;
-sizes and positions tell which entries, and which whole blocks, can't reach the threshold. The first round compares
-each entry with its list's leader only. A set that links with a leader is so similar that it takes over the leader's
-answers (its component); the second round asks only for what these answers leave open: pairs of different components.
+lists; two sets over the threshold share a shingle of their heads. The order counts exactly how many classes offer a
+shingle; shingles of one class only need no list. Lists are sorted by set size and read in blocks; sizes and positions
+tell which entries, and which whole blocks, can't reach the threshold. The first rounds compare entries with their
+lists' leaders only. A set that links with a leader is so similar that it takes over the leader's answers (its
+component); the last round asks only for what these answers leave open: all pairs of different components.
 Candidates lose those whose bitmaps differ in too many bits (a lower bound of the sets' difference); the rest is
 verified on the texts.
 """
@@ -13,9 +14,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,15 @@ from .quality_net import runs
 from .shingles import mixed, shingle_sets
 
 SHINGLE, PERCENT = 4, 85
-#: Counters that order shingles by frequency; only speed depends on them.
-COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 16
+#: Share of all shingles that come first in the order; sets under SMALL_SET shingles offer all of theirs to the index.
+LEVEL_SHARE, SMALL_SET = 0.3, 64
+#: Frequencies are counted up to this number; beyond it shingles are equally frequent.
+MOST_COUNTED = 1024
 BITMAP_WORDS = 16
 #: Entries of a list that are compared, or skipped, together.
 BLOCK = 256
 #: Texts to verify are found by a broadcast of their keys up to so many, else by a shuffled join.
-MAX_BROADCAST_KEYS = 300_000
+MAX_BROADCAST_KEYS = 500_000
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -41,70 +44,129 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
 
 
-def counter_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+def level(h: np.ndarray) -> np.ndarray:
+    """0 for a fixed share of all shingles, 1 for the rest: the first part of the order."""
+    return (mixed(h) >= np.uint64(int(2**64 * LEVEL_SHARE))).astype(np.int64)
 
 
-def frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """About how many documents show the shingles of each counter, on a logarithmic scale in one byte each.
+def head_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
 
-    The counters' number is fixed; tasks add theirs and Spark sums them in blocks.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.uint16)
-        for b in batches:
-            for s in sets_of(b.column(0), k):
-                at = counter_of(s)
-                n[at] = np.minimum(n[at], 65534) + 1
-        for i in range(0, COUNTERS, COUNTER_BLOCK):
-            part = n[i : i + COUNTER_BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // COUNTER_BLOCK]), pa.array([part.tobytes()], pa.binary())], names=["part", "n"])
-
-    def add(x: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(COUNTER_BLOCK)
-        for n in x["n"]:
-            total += np.frombuffer(n, np.uint16)
-        return pd.DataFrame({"part": x["part"].iloc[:1], "n": [np.round(6 * np.log2(1 + total)).astype(np.uint8).tobytes()]})
-
-    got = docs.select("text").mapInArrow(run, "part long, n binary").groupBy("part").applyInPandas(add, "part long, n binary")
-    out = np.zeros(COUNTERS, np.uint8)
-    for r in got.collect():  # COUNTERS bytes in all
-        out[r.part * COUNTER_BLOCK : (r.part + 1) * COUNTER_BLOCK] = np.frombuffer(r.n, np.uint8)
-    return out
-
-
-def profiled(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, kd (row key), n, d1, d2 (digest of the set; null if empty), head, bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def profiled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, kd (row key), n, m0, m1 (shingles offered to the index by level), d1, d2 (digest of the set; null if empty), bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for b in batches:
-            n, d1, d2, head, bits = [], [], [], [], []
+            n, m0, m1, d1, d2, bits = [], [], [], [], [], []
             for s in sets_of(b.column(2), k):
                 n.append(len(s))
                 if not len(s):
-                    d1.append(None), d2.append(None), head.append(None), bits.append(None)
+                    m0.append(0), m1.append(0), d1.append(None), d2.append(None), bits.append(None)
                     continue
                 x, y = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 d1.append(int(x)), d2.append(int(y))
-                m = len(s) - -(-percent * len(s) // 100) + 1
-                # rank: frequency above, hash below; the order is total up to 2**-56
-                rank = (often[counter_of(s)].astype(np.uint64) << np.uint64(56)) | (mixed(s) >> np.uint64(8))
-                take = np.argpartition(rank, m - 1)[:m] if m < len(s) else np.arange(len(s))
-                head.append(s[take[np.argsort(rank[take])]].view(np.int64))
+                first = int((level(s) == 0).sum())
+                m0.append(first), m1.append(len(s) - first if offers_all(len(s), first, percent) else 0)
                 bit = np.zeros(BITMAP_WORDS * 64, np.uint8)
                 bit[(s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = 1
                 bits.append(np.packbits(bit).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(head, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "kd", "n", "d1", "d2", "head", "bits"])
+                [b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in (n, m0, m1, d1, d2)], pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "kd", "n", "m0", "m1", "d1", "d2", "bits"])
 
     return docs.select("doc_id", "kd", "text").mapInArrow(
-        run, f"doc_id {kind}, kd long, n long, d1 long, d2 long, head array<bigint>, bits array<bigint>")
+        run, f"doc_id {kind}, kd long, n long, m0 long, m1 long, d1 long, d2 long, bits array<bigint>")
+
+
+def offers_all(n: int, first: int, percent: int) -> bool:
+    """Whether a set offers shingles of both levels: small ones, and those whose first level can't fill the head."""
+    return n < SMALL_SET or first < head_length(n, percent)
+
+
+def offered(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """token, cid: the shingles that each class offers to the index."""
+    d = docs.select("kd", "text").join(common.small(classes.select("kd", "cid"), MAX_BROADCAST_KEYS), "kd").select("cid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid = b.column(0).to_numpy()
+            tokens = []
+            for s in sets_of(b.column(1), k):
+                first = level(s) == 0
+                tokens.append(s if not len(s) or offers_all(len(s), int(first.sum()), percent) else s[first])
+            t = np.concatenate([np.empty(0, np.uint64), *tokens]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(cid, [len(x) for x in tokens]))], names=["token", "cid"])
+
+    return d.mapInArrow(run, "token long, cid long")
+
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """token, cid, df: rows of tokens that two classes or more offer, with their number (up to MOST_COUNTED)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, cid, over = np.empty(0, np.int64), np.empty(0, np.int64), None
+        out = lambda t, c, n: pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(np.minimum(n, MOST_COUNTED))], names=["token", "cid", "df"])
+        for b in batches:
+            token = np.concatenate([token, b.column(0).to_numpy()])
+            cid = np.concatenate([cid, b.column(1).to_numpy()])
+            if not len(token):
+                continue
+            cut = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1])
+            size = np.diff(np.append(cut, len(token)))
+            if over == token[0]:
+                size[0] = MOST_COUNTED
+            n = np.repeat(size, np.diff(np.append(cut, len(token))))
+            # the last token may go on, unless it is past counting already
+            end = len(token) if size[-1] >= MOST_COUNTED else cut[-1]
+            over = token[-1] if end == len(token) else None
+            keep = n[:end] > 1
+            if keep.any():
+                yield out(token[:end][keep], cid[:end][keep], n[:end][keep])
+            token, cid = token[end:], cid[end:]
+        if len(token) > 1:
+            yield out(token, cid, np.full(len(token), len(token)))
+
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, cid long, df long")
+
+
+def heads(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """token, n, cid, pos: the shared shingles in the heads of the sets, rare ones first.
+
+    A set's shingles that no other set offers stand before the shared ones of their level; their number is enough.
+    """
+    rows = shared.join(classes.select("cid", "n", "m0", "m1"), "cid").select("cid", "n", "m0", "m1", "token", "df")
+    rows = rows.repartition("cid").sortWithinPartitions("cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            x = None if b is None else [c.to_numpy() for c in b.columns]
+            if held is not None:
+                x = held if x is None else [np.concatenate([h, c]) for h, c in zip(held, x)]
+            if x is None or not len(x[0]):
+                continue
+            # the last class may go on
+            end = len(x[0]) if b is None else int(np.flatnonzero(np.append(x[0][-1] + 1, x[0]) != x[0][-1])[-1])
+            held = [c[end:] for c in x]
+            cid, n, m0, m1, token, df = (c[:end] for c in x)
+            if not len(cid):
+                continue
+            lev = level(token.view(np.uint64))
+            order = np.lexsort((token, df, lev, cid))
+            cid, n, m0, m1, token, df, lev = (c[order] for c in (cid, n, m0, m1, token, df, lev))
+            start = np.concatenate([[0], np.flatnonzero(cid[1:] != cid[:-1]) + 1])
+            size = np.diff(np.append(start, len(cid)))
+            in0 = np.add.reduceat((lev == 0).astype(np.int64), start)
+            at = np.arange(len(cid)) - np.repeat(start, size)
+            shared0 = np.repeat(in0, size)
+            # before a shared one of level 0: the unshared of level 0; of level 1: all of level 0 and the unshared of level 1
+            pos = np.where(lev == 0, m0 - shared0 + at, m0 + (m1 - np.repeat(size - in0, size)) + at - shared0)
+            keep = pos < head_length(n, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, n, cid, pos)], names=["token", "n", "cid", "pos"])
+
+    return rows.mapInArrow(run, "token long, n long, cid long, pos long")
 
 
 def can_link(n1, p1, n2, p2, percent: int):
@@ -137,17 +199,17 @@ def unique_pairs(found: list[np.ndarray]) -> np.ndarray:
 
 
 def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): list leaders with entries that can link; entries sorted by token, n, cid."""
+    """(a, b): list leaders with entries of other components that can link; (token, n, cid, pos, component), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
-        for _, n, cid, pos in lists(batches):
+        for _, n, cid, pos, comp in lists(batches):
             at = 0
             while at < len(n) - 1:
                 # up to the first entry that is too large for this leader
                 to = int(np.searchsorted(n * percent, 100 * n[at], "right"))
                 i = np.arange(at + 1, to)
-                i = i[can_link(n[at], pos[at], n[i], pos[i], percent) & (cid[i] != cid[at])]
+                i = i[(comp[i] != comp[at]) & can_link(n[at], pos[at], n[i], pos[i], percent)]
                 found.append(np.stack([np.minimum(cid[at], cid[i]), np.maximum(cid[at], cid[i])], 1))
                 rows += len(i)
                 at = max(to, at + 1)
@@ -158,7 +220,7 @@ def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
         p = unique_pairs(found)
         yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    return entries.mapInArrow(run, "a long, b long")
 
 
 def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -247,32 +309,30 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     one; repeated rows link; an empty table gives an empty result; texts of any length are read whole; further columns
     are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("kd"), "text")
-    rows = common.written(profiled(d, k, percent, frequencies(d, k)))
+    rows = common.written(profiled(d, k, percent))
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("low"), F.min("kd").alias("kd"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"))
+        F.min("doc_id").alias("low"), F.min("kd").alias("kd"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "bits")])
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")  # of short rows
-    entries = classes.select("n", "cid", F.posexplode("head").alias("pos", "token")).select("token", "n", "cid", F.col("pos").cast("long").alias("pos"))
-    # lists of one entry go before anything is sorted
-    listed = common.written(entries.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(kept_lists, entries.schema))
-    order = lambda x: x.repartition("token").sortWithinPartitions("token", "n", "cid")
-    tested = common.written(by_bitmap(leader_pairs(order(listed), percent), classes, percent))
-    small_batches(spark)
-    links = common.written(verified(tested, classes, d, k, percent))
-    comp = common.written(common.components(links))
-    label = classes.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
-    left = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    more = open_pairs(order(left), percent).join(tested, ["a", "b"], "left_anti")
-    more = common.written(by_bitmap(more, classes, percent))
-    small_batches(spark)
-    if not more.isEmpty():
-        links = links.unionAll(common.written(verified(more, classes, d, k, percent)))
+    tokens = offered(d, classes, k, percent)
+    listed = common.written(heads(shared_tokens(tokens), classes, percent))
+    label = classes.select("cid", F.col("cid").alias("component"))
+    links = tested = None
+    for ask in (first_leaders, leader_pairs, open_pairs):
+        # what components leave open; pairs that were tested before are settled
+        entries = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
+        pairs = ask(entries.repartition("token").sortWithinPartitions("token", "n", "cid"), percent).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = common.written(by_bitmap(pairs, classes, percent))
+        if pairs.isEmpty():
+            continue
+        new = common.written(verified(pairs, classes, d, k, percent))
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        links = new if links is None else links.unionAll(new)
         comp = common.components(links)
-        label = classes.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
+        label = common.written(classes.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")))
     found = label.join(classes.select("cid", "d1", "d2", "low"), "cid")
     lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
     found = found.join(lowest, "component").select("d1", "d2", "component_id")
@@ -280,22 +340,9 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def kept_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose token occurs twice or more; sorted input, of which no more than a row is held back."""
-    last, waiting = None, None
-    for b in batches:
-        key = b.column(0).to_numpy()
-        if not len(key):
-            continue
-        twice = np.zeros(len(key), bool)
-        twice[1:] = key[1:] == key[:-1]
-        twice[:-1] |= twice[1:]
-        if last is not None and key[0] == last:
-            twice[0] = True
-            if waiting is not None:
-                yield waiting
-        last, waiting = key[-1], None if twice[-1] else b.slice(len(key) - 1)
-        yield b.filter(pa.array(twice))
+def first_leaders(entries: DataFrame, percent: int) -> DataFrame:
+    """Of each entry's leaders the smallest: one pair for each set, after which groups of copies are one component."""
+    return leader_pairs(entries, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,18 +24,18 @@ from .arrowtext import small_batches, text_bytes
 LENGTH, END_ID, GROUP = 2048, 0, 25_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers (some 200 bytes each); beyond that it starts anew.
-MAX_CACHE = 500_000
+MAX_CACHE = 1_000_000
 
 _loaded: dict = {}
 
 
 def word_ids(path: str):
-    """(tokenizer, cache) of this worker process; the cache holds the ids of words as little-endian 32-bit numbers."""
+    """(tokenizer, ids by word, ids by part of a word) of this worker process; ids are little-endian 32-bit numbers."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), {}, {})
     return _loaded[path]
 
 
@@ -44,20 +44,37 @@ def encoded(raw: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
 
     No token of this tokenizer holds white space and none spans it, so the ids of a text are those of its words in turn.
     """
-    tokenizer, cache = word_ids(path)
+    tokenizer, cache, part_ids = word_ids(path)
     data = raw.tobytes()
     split = [data[a:b].split() for a, b in zip(off[:-1], off[1:])]
-    fresh = list({w for ws in split for w in ws if w not in cache})
+    fresh = set().union(*split)
     if len(cache) + len(fresh) > MAX_CACHE:
-        cache.clear()
-        fresh = list({w for ws in split for w in ws})
-    for i in range(0, len(fresh), 10_000):
-        part = fresh[i : i + 10_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        cache.clear(), part_ids.clear()
+    fresh = [w for w in fresh if w not in cache]
+    parts = [word_parts(w.decode()) for w in fresh]
+    new = list({p for pair in parts for p in pair if p not in part_ids})
+    for i in range(0, len(new), 10_000):
+        some = new[i : i + 10_000]
+        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            part_ids[p] = np.array(e.ids, "<u4").tobytes()
+    for w, (a, b) in zip(fresh, parts):
+        cache[w] = part_ids[a] + part_ids[b]
     return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
 
+def word_parts(w: str) -> tuple[str, str]:
+    """A word as two strings whose ids in turn are the word's.
+
+    The tokenizer reads ASCII letters in lower case (its special tokens apart), and a mark behind a letter is a token
+    of its own, unless lower case or normal form end the letter in a combining mark, as none of Latin up to U+017F but
+    U+0130 does.
+    """
+    if w.isascii() and "<|" not in w:
+        w = w.lower()
+    apart = len(w) > 1 and w[-1] in ".,!" and w[-2].isalpha() and w[-2] <= "\u017f" and w[-2] != "\u0130"
+    return (w[:-1], w[-1]) if apart else (w, "")
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     small_batches(docs.sparkSession)

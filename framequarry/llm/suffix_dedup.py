@@ -102,18 +102,35 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def record_table(d: DataFrame, length: int, q: int) -> DataFrame:
-    """rank, digest, id, kd, at (sampled place), span (distance of the first start << 8 | of the last)."""
+    """rank, digest, id, kd, at (sampled place << 16 | distance of the first start << 8 | of the last), copy.
+
+    Of equal records that a task meets in one batch only the earliest goes to its bucket. The others are copies for
+    certain; they travel by a rank of their own, so that no bucket grows with the number of its copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, kd = b.column(0).to_numpy(), b.column(1).to_numpy()
             raw, off = text_bytes(b.column(2))
-            for row, rank, digest, s, e, at in sliced_records(raw, off, length, q):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rank.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array((at << 16) | ((at - s) << 8) | (at - e)),
-                     pa.array((kd[row] & 0x7FFFFFFF).astype(np.int32))], names=["rank", "digest", "id", "at", "kd"])
+            parts = list(sliced_records(raw, off, length, q))
+            if not parts:
+                continue
+            row, rank, digest, s, e, at = (np.concatenate(x) for x in zip(*parts))
+            ident, at = ids[row], (at << 16) | ((at - s) << 8) | (at - e)
+            order = np.lexsort((at, ident, digest, rank))
+            row, rank, digest, ident, at = (x[order] for x in (row, rank, digest, ident, at))
+            first = np.ones(len(row), bool)
+            first[1:] = (rank[1:] != rank[:-1]) | (digest[1:] != digest[:-1])
+            of = np.flatnonzero(first)[np.cumsum(first) - 1]
+            # what repeats the very place of the earliest comes of a repeated row and says nothing new
+            keep = first | (ident != ident[of]) | (at != at[of])
+            rank = np.where(first, rank, mixed(ident.view(np.uint64) + mixed(at.view(np.uint64))))
+            row, rank, digest, ident, at, first = (x[keep] for x in (row, rank, digest, ident, at, first))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rank.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ident), pa.array(at), pa.array((kd[row] & 0x7FFFFFFF).astype(np.int32)), pa.array(~first)],
+                names=["rank", "digest", "id", "at", "kd", "copy"])
 
-    return d.select("id", "kd", "text").mapInArrow(run, "rank long, digest long, id long, at long, kd int")
+    return d.select("id", "kd", "text").mapInArrow(run, "rank long, digest long, id long, at long, kd int, copy boolean")
 
 
 def settled(table: DataFrame, length: int) -> DataFrame:
@@ -129,7 +146,10 @@ def settled(table: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(rank), pa.array(ids), pa.array(kd), pa.array(at), lo, hi], names=["rank", "id", "kd", "at", "lo", "hi"])
 
         for b in batches:
-            rank, digest, ids, at, kd = (c.to_numpy() for c in b.columns)
+            rank, digest, ids, at, kd, copy = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if copy.any():
+                yield out(rank[copy], ids[copy], kd[copy], at[copy], True)
+                rank, digest, ids, at, kd = (x[~copy] for x in (rank, digest, ids, at, kd))
             if not len(rank):
                 continue
             first = np.ones(len(rank), bool)
@@ -166,7 +186,7 @@ def settled(table: DataFrame, length: int) -> DataFrame:
             last = (rank[-1], digest[-1])
 
     kinds = "rank long, id long, kd int, at long, lo long, hi long"
-    return table.repartition("rank").sortWithinPartitions("rank", "digest", "id", "at").select("rank", "digest", "id", "at", "kd").mapInArrow(run, kinds)
+    return table.repartition("rank").sortWithinPartitions("rank", "digest", "id", "at").select("rank", "digest", "id", "at", "kd", "copy").mapInArrow(run, kinds)
 
 
 def with_texts(d: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
@@ -334,21 +354,16 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text: b
     that repeat id and text get equal results and none is earlier; an empty table gives an empty result; further
     columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     d = keyed(docs)
     table = record_table(d, length, q)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # of short rows
     known = common.written(settled(table, length))
-    small_batches(spark)
     copies = known.where("lo is not null").select("id", "kd", "lo", "hi")
     firsts = known.where("lo is null").select("rank", "id", "kd", "at")
     size = firsts.groupBy("rank").agg(F.count("*").alias("size"))
     firsts = firsts.join(size, "rank").withColumn("big", F.col("size") > most_together)
     parts = common.written(suffixes(d, firsts, length))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     sorted_out = common.written(sorted_buckets(parts.where("not big"), length).unionAll(dealt_suffixes(parts.where("big"))))
-    small_batches(spark)
     ranges = copies.unionAll(sorted_out)
     return without_repeats(d, ranges, length, with_text)
 
