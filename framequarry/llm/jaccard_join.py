@@ -179,8 +179,8 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of each list with two entries or more, from batches sorted by the first column; lists may span batches."""
     held = None
     for b in batches:
-        x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
+        x = [np.array(c.flatten()).reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None and len(x[0]):
             x = [np.concatenate([h, c]) for h, c in zip(held, x)]
         key = x[0]
         if not len(key):
@@ -224,14 +224,15 @@ def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component), sorted.
+    """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component, bits), sorted.
 
-    Two blocks are skipped if their sizes or the best of their positions rule all pairs out.
+    Two blocks are skipped if their sizes or the best of their positions rule all pairs out. Entries bring their
+    bitmaps, so that a list of sets that resemble each other too little gives no pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
-        for _, n, cid, pos, comp in lists(batches):
+        for _, n, cid, pos, comp, bits in lists(batches):
             if (comp == comp[0]).all():
                 continue
             edges = range(0, len(n), BLOCK)
@@ -251,6 +252,9 @@ def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     p, q = p.ravel(), q.ravel()
                     ok = (p < q) & (comp[p] != comp[q]) & can_link(n[p], pos[p], n[q], pos[q], percent)
                     p, q = p[ok], q[ok]
+                    both = n[p] + n[q]
+                    ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1) <= both - 2 * -(-percent * both // (100 + percent))
+                    p, q = p[ok], q[ok]
                     found.append(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])], 1))
                     rows += len(p)
                     if rows > 200_000:
@@ -318,21 +322,20 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     tokens = offered(d, classes, k, percent)
     listed = common.written(heads(shared_tokens(tokens), classes, percent))
     label = classes.select("cid", F.col("cid").alias("component"))
-    links = tested = None
+    tested = None
     for ask in (first_leaders, leader_pairs, open_pairs):
         # what components leave open; pairs that were tested before are settled
         entries = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
+        if ask is open_pairs:
+            entries = entries.join(classes.select("cid", "bits"), "cid").select(*entries.columns, "bits")
         pairs = ask(entries.repartition("token").sortWithinPartitions("token", "n", "cid"), percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(by_bitmap(pairs, classes, percent))
+        pairs = common.written(pairs if ask is open_pairs else by_bitmap(pairs, classes, percent))
         if pairs.isEmpty():
             continue
-        new = common.written(verified(pairs, classes, d, k, percent))
         tested = pairs if tested is None else tested.unionAll(pairs)
-        links = new if links is None else links.unionAll(new)
-        comp = common.components(links)
-        label = common.written(classes.select("cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")))
+        label = common.written(merged(label, verified(pairs, classes, d, k, percent)))
     found = label.join(classes.select("cid", "d1", "d2", "low"), "cid")
     lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
     found = found.join(lowest, "component").select("d1", "d2", "component_id")
@@ -340,6 +343,14 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """cid, component with the components joined that `links` (a, b) connect; links within one are left out first."""
+    of = lambda x: label.select(F.col("cid").alias(x), F.col("component").alias(f"{x}_of"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("a_of <> b_of").select("a_of", "b_of")
+    comp = common.components(between, "a_of", "b_of").withColumnRenamed("component", "joined")
+    return label.withColumnRenamed("component", "node").join(comp, "node", "left").select("cid", F.coalesce("joined", "node").alias("component"))
+
+
 def first_leaders(entries: DataFrame, percent: int) -> DataFrame:
     """Of each entry's leaders the smallest: one pair for each set, after which groups of copies are one component."""
     return leader_pairs(entries, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
