@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import identity_queries, section_queries, series_queries
+from .plans import identity_queries, policy_queries, section_queries, series_queries, storage_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (identity_queries, section_queries, series_queries):
+for _m in (identity_queries, section_queries, series_queries, storage_queries, policy_queries):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
