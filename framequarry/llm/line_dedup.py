@@ -57,17 +57,19 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source"
     gone = lines.join(bad, ["h1", "h2"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("dedup_gone"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(*own, F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(7), "doc_id").alias("k2"))
+    # the row travels as one column, so that its names never meet those used here
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    d = docs.select(F.struct(*own).alias("doc"))
+    d = d.select("doc", F.xxhash64("doc.doc_id", text).alias("k1"), F.xxhash64(text, F.lit(7), "doc.doc_id").alias("k2"))
     d = d.join(gone, ["k1", "k2"], "left").withColumn("dedup_lines", F.split(text, "\n"))
     stay = F.filter("dedup_lines", lambda x, i: ~F.array_contains("dedup_gone", i))
-    new = F.when(F.col("dedup_gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    new = F.when(F.col("dedup_gone").isNull(), F.col("doc.text")).otherwise(F.array_join(stay, "\n"))
     count = F.size(F.filter("dedup_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    out = d.withColumn("n_lines", count.cast("long")).withColumn(
-        "n_removed", F.coalesce(F.size("dedup_gone"), F.lit(0)).cast("long")).withColumn("text", new)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*own, "n_lines", "n_removed")
+    d = d.withColumn("dedup_text", new)
+    changed = {"text": F.col("dedup_text"), "n_chars": F.length("dedup_text").cast("long")}
+    return d.select(
+        *[changed.get(c, F.col("doc")[c]).alias(c) for c in own],
+        count.cast("long").alias("n_lines"), F.coalesce(F.size("dedup_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

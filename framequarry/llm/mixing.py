@@ -66,14 +66,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     """
     own = [c for c in docs.columns if c != "copy"]
     table = common.small(rates(docs, weights, total), MAX_BROADCAST_SOURCES)
-    j = docs.select(*own).join(table, F.col("source").eqNullSafe(F.col("mix_source")))
-    draw = lambda r: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.col("doc_id"), r, F.lit(seed))))
+    # the row travels as one column, so that its names never meet those used here
+    j = docs.select(F.struct(*own).alias("mix_doc")).join(table, F.col("mix_doc.source").eqNullSafe(F.col("mix_source")))
+    draw = lambda r: F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.col("mix_doc.doc_id"), r, F.lit(seed))))
     count = F.when(F.col("mix_draws") == 1, draw(F.lit(1))).otherwise(F.aggregate(
         F.sequence(F.lit(1), F.col("mix_draws")), F.lit(0), lambda acc, r: acc + draw(r)))
     j = j.withColumn("mix_count", count).where("mix_count > 0")
-    j = j.select(*own, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
-    place = F.xxhash64(F.col("doc_id"), F.col("copy"), F.lit(seed))
-    return j.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place").drop("mix_place")
+    j = j.select("mix_doc", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    place = F.xxhash64(F.col("mix_doc.doc_id"), F.col("copy"), F.lit(seed))
+    return j.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place").select("mix_doc.*", "copy")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
