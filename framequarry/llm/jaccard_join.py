@@ -31,7 +31,8 @@ SHINGLE, PERCENT = 4, 85
 LEVEL_SHARE, SMALL_SET = 0.3, 64
 #: Frequencies are counted up to this number; beyond it shingles are equally frequent.
 MOST_COUNTED = 1024
-BITMAP_WORDS = 16
+#: Parity bitmaps have so many words of 64 bits; they stay sharp while two sets differ in fewer shingles than half their bits.
+BITMAP_WORDS = 32
 #: Entries of a list that are compared, or skipped, together.
 BLOCK = 256
 #: Texts to verify are found by a broadcast of their keys up to so many, else by a shuffled join.
@@ -69,9 +70,9 @@ def profiled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 d1.append(int(x)), d2.append(int(y))
                 first = int((level(s) == 0).sum())
                 m0.append(first), m1.append(len(s) - first if offers_all(len(s), first, percent) else 0)
-                bit = np.zeros(BITMAP_WORDS * 64, np.uint8)
-                bit[(s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = 1
-                bits.append(np.packbits(bit).view(np.int64))
+                # parities: what two sets share cancels, so two bitmaps differ in no more bits than the sets do in shingles
+                odd = np.bincount((s & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in (n, m0, m1, d1, d2)], pa.array(bits, pa.list_(pa.int64()))],
                 names=["doc_id", "kd", "n", "m0", "m1", "d1", "d2", "bits"])
