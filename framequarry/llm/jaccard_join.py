@@ -254,7 +254,7 @@ def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     ok = (p < q) & (comp[p] != comp[q]) & can_link(n[p], pos[p], n[q], pos[q], percent)
                     p, q = p[ok], q[ok]
                     both = n[p] + n[q]
-                    ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1) <= both - 2 * -(-percent * both // (100 + percent))
+                    ok = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(1) <= both - 2 * -(-percent * both // (100 + percent))
                     p, q = p[ok], q[ok]
                     found.append(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])], 1))
                     rows += len(p)
