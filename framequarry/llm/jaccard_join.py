@@ -3,11 +3,11 @@
 Equal sets are one class. Every class puts the head of its set, in an order from rare to frequent shingles, into index
 lists; two sets over the threshold share a shingle of their heads. The order counts exactly how many classes offer a
 shingle; shingles of one class only need no list. Lists are sorted by set size and read in blocks; sizes and positions
-tell which entries, and which whole blocks, can't reach the threshold. The first rounds compare entries with their
-lists' leaders only. A set that links with a leader is so similar that it takes over the leader's answers (its
-component); the last round asks only for what these answers leave open: all pairs of different components.
-Candidates lose those whose bitmaps differ in too many bits (a lower bound of the sets' difference); the rest is
-verified on the texts.
+tell which entries, and which whole blocks, can't reach the threshold. The first round compares entries with their
+lists' leaders only; two more ask for one partner of each set outside its component. A set that links is so similar
+that it takes over its partner's answers (its component); the last round asks only for what these answers leave open:
+all pairs of different components. Candidates lose those whose bitmaps differ in too many bits (a lower bound of the
+sets' difference); the rest is verified on the texts.
 """
 
 from __future__ import annotations
@@ -224,12 +224,19 @@ def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return entries.mapInArrow(run, "a long, b long")
 
 
-def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def lowest_partners(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b) sorted by a, the first of each b."""
+    return pairs[np.unique(pairs[:, 1], return_index=True)[1]]
+
+
+def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> DataFrame:
     """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component, bits), sorted.
 
     Two blocks are skipped if their sizes or the best of their positions rule all pairs out. Entries bring their
-    bitmaps, so that a list of sets that resemble each other too little gives no pairs.
+    bitmaps, so that a list of sets that resemble each other too little gives no pairs. With `one_each` only the
+    smallest a of each b stays.
     """
+    chosen = lambda found: lowest_partners(unique_pairs(found)) if one_each else unique_pairs(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
@@ -259,13 +266,19 @@ def open_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     found.append(np.stack([np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])], 1))
                     rows += len(p)
                     if rows > 200_000:
-                        u = unique_pairs(found)
+                        u = chosen(found)
                         found, rows = [], 0
                         yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
-        u = unique_pairs(found)
+        u = chosen(found)
         yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
 
-    return entries.mapInArrow(run, "a long, b long").distinct()
+    pairs = entries.mapInArrow(run, "a long, b long")
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one_each else pairs.distinct()
+
+
+def first_open(entries: DataFrame, percent: int) -> DataFrame:
+    """One pair for each set that can link beyond its component: few pairs join a group whose members mostly link."""
+    return open_pairs(entries, percent, one_each=True)
 
 
 def by_bitmap(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -324,15 +337,15 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     listed = common.written(heads(shared_tokens(tokens), classes, percent))
     label = classes.select("cid", F.col("cid").alias("component"))
     tested = None
-    for ask in (first_leaders, leader_pairs, open_pairs):
+    for ask in (first_leaders, first_open, first_open, open_pairs):
         # what components leave open; pairs that were tested before are settled
         entries = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
-        if ask is open_pairs:
+        if ask is not first_leaders:
             entries = entries.join(classes.select("cid", "bits"), "cid").select(*entries.columns, "bits")
         pairs = ask(entries.repartition("token").sortWithinPartitions("token", "n", "cid"), percent).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(pairs if ask is open_pairs else by_bitmap(pairs, classes, percent))
+        pairs = common.written(by_bitmap(pairs, classes, percent) if ask is first_leaders else pairs)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionAll(pairs)
