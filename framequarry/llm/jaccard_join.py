@@ -4,7 +4,7 @@ Equal sets are one class. Every class puts the head of its set, in an order from
 lists; two sets over the threshold share a shingle of their heads. The order counts exactly how many classes offer a
 shingle; shingles of one class only need no list. Lists are sorted by set size and read in blocks; sizes and positions
 tell which entries, and which whole blocks, can't reach the threshold. The first round compares entries with their
-lists' leaders only; two more ask for one partner of each set outside its component. A set that links is so similar
+lists' leaders only; three more ask for one partner of each set outside its component. A set that links is so similar
 that it takes over its partner's answers (its component); the last round asks only for what these answers leave open:
 all pairs of different components. Candidates lose those whose bitmaps differ in too many bits (a lower bound of the
 sets' difference); the rest is verified on the texts.
@@ -224,19 +224,20 @@ def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return entries.mapInArrow(run, "a long, b long")
 
 
-def lowest_partners(pairs: np.ndarray) -> np.ndarray:
-    """Of pairs (a, b) sorted by a, the first of each b."""
-    return pairs[np.unique(pairs[:, 1], return_index=True)[1]]
+def one_partner(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (a, b) one of each b, picked by a hash, so that no a stands in the way of all others."""
+    order = np.lexsort((mixed(mixed(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64)), pairs[:, 1]))
+    return pairs[order][np.unique(pairs[order, 1], return_index=True)[1]]
 
 
 def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> DataFrame:
     """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component, bits), sorted.
 
     Two blocks are skipped if their sizes or the best of their positions rule all pairs out. Entries bring their
-    bitmaps, so that a list of sets that resemble each other too little gives no pairs. With `one_each` only the
-    smallest a of each b stays.
+    bitmaps, so that a list of sets that resemble each other too little gives no pairs. With `one_each` only
+    one a of each b stays.
     """
-    chosen = lambda found: lowest_partners(unique_pairs(found)) if one_each else unique_pairs(found)
+    chosen = lambda found: one_partner(unique_pairs(found)) if one_each else unique_pairs(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
@@ -273,7 +274,7 @@ def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
 
     pairs = entries.mapInArrow(run, "a long, b long")
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if one_each else pairs.distinct()
+    return pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b") if one_each else pairs.distinct()
 
 
 def first_open(entries: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +338,7 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     listed = common.written(heads(shared_tokens(tokens), classes, percent))
     label = classes.select("cid", F.col("cid").alias("component"))
     tested = None
-    for ask in (first_leaders, first_open, first_open, open_pairs):
+    for ask in (first_leaders, first_open, first_open, first_open, open_pairs):
         # what components leave open; pairs that were tested before are settled
         entries = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
         if ask is not first_leaders:

@@ -179,8 +179,21 @@ def test_jaccard(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs).collect()} == {d: (len(s), low[d]) for d, s in sets.items()}
 
 
+def test_jaccard_bitmaps(spark):
+    """Pairs over the threshold stay, whatever the sign of the words in which their bitmaps differ."""
+    rng = np.random.default_rng(2)
+    bits = rng.integers(-(2**63), 2**63, (400, jaccard_join.BITMAP_WORDS))
+    bits[1::2] = bits[::2]
+    bits[1::2, 0] ^= np.int64(-(2**63)) | np.int64(1) << rng.integers(0, 60, 200)  # two shingles differ, one of them by the top bit
+    rows = [(i // 2, 100, i, 0, i, bits[i].tolist()) for i in range(400)]
+    entries = spark.createDataFrame(rows, "token long, n long, cid long, pos long, component long, bits array<bigint>").coalesce(1)
+    entries = entries.sortWithinPartitions("token", "n", "cid")
+    for ask in (jaccard_join.open_pairs, jaccard_join.first_open):
+        assert sorted(map(tuple, ask(entries, 85).collect())) == [(i, i + 1) for i in range(0, 400, 2)]
+
+
 def test_near_vectors(spark):
-    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    e =spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rng = np.random.default_rng(5)
     base = [np.array(r.embedding, float) for r in e.orderBy("vec_id").limit(60).collect()]
     more = [(100_000 + 10 * i + k, (v + rng.normal(0, 0.03, len(v))).astype(np.float32).tolist()) for i, v in enumerate(base) for k in range(3)]
