@@ -17,6 +17,8 @@ from framequarry.llm.packing import best_fit_pack
 from framequarry.llm.quality_net import fitted, quality_scores
 
 LEAST_QUALITY = 0.7
+#: Near-duplicates of the stage share so many percent of their shingles of so many words; op6 by itself has its own.
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    kept = jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    groups = jaccard_groups(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 

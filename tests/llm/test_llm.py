@@ -245,3 +245,29 @@ def test_pipeline(spark):
         assert new.columns == documents(spark).columns, name
         docs = spark.createDataFrame(new.collect(), new.schema)
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    """run() against brute force: good documents of one source, among them pairs of a similarity between 0.80 and 0.85."""
+    base = {i: [f"w{i}x{j}" for j in range(60)] for i in range(40)}
+    rows = {i: w for i, w in base.items()}
+    for i in range(40):  # a longer copy, one with a changed block, and one that stays below the threshold
+        rows[100 + i] = base[i] + [f"more{i}x{j}" for j in range((10, 12, 13)[i % 3])]
+        rows[200 + i] = base[i][:25] + [f"new{i}x{j}" for j in range(2 + i % 2)] + base[i][27 + i % 2 :]
+        rows[300 + i] = base[i] + [f"far{i}x{j}" for j in range(20)]
+    text = {i: " ".join(w) for i, w in rows.items()}
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in text.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in text], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in rows.items()}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert sum(0.8 <= share(a, b) < 0.85 for a, b in itertools.combinations(rows, 2)) >= 40
+    low = {i: i for i in rows}
+    for a, b in sorted((a, b) for a, b in itertools.combinations(sorted(rows), 2) if share(a, b) >= 0.8) * 3:
+        low[a] = low[b] = min(low[a], low[b])
+
+    def copies(i: int) -> int:
+        u = int(hashlib.md5(f"{i}:1:20".encode()).hexdigest()[:12], 16) / 2**48
+        return sum(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) <= u for n in range(30))
+
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == +Counter({i: copies(i) for i in rows if low[i] == i})
