@@ -30,7 +30,8 @@ MAX_COUNTER = 300_000
 MAX_FREQUENT = 200_000
 #: Added to each piece's expected count, so that all stay possible.
 ADDED = 0.01
-LONGEST, MANY = 16, 64
+#: Words over so many bytes are summed one at a time, in linear time.
+MANY = 64
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.float64(-np.inf)
 
@@ -50,7 +51,7 @@ def byte_pieces(path: str) -> list[tuple[bytes, bool]]:
         text = text.removesuffix(END_OF_WORD)
         if text and all(c in of for c in text):
             piece = (bytes(of[c] for c in text), end)
-            if piece not in seen and len(piece[0]) <= LONGEST:
+            if piece not in seen:
                 seen.add(piece)
                 out.append(piece)
     return out
@@ -69,7 +70,7 @@ class Lattice:
         """scores: natural logarithms of the pieces' probabilities."""
         self.scores = np.append(scores, _NONE)
         self.n = len(pieces)
-        self.by_text = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(len(p) for p, _ in pieces)
         self.keys, self.ids = [], []
         for end in (False, True):
             ids = np.array([i for i, p in enumerate(pieces) if p[1] == end], np.int64)
@@ -95,9 +96,9 @@ class Lattice:
         pre = np.zeros((length + 1, len(words)), np.uint64)
         for j in range(length):
             pre[j + 1] = pre[j] * PRIME + words[:, j].astype(np.uint64) + np.uint64(1)
-        p = powers(LONGEST)
+        p = powers(self.longest)
         return {(i, j): self.find(pre[j] - pre[i] * p[j - i], j == length)
-                for j in range(1, length + 1) for i in range(max(0, j - LONGEST), j)}
+                for j in range(1, length + 1) for i in range(max(0, j - self.longest), j)}
 
     def forward(self, words: np.ndarray, edges: dict | None = None) -> np.ndarray:
         """alpha: (length + 1, words)."""
@@ -105,7 +106,7 @@ class Lattice:
         length = words.shape[1]
         alpha = np.zeros((length + 1, len(words)))
         for j in range(1, length + 1):
-            x = np.stack([alpha[i] + self.scores[edges[i, j]] for i in range(max(0, j - LONGEST), j)])
+            x = np.stack([alpha[i] + self.scores[edges[i, j]] for i in range(max(0, j - self.longest), j)])
             top = x.max(0)
             alpha[j] = top + np.log(np.exp(x - top).sum(0))
         return alpha
@@ -117,7 +118,7 @@ class Lattice:
         beta = np.zeros_like(alpha)
         out = np.zeros(self.n + 1)
         for i in range(length - 1, -1, -1):
-            ends = range(i + 1, min(length, i + LONGEST) + 1)
+            ends = range(i + 1, min(length, i + self.longest) + 1)
             x = np.stack([self.scores[edges[i, j]] + beta[j] for j in ends])
             for k, j in enumerate(ends):
                 share = np.exp(alpha[i] + x[k] - alpha[length])
@@ -126,15 +127,45 @@ class Lattice:
             beta[i] = top + np.log(np.exp(x - top).sum(0))
         return out[:-1]
 
-    def long_word(self, word: bytes) -> float:
-        """The forward sum of one long word, piece by piece in linear time."""
-        s, by, n = self.scores, self.by_text, len(word)
-        alpha = [0.0] * (n + 1)
+    def long_edges(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece number) of all pieces within one long word, by end."""
+        n, x = len(word), np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        key = np.zeros(n, np.uint64)
+        found = []
+        for size in range(1, min(n, self.longest) + 1):
+            # keys of all pieces of this size: those of one byte less, and the byte after them
+            key = key[: n - size + 1] * PRIME + x[size - 1 :]
+            ids = np.append(self.find(key[:-1], False), self.find(key[-1:], True))
+            at = np.flatnonzero(ids < self.n)
+            found.append(np.stack([at, at + size, ids[at]]))
+        start, end, piece = np.concatenate(found, 1)
+        order = np.argsort(end, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def long_sums(self, at: np.ndarray, to: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+        """Log sums over the ways from 0 to each place of one long word, by its edges sorted by `to`, in linear time."""
+        cuts, at, score = np.searchsorted(to, np.arange(1, n + 2)).tolist(), at.tolist(), score.tolist()
+        alpha = [-math.inf] * (n + 1)
+        alpha[0] = 0.0
         for j in range(1, n + 1):
-            x = [alpha[i] + s[k] for i in range(max(0, j - LONGEST), j) if (k := by.get((word[i:j], j == n))) is not None]
-            top = max(x)
-            alpha[j] = top + math.log(sum(math.exp(v - top) for v in x))
-        return alpha[n]
+            x = [alpha[at[k]] + score[k] for k in range(cuts[j - 1], cuts[j])]
+            if x and (top := max(x)) > -math.inf:
+                alpha[j] = top + math.log(sum(math.exp(v - top) for v in x))
+        return np.array(alpha)
+
+    def long_word(self, word: bytes) -> float:
+        """The forward sum of one long word."""
+        at, to, piece = self.long_edges(word)
+        return float(self.long_sums(at, to, self.scores[piece], len(word))[-1])
+
+    def long_expected(self, word: bytes, weight: float) -> np.ndarray:
+        """`expected` for one long word."""
+        at, to, piece = self.long_edges(word)
+        score, n = self.scores[piece], len(word)
+        alpha = self.long_sums(at, to, score, n)
+        back = np.argsort(-at, kind="stable")  # the backward sums are forward sums of the reversed edges
+        beta = self.long_sums(n - to[back], n - at[back], score[back], n)[::-1]
+        return np.bincount(piece, np.exp(alpha[at] + score + beta[to] - alpha[n]) * weight, self.n)
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         out = np.empty(len(words))
@@ -195,9 +226,9 @@ def piece_scores(words: DataFrame, pieces: list[tuple[bytes, bool]], ends: int)
             for ids, x in by_length(ws):
                 if x is not None:
                     total += lattice.expected(x, c[ids].astype(float))
-                else:  # of very long words only the bytes count
+                else:
                     for i in ids:
-                        total[:256] += np.bincount(np.frombuffer(ws[i], np.uint8), minlength=256) * float(c[i])
+                        total += lattice.long_expected(ws[i], float(c[i]))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "x"])
 

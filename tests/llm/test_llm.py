@@ -103,6 +103,25 @@ def test_lattice_sums_all_segmentations():
             assert lattice.long_word(word) == pytest.approx(math.log(total))
 
 
+def test_lattice_expects_pieces_of_long_words(spark):
+    """Words of any length teach the pieces they hold: the linear way agrees with the one for short words, also in training."""
+    pieces = [*[(bytes([b]), end) for end in (False, True) for b in range(256)], (b"ab", False), (b"ba", True), (b"abcab", False), (b"ab" * 12, False), (b"cab" * 9, True)]
+    lattice = lattice_lm.Lattice(pieces, np.log(1 / (np.arange(len(pieces)) + 2.7)))
+    for word in (b"a", b"abcab" * 9, b"ab" * 20 + b"cab" * 9, b"abcabx\xffba" * 7):
+        want = lattice.expected(np.frombuffer(word, np.uint8)[None], np.array([3.0]))
+        assert lattice.long_expected(word, 3.0) == pytest.approx(want, abs=1e-9)
+        assert lattice.long_word(word) == pytest.approx(lattice.forward(np.frombuffer(word, np.uint8)[None])[-1, 0])
+    words = spark.createDataFrame([(b"abcab" * 40 + b"ba", 1, 1)], "word binary, n long, c long")
+    p = np.exp(lattice_lm.piece_scores(words, pieces, 1))
+    of = {x: p[i] for i, x in enumerate(pieces)}
+    assert of[b"abcab", False] > 5 * of[b"z", False] and of[b"ba", True] > 5 * of[b"b", True]
+
+
+def test_lattice_keeps_long_pieces(tmp_path):
+    (tmp_path / "v.json").write_text('{"model": {"vocab": {"artificialintelligence</w>": 0, "abc": 1}}}')
+    assert (b"artificialintelligence", True) in lattice_lm.byte_pieces(str(tmp_path / "v.json"))
+
+
 def test_lattice_base(spark):
     rows = texts(spark)
     tokens = {d: [*WORDS.findall(t.translate(A_Z)), None] for d, t in rows}
