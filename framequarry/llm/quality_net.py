@@ -133,22 +133,28 @@ class Scorer:
         return 1 / (1 + np.exp(-logit))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
-    """The network, trained on at most `max_train` labelled documents outside the held-out fold, picked by a hash of their ids.
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
+    """doc_id, label_quality, text of at most `max_train` labelled ids of `docs` outside the held-out fold, by a hash of the id.
 
-    Of several labels of an id the lowest counts; null labels don't.
+    Every id has one row: of several labels the lowest counts, of several texts the smallest; null labels don't count.
     """
     picked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (common.doc_bucket(F.col("doc_id"), 4) != 2))
     picked = picked.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label_quality"))
+    picked = picked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
+    text = F.min(F.coalesce("text", F.lit(""))).alias("text")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label_quality").agg(text)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
+    """The network, trained on `training_rows`."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            texts = ["" if t is None else t for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["label_quality"], "chunks": [train_chunks(t.encode()) for t in texts]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["label_quality"], "chunks": [train_chunks(t.encode()) for t in x["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(cut, "doc_id long, y int, chunks array<binary>")
-    got = sorted(((r.doc_id, [bytes(c) for c in r.chunks], r.y) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))[:max_train]
+    rows = training_rows(docs, labels, max_train).mapInPandas(cut, "doc_id long, y int, chunks array<binary>")
+    got = sorted(((r.doc_id, [bytes(c) for c in r.chunks], r.y) for r in rows.toLocalIterator()), key=lambda r: r[0])
     return train([g[1] for g in got], np.array([g[2] for g in got]))
 
 

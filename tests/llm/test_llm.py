@@ -88,6 +88,17 @@ def test_quality_net(spark):
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.85
 
 
+def test_quality_net_samples_ids(spark):
+    """A repeated id is one training row, however often it occurs, and ids without a document take no place."""
+    ids = [i for i in range(1, 60) if not held(i, 4)]
+    docs = spark.createDataFrame([(ids[0], f"text {k % 3}") for k in range(500)] + [(i, f"text of {i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids + [i + 1000 for i in range(400)]], "doc_id long, quality int")
+    got = quality_net.training_rows(docs, labels, 40).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 40 and {r.doc_id for r in got} <= set(ids)
+    every = quality_net.training_rows(docs, labels, 4000).collect()
+    assert {r.doc_id: r.text for r in every} == {ids[0]: "text 0"} | {i: f"text of {i}" for i in ids[1:]}
+
+
 def test_lattice_sums_all_segmentations():
     pieces = [(b"a", False), (b"b", False), (b"ab", False), (b"ba", False), (b"a", True), (b"b", True), (b"ab", True), (b"aba", True)]
     scores = np.log(np.linspace(0.05, 0.2, len(pieces)))
