@@ -3,15 +3,15 @@
 Learned filters of six bytes run over every byte of a text. Their rectified responses are max-pooled within chunks of
 256 bytes that overlap by 64 and cover the whole text; a hidden layer turns a chunk's maxima into a logit, and the
 logits' mean over all chunks gives one probability. Training sees a bounded sample of labelled documents, at most
-`MAX_TRAIN` rows of `TRAIN_CHUNKS` chunks spread over each text; scoring reads whole texts.
+`MAX_TRAIN` ids; it reads their whole texts from a file of the driver's, as scoring does in Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from .arrowtext import small_batches, text_bytes
 
 WIDTH, FILTERS, HIDDEN = 6, 24, 16
 BLOCK, CHUNK_BLOCKS, STEP_BLOCKS = 64, 4, 3
-MAX_TRAIN, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 4000, 6, 8, 64, 0.01
+MAX_TRAIN, EPOCHS, BATCH, RATE = 4000, 8, 64, 0.01
 CHUNK = BLOCK * CHUNK_BLOCKS
 #: Bytes that one convolution call works on; what it needs stays within the processor's cache.
 SLICE = 4096
@@ -33,11 +33,28 @@ def chunk_count(n_bytes):
     return np.maximum(1, -(-(blocks - CHUNK_BLOCKS) // STEP_BLOCKS) + 1)
 
 
-def train_chunks(text: bytes) -> list[bytes]:
-    """At most TRAIN_CHUNKS chunks, evenly spread over the whole text, padded with zeros."""
+def train_chunks(text: bytes, most: int = 512) -> Iterator[np.ndarray]:
+    """All chunks of a text in turn, padded with zeros, as rows of at most `most` at a time."""
     n = int(chunk_count(len(text)))
-    picks = sorted({round(i * (n - 1) / max(1, TRAIN_CHUNKS - 1)) for i in range(TRAIN_CHUNKS)})
-    return [text[c * STEP_BLOCKS * BLOCK :][:CHUNK].ljust(CHUNK, b"\0") for c in picks]
+    for a in range(0, n, most):
+        k = min(most, n - a)
+        size = ((k - 1) * STEP_BLOCKS + CHUNK_BLOCKS) * BLOCK
+        part = bytes(text[a * STEP_BLOCKS * BLOCK :][:size]).ljust(size, b"\0")
+        yield np.lib.stride_tricks.sliding_window_view(np.frombuffer(part, np.uint8), CHUNK)[:: STEP_BLOCKS * BLOCK]
+
+
+def gathered(texts: Iterator[bytes], most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, number of each chunk's text): all chunks of all texts, about `most` rows at a time."""
+    held, of, rows = [], [], 0
+    for i, text in enumerate(texts):
+        for x in train_chunks(text, most):
+            held.append(x), of.append(np.full(len(x), i))
+            rows += len(x)
+            if rows >= most:
+                yield np.concatenate(held), np.concatenate(of)
+                held, of, rows = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(of)
 
 
 def empty_model() -> dict[str, np.ndarray]:
@@ -45,8 +62,11 @@ def empty_model() -> dict[str, np.ndarray]:
             "hb": np.zeros(HIDDEN, np.float32), "v": np.zeros(HIDDEN, np.float32), "vb": np.zeros(1, np.float32)}
 
 
-def train(docs: list[list[bytes]], labels: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam on the mean log loss of documents; gradients pass a max only at its place."""
+def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+    """Adam on the mean log loss of documents, over all their chunks; gradients pass a max only at its place.
+
+    Chunks are read from `docs` a slice at a time; of a batch's chunks only the maxima and the bytes at their places stay.
+    """
     rng = np.random.default_rng(seed)
     m = empty_model()
     if len(docs) == 0:
@@ -57,18 +77,21 @@ def train(docs: list[list[bytes]], labels: np.ndarray, seed: int = 3) -> dict[st
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
     step = 0
+    t = CHUNK - WIDTH + 1
+    filters = np.arange(FILTERS)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             ids = order[at : at + BATCH]
-            x = np.frombuffer(b"".join(c for i in ids for c in docs[i]), np.uint8).reshape(-1, CHUNK)
-            of = np.repeat(np.arange(len(ids)), [len(docs[i]) for i in ids])
-            t = CHUNK - WIDTH + 1
-            z = np.repeat(m["b"][None, None], len(x), 0) + m["w"][0][x[:, :t]]
-            for j in range(1, WIDTH):
-                z += m["w"][j][x[:, j : j + t]]
-            arg = z.argmax(1)
-            top = np.take_along_axis(z, arg[:, None], 1)[:, 0]
+            kept = []
+            for x, of in gathered(docs[i] for i in ids):
+                z = np.repeat(m["b"][None, None], len(x), 0) + m["w"][0][x[:, :t]]
+                for j in range(1, WIDTH):
+                    z += m["w"][j][x[:, j : j + t]]
+                arg = z.argmax(1)
+                rows = np.arange(len(x))[:, None]
+                kept.append((of, np.take_along_axis(z, arg[:, None], 1)[:, 0], np.stack([x[rows, arg + j] for j in range(WIDTH)])))
+            of, top, seen = (np.concatenate(c, axis) for c, axis in zip(zip(*kept), (0, 0, 1)))
             pool = np.maximum(top, 0)
             hid = np.tanh(pool @ m["h"] + m["hb"])
             logit = hid @ m["v"] + m["vb"]
@@ -78,9 +101,8 @@ def train(docs: list[list[bytes]], labels: np.ndarray, seed: int = 3) -> dict[st
             dh = d[:, None] * m["v"] * (1 - hid**2)
             dp = (dh @ m["h"].T) * (top > 0)
             g = {"v": hid.T @ d, "vb": d.sum(keepdims=True), "h": pool.T @ dh, "hb": dh.sum(0), "b": dp.sum(0), "w": np.zeros_like(m["w"])}
-            rows, f = np.arange(len(x))[:, None], np.broadcast_to(np.arange(FILTERS), arg.shape)
             for j in range(WIDTH):
-                np.add.at(g["w"][j], (x[rows, arg + j], f), dp)
+                g["w"][j] = np.bincount((seen[j].astype(np.int64) * FILTERS + filters).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             step += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
             for k in m:
@@ -133,6 +155,26 @@ class Scorer:
         return 1 / (1 + np.exp(-logit))
 
 
+class Texts:
+    """Texts in a temporary file of this process, read one at a time."""
+
+    def __init__(self):
+        self.file, self.places = tempfile.TemporaryFile(), []
+
+    def append(self, text: bytes) -> None:
+        self.file.seek(0, 2)
+        self.places.append((self.file.tell(), len(text)))
+        self.file.write(text)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> bytes:
+        at, size = self.places[i]
+        self.file.seek(at)
+        return self.file.read(size)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
     """doc_id, label_quality, text of at most `max_train` labelled ids of `docs` outside the held-out fold, by a hash of the id.
 
@@ -147,15 +189,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
-    """The network, trained on `training_rows`."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "y": x["label_quality"], "chunks": [train_chunks(t.encode()) for t in x["text"]]})
-
-    rows = training_rows(docs, labels, max_train).mapInPandas(cut, "doc_id long, y int, chunks array<binary>")
-    got = sorted(((r.doc_id, [bytes(c) for c in r.chunks], r.y) for r in rows.toLocalIterator()), key=lambda r: r[0])
-    return train([g[1] for g in got], np.array([g[2] for g in got]))
+    """The network, trained on the whole texts of `training_rows`."""
+    texts, rows = Texts(), []
+    for r in training_rows(docs, labels, max_train).toLocalIterator():
+        rows.append((r.doc_id, len(texts), r.label_quality))
+        texts.append(r.text.encode())
+    rows.sort()
+    texts.places = [texts.places[i] for _, i, _ in rows]
+    return train(texts, np.array([y for *_, y in rows]))
 
 
 def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:

@@ -99,6 +99,21 @@ def test_quality_net_samples_ids(spark):
     assert {r.doc_id: r.text for r in every} == {ids[0]: "text 0"} | {i: f"text of {i}" for i in ids[1:]}
 
 
+def test_quality_net_reads_whole_texts(spark):
+    """A passage teaches the network wherever it lies in a long text."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 25)], "doc_id long, quality int")
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 110, 4000).tolist())) for _ in range(24)]
+
+    def model(start: int):
+        rows = [(i, t[:start] + ("ZQ" if i % 2 else "yx") * 100 + t[start + 200 :]) for i, t in enumerate(texts, 1)]
+        return quality_net.fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+
+    # the same texts but for a passage between two of six evenly spread chunks
+    a, b = model(300), model(500)
+    assert any(not np.allclose(a[k], b[k]) for k in a)
+
+
 def test_lattice_sums_all_segmentations():
     pieces = [(b"a", False), (b"b", False), (b"ab", False), (b"ba", False), (b"a", True), (b"b", True), (b"ab", True), (b"aba", True)]
     scores = np.log(np.linspace(0.05, 0.2, len(pieces)))
