@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,20 +24,36 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a folder of this machine takes its place.
+    Where that is unset a folder of this machine takes its place if driver and executors are one process (tests, a
+    laptop); on a cluster, whose machines would each write to a disk of their own, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="framequarry-")
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{base.rstrip('/')}/framequarry-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores behind it as long as a column of that name exists."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: lineage ends there and survives lost executors."""
+    """`df` written as a table in the shared folder and read again: lineage ends there and survives lost executors.
+
+    The table goes when `dropped` says so, else when the application ends.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +91,19 @@ def doc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def row_keys(docs: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of the columns of a row; maps count by their JSON."""
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema}
+    parts = [F.to_json(F.struct(c)) if "map<" in kind[c] or kind[c] == "variant" else F.col(c) for c in columns]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)]
+
+
+def repeated(docs: DataFrame, k1: str, k2: str, max_rows: int = 500_000) -> DataFrame | None:
+    """k1, k2, n of the keys that two rows or more have, ready for a join; None without any. Counts are combined before the shuffle."""
+    many = written(docs.groupBy(k1, k2).agg(F.count("*").alias("n")).where("n > 1"))
+    return None if many.isEmpty() else small(many, max_rows)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

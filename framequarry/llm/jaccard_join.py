@@ -18,7 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -322,17 +322,18 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
 
 
 def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs`.
+    """doc_id, n_shingles, component_id, row_key, kept of every row of `docs`.
 
     Null and empty texts, and those without words, have no shingles and link with nothing; texts under k words have
     one; repeated rows link; an empty table gives an empty result; texts of any length are read whole; further columns
-    are ignored.
+    are ignored. A null id is never the smallest of a component that has others. `row_key` (see `row_key`) names rows of
+    equal id and text; of each component those of one row key are `kept`, and all rows without shingles.
     """
     small_batches(docs.sparkSession)
-    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("kd"), "text")
+    d = docs.select("doc_id", row_key().alias("kd"), "text")
     rows = common.written(profiled(d, k, percent))
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("low"), F.min("kd").alias("kd"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "bits")])
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kd")).alias("low"), F.min("kd").alias("kd"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "bits")])
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()))
     tokens = offered(d, classes, k, percent)
     listed = common.written(heads(shared_tokens(tokens), classes, percent))
@@ -352,10 +353,16 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
         tested = pairs if tested is None else tested.unionAll(pairs)
         label = common.written(merged(label, verified(pairs, classes, d, k, percent)))
     found = label.join(classes.select("cid", "d1", "d2", "low"), "cid")
-    lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
-    found = found.join(lowest, "component").select("d1", "d2", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    lowest = found.groupBy("component").agg(F.min("low").alias("first"))
+    found = found.join(lowest, "component").select("d1", "d2", "first")
+    out = rows.where("n > 0").select("doc_id", "n", "kd", "d1", "d2").join(found, ["d1", "d2"]).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), F.col("kd").alias("row_key"), (F.col("kd") == F.col("first.kd")).alias("kept"))
+    return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "kd", F.lit(True).alias("kept")))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What names rows of equal id and text."""
+    return F.xxhash64(doc_id, text)
 
 
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:

@@ -56,13 +56,16 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source"
     bad = boilerplate(lines, min_sites)
     gone = lines.join(bad, ["h1", "h2"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
-    gone = gone.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("dedup_gone"))
+    gone = gone.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("line_no")).alias("dedup_gone"))
     # the row travels as one column, so that its names never meet those used here
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     d = docs.select(F.struct(*own).alias("doc"))
     d = d.select("doc", F.xxhash64("doc.doc_id", text).alias("k1"), F.xxhash64(text, F.lit(7), "doc.doc_id").alias("k2"))
     d = d.join(gone, ["k1", "k2"], "left").withColumn("dedup_lines", F.split(text, "\n"))
-    stay = F.filter("dedup_lines", lambda x, i: ~F.array_contains("dedup_gone", i))
+    # the lines between each two removed ones, so that the work grows with the lines and not with their square
+    start = lambda k: F.coalesce(F.get("dedup_gone", k - 1) + 1, F.lit(0))
+    end = lambda k: F.coalesce(F.get("dedup_gone", k), F.size("dedup_lines"))
+    stay = F.flatten(F.transform(F.sequence(F.lit(0), F.size("dedup_gone")), lambda k: F.slice("dedup_lines", start(k) + 1, end(k) - start(k))))
     new = F.when(F.col("dedup_gone").isNull(), F.col("doc.text")).otherwise(F.array_join(stay, "\n"))
     count = F.size(F.filter("dedup_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("dedup_text", new)

@@ -9,13 +9,7 @@ _ratio = {r: f"((10000 * {a}) // greatest({b}, 1))" for r, a, b, _ in _RULES}
 _union = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {s} AS spread, {_ratio[r]} AS v FROM counts WHERE n_words > 0" for r, _, _, s in _RULES)
 
 
-def _quart(keys: str) -> str:
-    by = f"{keys}, rule" if keys else "rule"
-    top = lambda q: f"min(CASE WHEN up_to * 4 >= total * {q} THEN top END)"
-    return (f"SELECT {by}, max(total) AS total, {top(3)} + 3 * greatest({top(3)} - {top(1)}, max(spread)) AS hi FROM ("
-            f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY top) AS up_to, sum(n) OVER (PARTITION BY {by}) AS total FROM ("
-            f"SELECT {by}, top, max(spread) AS spread, count(*) AS n FROM tops GROUP BY {by}, top)) GROUP BY {by}")
-
+_top = lambda q: f"min(CASE WHEN up_to * 4 >= total * {q} THEN top END)"
 
 ORACLES["op2_quality_rules"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -35,9 +29,12 @@ counts AS (SELECT s.rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length
   FROM s LEFT JOIN rep ON s.rid = rep.rid),
 vals AS ({_union}),
 tops AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (((v >> (length(bin(v)) - 6)) + 1) << (length(bin(v)) - 6)) - 1 END AS top FROM vals),
-own AS ({_quart("lang, source")}), bylang AS ({_quart("lang")}), every AS ({_quart("")}),
-lim AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total >= 200 THEN own.hi WHEN bylang.total >= 200 THEN bylang.hi ELSE every.hi END AS hi
-  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rule = bylang.rule JOIN every ON own.rule = every.rule),
+own AS (SELECT lang, source, rule, top, max(spread) AS spread, 1000 * count(*) AS n FROM tops GROUP BY ALL),
+bylang AS (SELECT lang, rule, top, spread, 50000 * n // sum(n) OVER (PARTITION BY lang, rule) AS n FROM (SELECT lang, rule, top, max(spread) AS spread, sum(n) // 1000 AS n FROM own GROUP BY lang, rule, top)),
+both_of AS (SELECT * FROM own UNION ALL SELECT g.lang, g.source, l.rule, l.top, l.spread, l.n FROM (SELECT DISTINCT lang, source FROM own) g JOIN bylang l ON g.lang IS NOT DISTINCT FROM l.lang),
+mixed AS (SELECT lang, source, rule, top, max(spread) AS spread, sum(n) AS n FROM both_of GROUP BY lang, source, rule, top),
+lim AS (SELECT lang, source, rule, {_top(3)} + 3 * greatest({_top(3)} - {_top(1)}, max(spread)) AS hi FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY top) AS up_to, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM mixed) GROUP BY lang, source, rule),
 lims AS (SELECT lang, source, {", ".join(f"max(CASE WHEN rule = '{r}' THEN hi END)::BIGINT AS max_{r}" for r, *_ in _RULES)} FROM lim GROUP BY lang, source),
 v AS (SELECT counts.*, {", ".join(f"max_{r}" for r, *_ in _RULES)}, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed
   FROM counts LEFT JOIN lims ON counts.lang IS NOT DISTINCT FROM lims.lang AND counts.source IS NOT DISTINCT FROM lims.source)
@@ -84,9 +81,9 @@ s AS (SELECT source, 1.0::DOUBLE * (SELECT sum(n) FROM n)::DOUBLE / ((SELECT cou
 r AS (SELECT source, rate, greatest(ceil(rate / 32.0), 1)::INT AS draws FROM s),
 pois(source, k, lam, p, c) AS (SELECT source, 0, rate / draws, exp(-(rate / draws)), exp(-(rate / draws)) FROM r
   UNION ALL SELECT source, k + 1, lam, p * lam / (k + 1), c + p * lam / (k + 1) FROM pois WHERE k < ceil(lam + 12 * sqrt(lam) + 24)),
-d AS (SELECT row_number() OVER () AS rid, * FROM documents),
-u AS (SELECT rid, d.source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || i || ':20'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
-  FROM (SELECT d.rid, d.doc_id, d.source, unnest(range(1, draws + 1)) AS i FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source) d),
+d AS (SELECT row_number() OVER () AS rid, row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) AS no, * FROM documents),
+u AS (SELECT rid, d.source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || no || ':' || i || ':20'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT d.rid, d.no, d.doc_id, d.text, d.source, unnest(range(1, draws + 1)) AS i FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source) d),
 c AS (SELECT rid, count(*) AS n FROM u JOIN pois ON u.source IS NOT DISTINCT FROM pois.source AND pois.c <= u.u GROUP BY rid)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM d JOIN c USING (rid)
 """

@@ -1,9 +1,10 @@
 """Best-fit packing of tokenized documents into sequences of fixed length, by sum of squares.
 
 Documents are tokenized whole; those over a sequence are cut into full pieces and a rest. Full pieces are sequences of
-their own. The others go by a hash into groups of about `GROUP` pieces, packed apart from each other in parallel; in a
-group, longest first, each goes into the open sequence (or a new one) for which the sum, over all residual gaps, of the
-squared number of open sequences with that gap becomes smallest.
+their own. The others go by a hash into groups of about `GROUP` pieces, packed in parallel; in a group, longest first,
+each goes into the open sequence (or a new one) for which the sum, over all residual gaps, of the squared number of open
+sequences with that gap becomes smallest. What the groups leave open is packed once more, each open sequence as one
+piece, until all of it fits one group or hardly any two fit together.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ LENGTH, END_ID, GROUP = 2048, 0, 25_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers (some 200 bytes each); beyond that it starts anew.
 MAX_CACHE = 1_000_000
+#: Open sequences that are broadcast after they were packed again; more are joined by a shuffle.
+MAX_BROADCAST_OPEN = 500_000
 
 _loaded: dict = {}
 
@@ -125,19 +128,35 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def together(items: DataFrame, length: int, group: int, level: int = 0) -> DataFrame:
+    """item, sequence_id, offset of `items` (item, size), in groups; open sequences of several groups are packed again."""
+    count = items.count()
+    n = max(1, -(-count // group))
+
+    def pack(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["size", "item"], ascending=[False, True])
+        b, offset = sum_of_squares(x["size"].to_numpy(), length)
+        return x.assign(sequence_id=(level << 58) + (x["pack_group"].to_numpy(np.int64) << 32) + b, offset=offset).drop(columns="pack_group")
+
+    placed = items.withColumn("pack_group", F.pmod(F.xxhash64("item"), F.lit(n))).groupBy("pack_group").applyInPandas(
+        pack, "item long, size long, sequence_id long, offset long")
+    if n == 1:
+        return placed.select("item", "sequence_id", "offset")
+    placed = common.written(placed)
+    left = placed.groupBy("sequence_id").agg(F.sum("size").alias("size")).where(F.col("size") < length)
+    left = common.written(left.withColumnRenamed("sequence_id", "item"))
+    if 2 * left.count() > count:  # most pieces are alone: packing them again would find nothing new
+        return placed.select("item", "sequence_id", "offset")
+    again = together(left, length, group, level + 1).select(F.col("item").alias("sequence_id"), F.col("sequence_id").alias("into"), F.col("offset").alias("at"))
+    placed = placed.join(common.small(again, MAX_BROADCAST_OPEN), "sequence_id", "left")
+    return placed.select("item", F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("at", F.lit(0))).alias("offset"))
+
+
 def packed(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """The columns of `pieces` with sequence_id and offset."""
     parts = common.written(parts.withColumn("item", F.monotonically_increasing_id()))
     rest = parts.where(F.col("length") < length)
-    n = max(1, -(-rest.count() // group))
-
-    def pack(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["length", "item"], ascending=[False, True])
-        b, offset = sum_of_squares(x["length"].to_numpy(), length)
-        return x.assign(sequence_id=(x["pack_group"].to_numpy(np.int64) << 32) + b, offset=offset).drop(columns="pack_group")
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    some = rest.withColumn("pack_group", F.pmod(F.xxhash64("item"), F.lit(n))).groupBy("pack_group").applyInPandas(pack, schema)
+    some = rest.join(together(rest.select("item", F.col("length").alias("size")), length, group), "item")
     full = parts.where(F.col("length") >= length).select("*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(some).drop("item")
 

@@ -199,12 +199,15 @@ def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> di
     return train(texts, np.array([y for *_, y in rows]))
 
 
-def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of `docs` (default doc_id) and the score of each whole text; null and empty texts get the score of no bytes."""
+def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None = None, out_name: str = "net_score") -> DataFrame:
+    """`keep` columns of `docs` (default doc_id) and `out_name`: the score of each whole text.
+
+    Null and empty texts get the score of no bytes; repeated rows a row each; an empty table gives an empty result.
+    """
     keep = ["doc_id"] if keep is None else keep
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("net_text"))
+    d = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias(common.fresh("net_text", keep)))
     text_at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +217,11 @@ def quality_scores(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str
                 continue
             raw, off = text_bytes(b.column(text_at))
             score = np.concatenate([scorer(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in runs(off)])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, "net_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out_name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    out = StructType([d.schema[c] for c in keep] + [StructField("net_score", DoubleType())])
+    out = StructType([d.schema[c] for c in keep] + [StructField(out_name, DoubleType())])
     return d.mapInArrow(run, out)
 
 
@@ -232,9 +235,12 @@ def runs(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 
 def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; repeated rows get a row each, an empty table none."""
+    """doc_id, held_out, score, predicted of every document; repeated rows get a row each, an empty table none.
+
+    Null ids are in no fold: held_out is false. Without any label the network stays untrained and all scores are 0.5.
+    """
     docs, labels = common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels")
     s = quality_scores(docs, fitted(docs, labels))
     return s.select(
-        "doc_id", (common.doc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("net_score").alias("score"),
+        "doc_id", F.coalesce(common.doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("net_score").alias("score"),
         (F.col("net_score") >= 0.7).cast("int").alias("predicted"))

@@ -3,8 +3,9 @@
 Each document gets counts; each rule is a ratio of two counts, as an integer. Ratios go into log-linear integer
 histograms per (lang, source, rule): quantile sketches that merge by adding counts and err by at most 1/32 of a value.
 The threshold of a group is its upper quartile plus `reach` times the distance between quartiles, at least the
-rule's own spread. Groups under `min_group` documents take the sketch of their language, then that of all rows.
-Only DataFrame functions are used.
+rule's own spread. Quartiles are those of the group's own sketch with its language's added, scaled to the weight of
+`prior` documents: one rule for groups of every size, by which small groups lean on their language and large ones
+don't. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -21,7 +22,12 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", 10000, 400),
     "echoes": ("n_echoes", "n_words", 10000, 300),
 }
-REACH, MIN_GROUP = 3, 200
+REACH = 3
+#: Documents that a language's sketch weighs beside the own sketch of each of its groups. Counts are kept in units of
+#: 1 / WEIGHT document, so that all sums are whole numbers.
+PRIOR, WEIGHT = 50, 1000
+#: A language's sketch has some hundred buckets a rule; sketches of languages are broadcast up to so many rows.
+MAX_BROADCAST_BUCKETS = 500_000
 #: Log-linear buckets: values under 64 are exact, above that 32 buckets for each power of two.
 SUB = 5
 #: Thresholds are broadcast only up to this many groups (rows of four longs).
@@ -117,23 +123,27 @@ def quartile(sketch: DataFrame, *keys: str) -> DataFrame:
         F.max("total").alias("total"), bucket_top(at(1)).alias("q1"), bucket_top(at(3)).alias("q3"))
 
 
-def limits(sketch: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def leaning(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The sketches of (lang, source), each with its language's added, which counts as `prior` documents."""
+    from pyspark.sql import Window as W
+
+    lang = merged(sketch, "lang").withColumn("total", F.sum("n").over(W.partitionBy("lang", "rule")))
+    lang = lang.select(F.col("lang").alias("l"), "rule", "bucket", F.expr(f"({prior * WEIGHT}L * n) div total").alias("n"))
+    far = sketch.select("lang", "source").distinct().join(
+        common.small(lang, MAX_BROADCAST_BUCKETS), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "rule", "bucket", "n")
+    return merged(sketch.withColumn("n", F.col("n") * WEIGHT).unionByName(far), "lang", "source")
+
+
+def limits(sketch: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
     """lang, source and the highest allowed value of each rule (null-safe keys)."""
     spread = F.create_map(*[x for r in RULES for x in (F.lit(r), F.lit(RULES[r][3]))])
     high = F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("rule")])
-    own = quartile(sketch, "lang", "source").select("lang", "source", "rule", "total", high.alias("own"))
-    lang = quartile(merged(sketch, "lang"), "lang").select(
-        F.col("lang").alias("l"), F.col("rule").alias("r"), F.col("total").alias("lang_total"), high.alias("of_lang"))
-    every = quartile(merged(sketch)).select(F.col("rule").alias("er"), high.alias("of_all"))
-    t = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("r"))).join(
-        F.broadcast(every), F.col("rule") == F.col("er"))
-    value = F.when(F.col("total") >= min_group, F.col("own")).when(
-        F.col("lang_total") >= min_group, F.col("of_lang")).otherwise(F.col("of_all"))
-    return t.withColumn("limit", value).groupBy("lang", "source").agg(
+    t = quartile(leaning(sketch, prior), "lang", "source").select("lang", "source", "rule", high.alias("limit"))
+    return t.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(f"max_{r}") for r in RULES])
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
     """Counts, group thresholds and verdict of every document.
 
     Null texts count as empty; empty texts fail the base rule; null lang or source form groups of their own; repeated
@@ -142,7 +152,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REAC
     """
     counts = common.written(counted(docs))
     t = common.small(
-        limits(sketches(counts), min_group, reach).select(
+        limits(common.written(sketches(counts)), prior, reach).select(
             F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{r}" for r in RULES]),
         MAX_BROADCAST_GROUPS)
     j = counts.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")

@@ -311,7 +311,7 @@ def test_pipeline_brute_force(spark, tmp_path):
         low[a] = low[b] = min(low[a], low[b])
 
     def copies(i: int) -> int:
-        u = int(hashlib.md5(f"{i}:1:20".encode()).hexdigest()[:12], 16) / 2**48
+        u = int(hashlib.md5(f"{i}:{hashlib.md5(text[i].encode()).hexdigest()}:1:1:20".encode()).hexdigest()[:12], 16) / 2**48
         return sum(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) <= u for n in range(30))
 
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
