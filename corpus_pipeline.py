@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: stages that each read, as Parquet, what the one before kept.
 
-Ids are those of documents; rows that repeat an id stay or go together. run() writes each stage's rows to the shared
-folder before the next reads them.
+run() writes each stage's rows to the shared folder before the next reads them. Every stage takes rows with nulls in
+any column, empty and very long texts, rows that repeat an id or are equal in all columns, further columns of any name
+and empty tables; what it does with them stands at the stage.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import common
-from framequarry.llm.jaccard_join import jaccard_groups
+from framequarry.llm.jaccard_join import jaccard_groups, row_key
 from framequarry.llm.line_dedup import line_dedup
 from framequarry.llm.mixing import mix
 from framequarry.llm.packing import best_fit_pack
@@ -22,30 +23,53 @@ STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold, by a network trained on the labels."""
+    """Rows whose text's quality score reaches the threshold, by a network trained on the labels.
+
+    Null texts are scored as empty ones; long texts are scored whole; equal rows stay or go together; without any label
+    all scores are 0.5, so that nothing stays.
+    """
     model = fitted(docs, common.documents(spark, sf_dir, "labels"))
-    return quality_scores(docs, model, docs.columns).where(F.col("net_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = common.fresh("net_score", docs.columns)
+    return quality_scores(docs, model, docs.columns, score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that many sites show; every document stays."""
+    """Texts without lines that many sites show; every row stays.
+
+    Null texts stay null, and texts may become empty; a null source is no site; equal rows keep the same lines.
+    """
     return line_dedup(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
-    groups = jaccard_groups(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row, one of the smallest id, of each group of near-duplicates.
+
+    Rows of equal id and text are duplicates too, so one of them stays; rows of one id whose texts differ are judged by
+    their texts. Null and empty texts, and those without words, are nobody's duplicates: all their rows stay. A null id
+    is larger than any other.
+    """
+    groups = jaccard_groups(docs, k=STAGE_SHINGLE, percent=STAGE_PERCENT).where("kept")
+    # the row travels as one column, so that its names never meet those used here
+    d = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("k1"), F.lit(0).alias("k2"))
+    d = d.join(groups.select(F.col("row_key").alias("k1"), (F.col("n_shingles") > 0).alias("words")).distinct(), "k1")
+    many = common.repeated(d.where("words"), "k1", "k2")
+    if many is not None:
+        one = d.where("words").join(many.select("k1"), "k1").groupBy("k1").agg(F.first("row").alias("row"))
+        d = d.join(many.select("k1"), "k1", "left_anti").select("row").unionAll(one.select("row"))
+    return d.select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that all sources have equal shares, in shuffled order."""
+    """Rows repeated or left out so that all sources have equal shares, in shuffled order.
+
+    A null source is one of the sources; each of equal rows has a draw of its own; null and empty texts are rows like
+    others.
+    """
     return mix(docs).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenized documents placed in sequences."""
+    """Pieces of tokenized documents placed in sequences; null and empty texts are an end token, every row is packed."""
     return best_fit_pack(docs)
 
 
