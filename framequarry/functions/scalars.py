@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions by kind (fixed values); video is tested first.
-VIDEO = ("mp4", "mkv", "avi", "mov", "webm", "m4v", "flv", "wmv", "mpg", "mpeg", "ts")
-IMAGE = ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
+VIDEO = ("mp4", "m4v", "mov", "avi", "mkv", "webm", "wmv", "flv", "f4v", "mpg", "mpeg", "mpe", "m2v", "ts", "m2ts", "mts", "3gp", "3g2", "ogv", "vob", "asf", "divx", "rm", "rmvb")
+IMAGE = ("png", "jpg", "jpeg", "jfif", "bmp", "tiff", "tif", "webp", "gif", "ppm", "pgm", "pbm", "tga")
 
 
 def required_prefill(frames: Column, rate: Column, fps: Column) -> Column:
@@ -21,10 +21,12 @@ def sparse_prefill(fps: Column, rate: Column, cushion: Column) -> Column:
     return F.when((fps <= 0) | (cushion <= 0), 0).when(rate >= fps, 0).otherwise(F.ceil(cushion * fps)).cast("long")
 
 
-def predictive_lead(fps: Column, rate: Column, workers: Column, cap_seconds: Column) -> Column:
-    """Frames to aim ahead: what passes while a full set of workers finishes, within the cap; 0 without a rate."""
-    lead = F.ceil((2 * workers) * fps / F.nullif(rate, F.lit(0)))
-    return F.when((rate <= 0) | (fps <= 0), 0).otherwise(F.greatest(F.lit(0), F.least(lead, F.floor(cap_seconds * fps)))).cast("long")
+def predictive_lead(fps: Column, rate: Column, in_flight: Column, ahead: Column, cap_seconds: Column | None = None) -> Column:
+    """Frames to aim ahead: what passes while all that may be in flight finishes, within the look-ahead and, if there is
+    one, the cap; 0 without a rate."""
+    bounds = [ahead] if cap_seconds is None else [ahead, F.floor(cap_seconds * fps)]
+    lead = F.least(F.ceil(in_flight * fps / F.nullif(rate, F.lit(0))), *bounds)
+    return F.when(rate.isNull() | (rate <= 0), 0).otherwise(F.greatest(F.lit(0), lead)).cast("long")
 
 
 def stride(fps: Column, rate: Column) -> Column:
@@ -68,13 +70,19 @@ def short_hash(kind: str, n: int, *parts: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-case extension without its dot, empty if there is none."""
-    return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    """Lower-case extension without its dot, empty if there is none; a dot that begins a name begins no extension."""
+    return F.lower(F.regexp_extract(path, r"[^/\\]\.([^./\\]+)$", 1))
 
 
-def media_kind(path: Column) -> Column:
+def normal_extensions(exts) -> tuple[str, ...]:
+    """Extensions as they are compared: lower case, without leading dots, empty ones left out."""
+    return tuple(sorted({e.lower().lstrip(".") for e in exts if e}))
+
+
+def media_kind(path: Column, video=None, image=None) -> Column:
+    """video, image or other, by the given extensions; without any, by the usual ones."""
     e = extension(path)
-    return F.when(e.isin(*VIDEO), "video").when(e.isin(*IMAGE), "image").otherwise("other")
+    return F.when(e.isin(*(normal_extensions(video or ()) or VIDEO)), "video").when(e.isin(*(normal_extensions(image or ()) or IMAGE)), "image").otherwise("other")
 
 
 def parent(path: Column) -> Column:

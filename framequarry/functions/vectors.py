@@ -68,8 +68,8 @@ def roll_of_eyes(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def landmark_five(points: Column) -> Column:
     """Five points from 68: the middles of both eyes, the nose tip and the corners of the mouth."""
-    mean = lambda a, n: F.struct(*[
-        (F.aggregate(F.slice(points, a + 1, n), F.lit(0.0), lambda s, p, k=k: s + p[k]) / n).alias(k) for k in ("x", "y")])
+    total = lambda a, n, k: F.aggregate(F.slice(points, a + 1, n), F.lit(0.0), lambda s, p: s + p[k])
+    mean = lambda a, n: F.struct(*[(total(a, n, k) / n).alias(k) for k in ("x", "y")])
     one = lambda i: F.struct(*[F.get(points, i)[k].cast("double").alias(k) for k in ("x", "y")])
     return F.when(F.size(points) == 68, F.array(mean(36, 6), mean(42, 6), one(30), one(48), one(54)))
 

@@ -77,12 +77,6 @@ def lookup(frames: DataFrame, geometry: DataFrame, live: DataFrame, frame: str =
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def carried_vectors(geometry: DataFrame, vector: str = "embedding") -> DataFrame:
-    """`geometry` as it is stored: vectors only if every row has one, all of one length."""
-    ok = geometry.agg((F.bool_and(F.col(vector).isNotNull()) & (F.min(F.size(vector)) == F.max(F.size(vector)))).alias("ok")).first().ok
-    return geometry if ok else geometry.withColumn(vector, F.lit(None).cast(geometry.schema[vector].dataType))
-
-
 def per_frame(detections: DataFrame, frame: str, pos: str, *columns: str) -> DataFrame:
     """frame, faces: detections of a frame as an array in order."""
     return detections.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(pos, *columns))).alias("faces"))
@@ -109,3 +103,63 @@ def apply_chain(frames: DataFrame, processors: list, schema: str | None = None)
                 p.release()
 
     return frames.mapInPandas(run, schema or frames.schema)
+
+
+def coverage(geometry: DataFrame, target: str, frame: str) -> DataFrame:
+    """target, faces, frames: how many faces, in how many frames."""
+    return geometry.groupBy(target).agg(F.count("*").alias("faces"), F.count_distinct(frame).alias("frames"))
+
+
+def with_defaults(geometry: DataFrame) -> DataFrame:
+    """Geometry of any age with all columns: what older tables lack is null, no roll and no vector."""
+    kinds = {"frame_index": "long", "pos": "int", "identity_id": "string", "bbox": "array<double>", "kps": "array<double>", "embedding": "array<float>", "roll": "double"}
+    return geometry.select(*[F.col(c).cast(k) if c in geometry.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def stored(geometry: DataFrame, vector: str = "embedding", roll: str = "roll") -> DataFrame:
+    """`geometry` as it is stored: vectors only if every row has one, all of one length, in half precision; rolls only if
+    every row has one."""
+    g = geometry.agg((F.bool_and(F.col(vector).isNotNull()) & (F.min(F.size(vector)) == F.max(F.size(vector)))).alias("v"), F.bool_and(F.col(roll).isNotNull()).alias("r")).first()
+    keep = lambda c, ok: F.col(c) if ok else F.lit(None).cast(geometry.schema[c].dataType)
+    return geometry.withColumn(vector, F.transform(keep(vector, g.v), half)).withColumn(roll, keep(roll, g.r))
+
+
+def half(x: Column) -> Column:
+    """A number as it is after a trip through 16-bit floating point: eleven significant bits, half to even."""
+    x = x.cast("double")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+    return F.when(x == 0, x).otherwise(F.rint(x / step) * step)
+
+
+def same_snapshot(clicks: DataFrame, snapshots: DataFrame, key: str, frame: str) -> DataFrame:
+    """Clicks that were made on the frame of the snapshot they refer to."""
+    return clicks.join(snapshots.select(key, F.col(frame).alias("_f")), key).where(F.col("_f") == F.col(frame)).drop("_f")
+
+
+def combined(masks: list[Column]) -> Column:
+    """Elementwise minimum of masks of one size."""
+    out = masks[0]
+    for m in masks[1:]:
+        out = F.zip_with(out, m, lambda a, b: F.least(a, b))
+    return out
+
+
+def visible(depth: Column, center: Column, margin: float) -> Column:
+    """Pixels that aren't in front of a face: as deep as the median of the centre, up to a share of the spread between the
+    5th and 95th percentile. Without spread all are visible."""
+
+    def at(a: Column, q: float) -> Column:
+        place = (F.size(a) - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        return F.get(a, low) + (place - low) * (F.get(a, F.least(low + 1, F.size(a) - 1)) - F.get(a, low))
+
+    # the sorted pixels, then the limit, are bound as elements of an array, so that each is computed once
+    both = F.array(F.struct(F.array_sort(depth).alias("all"), F.array_sort(center).alias("mid")))
+    spreads = F.transform(both, lambda s: F.struct((at(s["all"], 0.95) - at(s["all"], 0.05)).alias("spread"), at(s["mid"], 0.5).alias("mid")))
+    limit = F.transform(spreads, lambda s: F.when(s["spread"] > 1e-6, s["mid"] + margin * s["spread"]))
+    return F.get(F.transform(limit, lambda m: F.transform(depth, lambda x: F.coalesce(x <= m, F.lit(True)).cast("double"))), 0)
+
+
+def display_fields(detections: DataFrame) -> DataFrame:
+    """What an overlay draws of a detection."""
+    return detections.select(*[c for c in ("frame_index", "pos", "bbox", "kps", "det_score", "sex", "age", "pose") if c in detections.columns])

@@ -7,17 +7,21 @@ of its meaning: of equal matches the first wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.groups import folded
 
-#: Numbers in a catalogue that is sent to all workers (8 bytes each); larger ones are joined by Spark.
+#: Numbers in a catalogue that is sent to all workers at once (8 bytes each); larger ones go part by part.
 MAX_BROADCAST_NUMBERS = 4_000_000
+#: Rows and identities whose similarities a task holds together.
+BLOCK = 2048
 
 
 def centroids(rows: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -30,48 +34,69 @@ def centroids(rows: DataFrame, key: str, vector: str, dim: int | None = None) ->
         key, "n", V.normalize(F.col("mean")).alias("centroid"))
 
 
-def scores(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, k: int = 1) -> DataFrame:
+def _best_of(rows: DataFrame, key: str, vector: str, part: list[tuple[int, list[float]]], k: int, out: str) -> DataFrame:
+    """The k best of one part of a catalogue, which goes to all workers; similarities are held for one block at a time."""
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([p[0] for p in part], np.int32), [np.array(p[1], np.float64) for p in part]))
+
+    def best(sim: np.ndarray, ords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best columns of each row, the smallest ord first among equals."""
+        if sim.shape[1] > k:
+            # all that reach the k-th value compete, so that ties go by ord
+            least = -np.partition(-sim, k - 1, 1)[:, k - 1 : k]
+            sim = np.where(sim >= least, sim, -np.inf)
+        order = np.lexsort((ords, -sim), axis=1)[:, :k]
+        return np.take_along_axis(sim, order, 1), np.take_along_axis(ords, order, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ords, mats = shared.value
+        size = np.array([len(m) for m in mats])
+        for b in chain.from_iterable((b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)) for b in batches):
+            lists = b.column(1)
+            n = np.diff(lists.offsets.to_numpy())
+            valid = lists.is_valid().to_numpy(zero_copy_only=False)
+            units = {}
+            for d in np.unique(n[(n > 0) & valid]):
+                at = np.flatnonzero((n == d) & valid)
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+                length = np.sqrt((x * x).sum(1, keepdims=True))
+                units[d] = at, x / np.where(length == 0, 1, length)
+            top, who = np.empty((b.num_rows, 0)), np.empty((b.num_rows, 0), np.int32)
+            for s in range(0, len(ords), BLOCK):
+                sim = np.full((b.num_rows, min(BLOCK, len(ords) - s)), -1.0)
+                for d, (at, x) in units.items():
+                    to = np.flatnonzero(size[s : s + BLOCK] == d)
+                    if len(to):
+                        sim[np.ix_(at, to)] = x @ np.stack([mats[s + i] for i in to]).T
+                top, who = best(np.concatenate([top, sim], 1), np.concatenate([who, np.broadcast_to(ords[s : s + BLOCK], sim.shape)], 1))
+            w = top.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), w))), pa.array(np.tile(np.arange(1, w + 1, dtype=np.int32), b.num_rows)),
+                 pa.array(who.ravel()), pa.array(top.ravel())], names=[key, "rank", "ord", "sim"])
+
+    return rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, out)
+
+
+def scores(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, k: int = 1, most: int = MAX_BROADCAST_NUMBERS) -> DataFrame:
     """key, rank (from 1), ord, sim of the k most similar identities of each row; of equal ones the first in order.
 
-    Small catalogues are multiplied as one matrix in each task. Beyond the bound Spark joins blocks of both sides.
+    A catalogue of up to `most` numbers is multiplied, block by block, in each task. A larger one is cut into parts of
+    that size, each of which meets all rows on its own; then the k best of each part's k best remain, so that no pairs
+    are shuffled. Keys must be unique.
     """
     cat = catalogue.select("ord", "centroid")
-    shape = cat.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    shape = cat.agg(F.count("*").alias("n"), F.sum(F.size("centroid")).alias("d")).first()
     if not shape.n:
         return rows.select(key).withColumns({"rank": F.lit(1), "ord": F.lit(0), "sim": F.lit(0.0)}).limit(0)
-    kind = rows.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, rank int, ord int, sim double"
-    if shape.n * shape.d <= MAX_BROADCAST_NUMBERS:
-        got = sorted((r.ord, list(r.centroid)) for r in cat.collect())
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([g[0] for g in got], np.int32), [np.array(g[1], np.float64) for g in got]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ords, mats = shared.value
-            size = np.array([len(m) for m in mats])
-            for b in batches:
-                lists = b.column(1)
-                n = np.diff(lists.offsets.to_numpy())
-                sim = np.full((b.num_rows, len(ords)), -1.0)
-                valid = lists.is_valid().to_numpy(zero_copy_only=False)
-                for d in np.unique(n[(n > 0) & valid]):
-                    at, to = np.flatnonzero((n == d) & valid), np.flatnonzero(size == d)
-                    if len(to):
-                        x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
-                        length = np.sqrt((x * x).sum(1, keepdims=True))
-                        x = x / np.where(length == 0, 1, length)
-                        sim[np.ix_(at, to)] = x @ np.stack([mats[i] for i in to]).T
-                top = np.argsort(-sim, 1, kind="stable")[:, :k]
-                w = top.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), w))), pa.array(np.tile(np.arange(1, w + 1, dtype=np.int32), b.num_rows)),
-                     pa.array(ords[top].ravel()), pa.array(np.take_along_axis(sim, top, 1).ravel())], names=[key, "rank", "ord", "sim"])
-
-        return rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, out)
-    unit = rows.select(key, V.normalize(F.col(vector)).alias("_v"))
-    pairs = unit.crossJoin(cat).select(key, "ord", V.cosine(F.col("_v"), F.col("centroid")).alias("sim"))
-    best = pairs.groupBy(key).agg(F.expr(f"max_by(struct(ord, sim), struct(sim, -ord), {k})").alias("best"))
+    out = f"{key} {rows.schema[key].dataType.simpleString()}, rank int, ord int, sim double"
+    parts = max(1, -(-shape.d // most))
+    of = F.pmod(F.xxhash64("ord"), F.lit(parts))
+    found = [_best_of(rows, key, vector, sorted((r.ord, list(r.centroid)) for r in cat.where(of == i).collect()), k, out) for i in range(parts)]
+    found = reduce(DataFrame.unionAll, found)
+    if parts == 1:
+        return found
+    best = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "ord", "sim"))), 1, k).alias("best"))
     return best.select(key, F.posexplode("best").alias("p", "b")).select(
-        key, (F.col("p") + 1).alias("rank"), F.col("b.ord").cast("int").alias("ord"), F.col("b.sim").alias("sim"))
+        key, (F.col("p") + 1).alias("rank"), F.col("b.ord").alias("ord"), F.col("b.sim").alias("sim"))
 
 
 def best_match(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, threshold: float) -> DataFrame:
@@ -109,24 +134,87 @@ def is_active(catalogue: DataFrame, armed: bool = False, policy: str = "SKIP", d
     return catalogue.agg((F.coalesce(F.bool_or(F.col("source_path").isNotNull()), F.lit(False)) | F.lit(always)).alias("active"))
 
 
+#: What a merged identity takes from its first appearance, and from its best one, where the catalogue has it.
+FIRST_FIELDS, BEST_FIELDS = ("first_frame", "first_bbox"), ("ref_frame", "ref_bbox", "sex", "age", "det_score", "pitch", "yaw", "roll")
+
+
 def merge(catalogue: DataFrame, groups: DataFrame, dim: int) -> DataFrame:
-    """`catalogue` with each group (id, grp) of two members or more merged into its first.
+    """`catalogue` with each group (id, grp, pos) of two members or more merged into the one listed first.
 
-    Occurrences add up; the centroid is their weighted mean, normalized; the first member's source stays, else the
-    first there is; the earliest first frame and the best detection are kept.
+    That one keeps its id and place. Occurrences add up (1 at least); the centroid is their weighted mean, normalized;
+    its source stays, else the first listed one that there is; first frame and box are those of the earliest member that
+    has one, what describes the best appearance that of the highest score (unknown counts as 0). Of equals the one
+    listed first wins. Ids that the catalogue lacks don't count; all other rows stay as they are.
     """
-    g = catalogue.join(groups, "id", "left").withColumn("grp", F.coalesce(F.concat(F.lit("g:"), F.col("grp").cast("string")), F.concat(F.lit("i:"), F.col("id"))))
+    g = catalogue.join(groups.select("id", F.col("grp").cast("string").alias("grp"), "pos"), "id", "left")
+    g = g.withColumn("grp", F.coalesce(F.concat(F.lit("g:"), "grp"), F.concat(F.lit("i:"), "id"))).withColumn("pos", F.coalesce("pos", F.lit(0)))
+    have = [c for c in catalogue.columns]
     n = F.col("occurrences").cast("double")
-    sums = [F.sum(F.get("centroid", i) * n).alias(f"_{i}") for i in range(dim)]
+    first = [c for c in FIRST_FIELDS if c in have]
+    best = [c for c in BEST_FIELDS if c in have]
+    source = F.nullif("source_path", F.lit(""))
+    early = F.when(F.col("first_frame").isNotNull(), F.struct("first_frame", "pos")) if first else None
+    score = F.coalesce("det_score", F.lit(0.0)) if "det_score" in have else F.lit(0.0)
     m = g.groupBy("grp").agg(
-        F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"), F.sum("occurrences").alias("occurrences"),
-        F.min_by("source_path", F.when(F.col("source_path").isNotNull(), F.col("ord"))).alias("source_path"),
-        F.min("first_frame").alias("first_frame"), F.max("det_score").alias("det_score"),
-        F.max_by("ref_frame", F.struct("det_score", -F.col("ord"))).alias("ref_frame"), F.count("*").alias("members"),
-        F.min_by("centroid", "ord").alias("own"), *sums)
-    mixed = V.normalize(F.array(*[F.col(f"_{i}") for i in range(dim)]))
-    return m.withColumn("centroid", F.when(F.col("members") > 1, mixed).otherwise(F.col("own"))).select(
-        "ord", "id", "centroid", "source_path", "occurrences", "first_frame", "ref_frame", "det_score")
+        F.count("*").alias("members"), F.min_by(F.struct(*have), "pos").alias("own"), F.sum("occurrences").alias("all"),
+        F.min_by(source, F.when(source.isNotNull(), F.col("pos"))).alias("source"),
+        *([F.min_by(F.struct(*first), early).alias("early")] if first else []),
+        *([F.max_by(F.struct(*best), F.struct(score, -F.col("pos"))).alias("best")] if best else []),
+        *[F.sum(F.get("centroid", i) * n).alias(f"_{i}") for i in range(dim)])
+    new = {"source_path": F.col("source"), "occurrences": F.greatest(F.col("all"), F.lit(1)), "centroid": V.normalize(F.array(*[F.col(f"_{i}") for i in range(dim)]))}
+    new |= {c: F.col("early")[c] for c in first} | {c: F.col("best")[c] for c in best}
+    return m.select(*[F.when(F.col("members") > 1, new[c]).otherwise(F.col("own")[c]).alias(c) if c in new else F.col("own")[c].alias(c) for c in have])
+
+
+def edited(catalogue: DataFrame, edits: DataFrame) -> DataFrame:
+    """`catalogue` after edits (seq, op, id, value): assign (a null value takes the source away) and remove.
+
+    Of several assignments of an identity the last counts; a removed one is gone whatever else was done to it.
+    """
+    last = edits.where("op = 'assign'").groupBy("id").agg(F.max_by(F.struct("value"), "seq").alias("_new"))
+    gone = edits.where("op = 'remove'").select("id").distinct()
+    d = catalogue.join(gone, "id", "left_anti").join(last, "id", "left")
+    return d.withColumn("source_path", F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("source_path"))).drop("_new").select(*catalogue.columns)
+
+
+def settings_after(edits: DataFrame, map_id: str) -> DataFrame:
+    """map_id, threshold, armed, policy, default: settings of catalogues after edits (seq, op, value), each by its last."""
+    last = lambda what: F.max_by(F.when(F.col("op") == what, F.col("value")), F.when(F.col("op") == what, F.col("seq")))
+    return edits.groupBy(map_id).agg(
+        F.coalesce(last("threshold").cast("double"), F.lit(0.5)).alias("threshold"), F.coalesce(last("armed") == "on", F.lit(False)).alias("armed"),
+        F.coalesce(last("unmatched"), F.lit("SKIP")).alias("policy"), last("default").alias("default"))
+
+
+def minted_identities(rows: DataFrame, vector: str, parts: list[Column]) -> DataFrame:
+    """New identities of vectors: twelve hex digits of their origin as id, the vector normalized as centroid, one occurrence."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return rows.withColumns({"id": F.substring(F.sha1(text), 1, 12), "centroid": V.normalize(F.col(vector)), "occurrences": F.lit(1).cast("long")})
+
+
+def map_of_task(flag: Column, store: Column, live: Column, saved: Column) -> Column:
+    """Which catalogue a task uses: the live one of its store if it has one and its flag is on (none if that is empty), else
+    the one saved with it."""
+    return F.when(store.isNotNull() & flag, live).otherwise(saved)
+
+
+def prepared(routed: DataFrame, sources: DataFrame, multi: bool, single: str | None) -> DataFrame:
+    """Routed rows with the source that swaps them: one that holds a face, else none; models that take one source only give
+    all rows the single one."""
+    if not multi:
+        return routed.withColumn("source", F.lit(single).cast("string"))
+    ok = sources.where("faces > 0").select(F.col("path").alias("source"), F.lit(True).alias("_ok")).distinct()
+    return routed.join(ok, "source", "left").withColumn("source", F.when(F.col("_ok"), F.col("source"))).drop("_ok").select(*routed.columns)
+
+
+def best_face(faces: DataFrame, frame: str, pos: str, vector: str, identity: DataFrame, threshold: float) -> DataFrame:
+    """frame, pos, sim: in each frame the face most like one selected identity, the first of equals, if it is like enough.
+
+    `identity` has one row (centroid); vectors are units.
+    """
+    one = F.broadcast(identity.select("centroid").limit(1))
+    d = faces.where(F.col(vector).isNotNull()).join(one).withColumn("sim", V.cosine(F.col("centroid"), F.col(vector).cast("array<double>")))
+    best = d.groupBy(frame).agg(F.max_by(F.struct(pos, "sim"), F.struct("sim", -F.col(pos))).alias("b"))
+    return best.select(frame, f"b.{pos}", "b.sim").where(F.col("sim") >= threshold)
 
 
 def carry_over(fresh: DataFrame, old: DataFrame, old_threshold: float) -> DataFrame:
@@ -137,10 +225,20 @@ def carry_over(fresh: DataFrame, old: DataFrame, old_threshold: float) -> DataFr
 
 
 def representative(rows: DataFrame, key: str, score: str = "det_score", frame: str = "frame_index", pos: str = "pos", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, best frame, best score, first frame, n (and `keep` of the best row): the earliest of the highest scores."""
+    """key, best frame, best score, first frame, n, and `keep` of the best and (as first_*) of the first row.
+
+    Best is the earliest of the highest scores.
+    """
     best = F.max_by(F.struct(frame, *keep), F.struct(score, -F.col(frame), -F.col(pos)))
-    a = rows.groupBy(key).agg(F.max(score).alias("best_score"), best.alias("b"), F.min(frame).alias("first_frame"), F.count("*").alias("occurrences"))
-    return a.select(key, F.col(f"b.{frame}").alias("best_frame"), "best_score", "first_frame", "occurrences", *[F.col(f"b.{c}").alias(c) for c in keep])
+    first = F.min_by(F.struct(F.lit(0).alias("_"), *keep), F.struct(frame, pos))
+    a = rows.groupBy(key).agg(F.max(score).alias("best_score"), best.alias("b"), first.alias("a"), F.min(frame).alias("first_frame"), F.count("*").alias("occurrences"))
+    return a.select(key, F.col(f"b.{frame}").alias("best_frame"), "best_score", "first_frame", "occurrences",
+                    *[F.col(f"b.{c}").alias(c) for c in keep], *[F.col(f"a.{c}").alias(f"first_{c}") for c in keep])
+
+
+def finished(catalogue: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The catalogue with what `representative` found of each identity; identities without rows have none."""
+    return catalogue.join(found, key, "left")
 
 
 def online_clusters(rows: DataFrame, target: str, frame: str, pos: str, vector: str, threshold: float) -> DataFrame:
@@ -149,35 +247,37 @@ def online_clusters(rows: DataFrame, target: str, frame: str, pos: str, vector:
     Of equal similarities the last cluster wins; a joined cluster's centroid becomes the normalized running mean. The
     fold is sequential within a target by definition; targets run in parallel.
     """
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (target, frame, pos)) + ", cluster int"
-
-    def fold(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values([frame, pos], kind="stable")
-        size = 16
-        mat, n, used, out = None, np.zeros(size), 0, []
-        for v in x[vector]:
-            v = np.asarray(v, np.float64)
-            length = np.sqrt((v * v).sum())
-            v = v / length if length else v
-            if mat is None:
-                mat = np.zeros((size, len(v)))
-            best = -1
-            if used:
-                sim = mat[:used] @ v
-                best = used - 1 - int(np.argmax(sim[::-1]))
-                if sim[best] < threshold:
-                    best = -1
-            if best < 0:
-                if used == size:
-                    size *= 2
-                    mat, n = np.concatenate([mat, np.zeros_like(mat)]), np.concatenate([n, np.zeros_like(n)])
-                best, used = used, used + 1
-                mat[best], n[best] = v, 1
-            else:
-                m = (mat[best] * n[best] + v) / (n[best] + 1)
-                length = np.sqrt((m * m).sum())
-                mat[best], n[best] = (m / length if length else m), n[best] + 1
-            out.append(best)
-        return x[[target, frame, pos]].assign(cluster=np.array(out, np.int32))
-
-    return rows.select(target, frame, pos, vector).groupBy(target).applyInPandas(fold, schema)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+
+    def step(state: _Clusters, row: tuple) -> tuple[_Clusters, list[tuple]]:
+        return state, [(row[0], row[1], state.add(np.asarray(row[2], np.float64), threshold))]
+
+    return folded(rows.select(target, frame, pos, vector), [target], [frame, pos], _Clusters, step, f"{frame} {kind(frame)}, {pos} {kind(pos)}, cluster int")
+
+
+class _Clusters:
+    """Centroids and sizes of one target's clusters, which is all that a fold keeps."""
+
+    def __init__(self) -> None:
+        self.means, self.sizes, self.used = np.zeros((16, 0)), np.zeros(16), 0
+
+    def add(self, v: np.ndarray, threshold: float) -> int:
+        v = unit(v)
+        if not self.used:
+            self.means = np.zeros((len(self.sizes), len(v)))
+        near = self.means[: self.used] @ v
+        best = self.used - 1 - int(np.argmax(near[::-1])) if self.used else -1
+        if best >= 0 and near[best] >= threshold:
+            self.means[best] = unit((self.means[best] * self.sizes[best] + v) / (self.sizes[best] + 1))
+            self.sizes[best] += 1
+            return best
+        if self.used == len(self.sizes):
+            self.means, self.sizes = np.concatenate([self.means, np.zeros_like(self.means)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.means[self.used], self.sizes[self.used] = v, 1
+        self.used += 1
+        return self.used - 1
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    length = np.sqrt((v * v).sum())
+    return v / length if length else v

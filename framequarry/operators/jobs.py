@@ -109,6 +109,87 @@ def minted(templates: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
     return pairs.crossJoin(F.broadcast(templates.select(*rest).limit(1))).withColumn("task_id", S.short_hash("sha1", 12, *[F.col(c) for c in key]))
 
 
-def encode_args(audio: Column, trimmed: Column, copyable: Column) -> Column:
-    """How a job's audio is handled: none, cut and encoded, copied, or encoded."""
-    return F.when(~audio, "none").when(trimmed, "cut").when(copyable, "copy").otherwise("encode")
+def renumbered(plan: DataFrame, frames: DataFrame, frame: str = "frame_index") -> DataFrame:
+    """Frames of a plan with their output place; the original index stays, by which geometry is looked up."""
+    return frames.join(plan.select(frame, "position"), frame)
+
+
+def summary(stages: DataFrame, done: DataFrame, errors: DataFrame, key: str, total: str, idx: str = "idx") -> DataFrame:
+    """key, n_missing, total, first_error, status of each stage: failed while frames are missing."""
+    gone = missing_by(stages, done, key, total, idx).groupBy(key).agg(F.count("*").alias("n_missing"))
+    d = stages.select(key, F.col(total).alias("total")).join(gone, key, "left").join(first_error(errors, key, idx, "error"), key, "left")
+    n = F.coalesce("n_missing", F.lit(0))
+    return d.select(key, n.alias("n_missing"), "total", "first_error", F.when(n > 0, "failed").otherwise("completed").alias("status"))
+
+
+def packaged(tasks: DataFrame, encoder: bool) -> DataFrame:
+    """`tasks` (video, output) with form and note: a video becomes frames in a folder of its name where there is no encoder."""
+    fall = F.col("video") & F.lit(not encoder)
+    return tasks.withColumn("form", F.when(F.col("video") & ~fall, "video").otherwise("frames")).withColumn(
+        "output", F.when(fall, F.regexp_replace("output", r"\.[^./]*$", "")).otherwise(F.col("output"))).withColumn("note", F.when(fall, "no encoder: frames instead"))
+
+
+CLEANUP = ("KEEP", "AUTO", "DROP_AT_END")
+
+
+def kept_stages(stages: DataFrame, cleanup: str, key: str = "task", place: str = "place", done: str = "complete") -> DataFrame:
+    """`stages` with `keep`: KEEP all; AUTO what a running job still reads, which is the last complete stage and all after
+    it; DROP_AT_END all until every stage of the task is complete, then none."""
+    if cleanup not in CLEANUP:
+        raise ValueError(cleanup)
+    by = W.partitionBy(key)
+    if cleanup == "KEEP":
+        keep = F.lit(True)
+    elif cleanup == "AUTO":
+        keep = F.col(place) >= F.coalesce(F.max(F.when(F.col(done), F.col(place))).over(by), F.lit(-1))
+    else:
+        keep = ~F.min(done).over(by)
+    return stages.withColumn("keep", keep)
+
+
+def fingerprints(tasks: DataFrame, now: Column) -> DataFrame:
+    """`tasks` (saved, completed_stages, last_frame, total) after a look at what they depend on: marks of another
+    fingerprint are reset, none saved yet is fine."""
+    other = F.col("saved").isNotNull() & (F.col("saved") != "") & (F.col("saved") != now)
+    reset = {"completed_stages": 0, "last_frame": -1, "total": -1}
+    return tasks.withColumns({c: F.when(other, F.lit(v)).otherwise(F.col(c)) for c, v in reset.items()} | {"reset": other, "saved": now})
+
+
+def run_job(spark, frames: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], folder: str, cleanup: str = "KEEP") -> tuple[str, DataFrame]:
+    """(status, frames) of a job: each stage reads the table of the one before and resumes its own in `folder`.
+
+    A stage with frames missing after its retries fails the job and leaves all tables; a finished job drops tables by
+    `cleanup`: AUTO each once the next stage is complete, DROP_AT_END all but the last at its end.
+    """
+    from .stores import _path
+
+    if cleanup not in CLEANUP:
+        raise ValueError(cleanup)
+    paths = [f"{folder}/stage{i}-{name}" for i, (name, _) in enumerate(stages)]
+
+    def drop(p: str) -> None:
+        q, fs = _path(spark, p)
+        fs.delete(q, True)
+
+    for i, (path, (_, process)) in enumerate(zip(paths, stages)):
+        if not run_stage(spark, frames, path, process).isEmpty():
+            return "FAILED", frames
+        frames = spark.read.parquet(path)
+        if cleanup == "AUTO" and i:
+            drop(paths[i - 1])
+    if cleanup == "DROP_AT_END":
+        for p in paths[:-1]:
+            drop(p)
+    return "COMPLETED", frames
+
+
+def run_queue(tasks: list[dict], run: Callable[[dict], str], keep_going: bool = False) -> list[dict]:
+    """Tasks after the queue ran: one at a time by order and name, pending and paused ones only; a failure halts the rest
+    unless `keep_going`. A task's own work is a Spark job; the list is a user's."""
+    for t in sorted(tasks, key=lambda t: (t["order"], t["file"])):
+        if t["status"] not in ("PENDING", "PAUSED"):
+            continue
+        t["status"] = run(t)
+        if t["status"] == "FAILED" and not keep_going:
+            break
+    return tasks

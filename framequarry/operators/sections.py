@@ -34,9 +34,10 @@ def without(sections: DataFrame, index: int, *key: str) -> DataFrame:
     return numbered(sections, *key).where(F.col("ordinal") != index).drop("ordinal")
 
 
-def replaced(sections: DataFrame, index: int, start: int, end: int) -> DataFrame:
-    spark = sections.sparkSession
-    return union(without(sections, index), spark.createDataFrame([(start, end)], "start long, end long"))
+def replaced(sections: DataFrame, index: int, start: int, end: int, *key: str) -> DataFrame:
+    """The set with another range in the place of one; sets without that ordinal gain nothing."""
+    new = numbered(sections, *key).where(F.col("ordinal") == index).select(*key, F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
+    return union(without(sections, index, *key), new, *key)
 
 
 def numbered(sections: DataFrame, *key: str) -> DataFrame:
@@ -81,19 +82,22 @@ def included_between(ranges: Column, a: Column, b: Column) -> Column:
         F.lit(0), F.least(r["end"], b - 1) - F.greatest(r["start"], a + 1) + 1).cast("long"))
 
 
-def frame_plan(sections: DataFrame, total: int) -> DataFrame:
-    """frame_index, position: the frames that are read, in order, with their output places; an empty set means all.
+def frame_plan(sections: DataFrame, totals: int | DataFrame, *key: str) -> DataFrame:
+    """key, frame_index, position: the frames that are read, in order, with their output places; an empty set means all.
 
-    Places come from the sizes of the ranges before, so frames need no global order.
+    `totals` is the number of frames, or a table (key, total) of the targets, each of which gets a plan. Places come from
+    the sizes of the ranges before, so frames need no order of their own.
     """
-    spark = sections.sparkSession
-    whole = spark.createDataFrame([(0, total - 1)], "start long, end long").where(F.lit(total > 0))
-    some = clamp(sections, total - 1)
-    some = some.unionByName(whole.join(sections.select(F.lit(1).alias("x")).limit(1), how="left_anti"))
-    before = W.orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    if isinstance(totals, int):
+        totals = sections.sparkSession.createDataFrame([(totals,)], "total long")
+    pick = sections.select(*key, F.struct("start", "end").alias("r"))
+    both = totals.where("total > 0").join(pick, [*key], "left") if key else totals.where("total > 0").join(pick, F.lit(True), "left")
+    one = both.select(*key, "total", F.coalesce("r.start", F.lit(0)).alias("start"), F.coalesce("r.end", F.col("total") - 1).alias("end"))
+    some = clamp(one.select(*key, "start", "end", "total"), F.col("total") - 1, *key)
+    before = W.partitionBy(*key).orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     some = some.withColumn("_before", F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(before), F.lit(0)))
-    return some.select(F.explode(F.sequence("start", "end")).alias("frame_index"), "start", "_before").select(
-        "frame_index", (F.col("_before") + F.col("frame_index") - F.col("start")).alias("position"))
+    return some.select(*key, F.explode(F.sequence("start", "end")).alias("frame_index"), "start", "_before").select(
+        *key, "frame_index", (F.col("_before") + F.col("frame_index") - F.col("start")).alias("position"))
 
 
 def strided(plan: DataFrame, stride: int, skip: int = 0) -> DataFrame:
@@ -101,12 +105,13 @@ def strided(plan: DataFrame, stride: int, skip: int = 0) -> DataFrame:
     return plan.where((F.col("position") % stride == 0) & (F.col("position") >= skip * stride))
 
 
-def gaps(sections: DataFrame, total: int) -> DataFrame:
-    """The ranges of 0 to total - 1 that the set leaves out."""
-    s = clamp(sections, total - 1)
-    ends = s.select("start", "end").unionByName(s.sparkSession.createDataFrame([(total, total)], "start long, end long"))
-    left = ends.withColumn("_from", F.coalesce(F.lag("end").over(W.orderBy("start")) + 1, F.lit(0)))
-    return left.where("_from < start").select(F.col("_from").alias("start"), (F.col("start") - 1).alias("end"))
+def gaps(sections: DataFrame, total: int, *key: str) -> DataFrame:
+    """key, start, end: the ranges of 0 to total - 1 that each set leaves out."""
+    s = clamp(sections, total - 1, *key).select(*key, "start", "end")
+    last = s.select(*key).distinct() if key else sections.sparkSession.range(1).select()
+    ends = s.unionByName(last.select(*key, F.lit(total).cast("long").alias("start"), F.lit(total).cast("long").alias("end")))
+    left = ends.withColumn("_from", F.coalesce(F.lag("end").over(W.partitionBy(*key).orderBy("start")) + 1, F.lit(0)))
+    return left.where("_from < start").select(*key, F.col("_from").alias("start"), (F.col("start") - 1).alias("end"))
 
 
 def selected(frames: DataFrame, sections: DataFrame, frame: str = "frame_index") -> DataFrame:

@@ -25,16 +25,19 @@ def window_rate(df: DataFrame, key: list[str], micros: str = "us", seconds: floa
 
 
 def rate_with_decay(df: DataFrame, key: list[str], micros: str = "us", event: str = "is_event", cap: float = 120.0, seconds: float = RATE_SECONDS, stall: float = STALL_SECONDS) -> DataFrame:
-    """For ticks among events: the window rate; once it has under two events, 1 by the time since the last, held down by
-    the last known rate (or the cap), until the stall limit, then 0. Adds `rate`."""
+    """For ticks among events: the window rate, 0 if its events have no time between them; once it has under two events,
+    1 by the time since the last, held down by the last window rate (the cap if that is 0 or there is none), until the
+    stall limit, then 0. Adds `rate`."""
     w = _back(key, micros, seconds)
     at = F.when(F.col(event), F.col(micros))
     n, first, last = F.count(at).over(w), F.min(at).over(w), F.max(at).over(w)
-    d = df.withColumn("_live", F.when((n >= 2) & (last > first), (n - 1) / ((last - first) / 1e6)))
+    d = df.withColumn("_live", F.when((n >= 2) & (last == first), 0.0).when(n >= 2, (n - 1) / F.nullif((last - first) / 1e6, F.lit(0.0))))
     past = W.partitionBy(*key).orderBy(micros).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_known", F.last("_live", True).over(past)).withColumn("_last", F.max(F.when(F.col(event), F.col(micros))).over(past))
     idle = (F.col(micros) - F.col("_last")) / 1e6
-    slow = F.when(F.col("_last").isNull() | (idle > stall), 0.0).otherwise(F.least(F.coalesce(F.col("_known"), F.lit(cap)), F.when(idle > 0, 1 / F.nullif(idle, F.lit(0.0))).otherwise(F.lit(cap))))
+    known = F.coalesce("_known", F.lit(0.0))
+    slow = F.least(F.when(known > 0, known).otherwise(cap), F.when(idle > 0, 1 / F.nullif(idle, F.lit(0.0))).otherwise(known))
+    slow = F.when(F.col("_last").isNull() | (idle > stall), 0.0).otherwise(slow)
     return d.withColumn("rate", F.coalesce("_live", slow)).drop("_live", "_known", "_last")
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.groups import folded
 from ..plans.prefix import running_sum
 
 
@@ -38,38 +38,55 @@ def clear_but(entries: DataFrame, protect: DataFrame, key: str) -> DataFrame:
     return entries.join(protect.select(key), key, "left_anti")
 
 
-def prune_to_count(items: DataFrame, cap: int, age: str, ident: str, slack: float = 1.1) -> DataFrame:
-    """Items to delete, oldest first, so that `cap` stay; none until there are over `slack` times as many."""
+def prune_to_count(items: DataFrame, cap: int, age: str, ident: str, slack: float = 1.1, puts: int | None = None, every: int = 100) -> DataFrame:
+    """Items to delete, oldest first, so that `cap` stay; none until there are over `slack` times as many.
+
+    With `puts` (how many were written so far) only every so many of them prune. Items are counted in parallel.
+    """
     n = items.count()
-    return items.orderBy(age, ident).limit(n - cap) if n > cap * slack else items.limit(0)
+    if n <= cap * slack or (puts is not None and puts % every):
+        return items.limit(0)
+    run = running_sum(items.withColumn("_one", F.lit(1)), "_one", [F.col(age), F.col(ident)], "_upto")
+    return run.where(F.col("_upto") <= n - cap).drop("_one", "_upto")
+
+
+class _Lru:
+    """Sizes by item, the least recently used first, and their sum."""
+
+    def __init__(self) -> None:
+        self.sizes: OrderedDict = OrderedDict()
+        self.held = 0
+
+    def evict(self, budget: int) -> None:
+        while self.held > budget:
+            self.held -= self.sizes.popitem(last=False)[1]
 
 
 def lru_trace(trace: DataFrame, key: str, seq: str, op: str, item: str, size: str, budget: int) -> DataFrame:
-    """A byte-budget cache replayed over the puts and gets of each key: hit and bytes held after each step.
+    """A byte-budget cache replayed over the steps of each key: hit and bytes held after each step.
 
-    Gets touch, puts replace; items over the budget are not kept. Sequential within a key by definition.
+    Gets touch, tests (`has`) don't; puts replace; items over the budget are not kept; `resize` sets the budget to the
+    step's size and evicts to fit. Sequential within a key by definition; of a key only its cache is kept in memory.
     """
-    schema = f"{key} {trace.schema[key].dataType.simpleString()}, {seq} long, hit boolean, held long"
-
-    def replay(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(seq)
-        cache: OrderedDict = OrderedDict()
-        held, hits, sizes = 0, [], []
-        for o, i, n in zip(x[op], x[item], x[size]):
-            hit = None
-            if o == "get":
-                hit = i in cache
-                if hit:
-                    cache.move_to_end(i)
-            elif n <= budget:
-                held += n - cache.pop(i, 0)
-                cache[i] = n
-                while held > budget:
-                    held -= cache.popitem(last=False)[1]
-            hits.append(hit), sizes.append(held)
-        return pd.DataFrame({key: x[key], seq: x[seq], "hit": pd.array(hits, "boolean"), "held": sizes})
-
-    return trace.select(key, seq, op, item, size).groupBy(key).applyInPandas(replay, schema)
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        cache, most = state
+        at, what, thing, n = row
+        hit = None
+        if what in ("get", "has"):
+            hit = thing in cache.sizes
+            if hit and what == "get":
+                cache.sizes.move_to_end(thing)
+        elif what == "resize":
+            most = n
+            cache.evict(most)
+        elif n <= most:
+            cache.held += n - cache.sizes.pop(thing, 0)
+            cache.sizes[thing] = n
+            cache.evict(most)
+        return (cache, most), [(at, hit, cache.held)]
+
+    return folded(trace.select(key, seq, op, item, size), [key], [seq], lambda: (_Lru(), budget), step, f"{seq} long, hit boolean, held long")
 
 
 def library(files: DataFrame, path: str = "path") -> DataFrame:
@@ -78,14 +95,15 @@ def library(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumns({"name": F.lower(F.regexp_extract(p, r"([^/]*)$", 1)), "ext": S.extension(p), "kind": S.media_kind(p)})
 
 
-SORTS = ("name", "path", "mtime", "size_bytes", "pixel_count")
+#: Sort fields and what an unknown value counts as.
+SORTS = {"name": None, "path": None, "mtime": float("-inf"), "size_bytes": -1, "pixel_count": -1}
 
 
 def sorted_library(items: DataFrame, field: str, descending: bool = False) -> DataFrame:
-    """Items by a field, unknown numbers as -1, ties by path; `place` counts from 1."""
+    """Items by a field, ties by path; unknown whole numbers count as -1, unknown times as before all others."""
     if field not in SORTS:
         raise ValueError(field)
-    c = F.col(field) if field in ("name", "path") else F.coalesce(F.col(field), F.lit(-1))
+    c = F.col(field) if SORTS[field] is None else F.coalesce(F.col(field), F.lit(SORTS[field]))
     return items.orderBy(c.desc() if descending else c.asc(), "path")
 
 
@@ -117,3 +135,45 @@ def section_label(items: DataFrame, folder: str, roots: list[str]) -> DataFrame:
     arr = F.filter(F.array(*rel), lambda x: x.isNotNull()) if roots else F.array().cast("array<string>")
     best = F.array_min(F.transform(arr, lambda x: F.struct(F.size(F.split(x, "/")).alias("n"), x.alias("x"))))
     return items.withColumn("section", F.coalesce(best["x"], c))
+
+
+def in_folder(items: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """Items that lie in a folder itself."""
+    return items.where(S.parent(F.col(path)) == folder)
+
+
+def by_folder(items: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
+    """folder, section, items, place: folders in order of their lower-case names, numbered from 1.
+
+    Only one row a folder is put in order.
+    """
+    f = items.groupBy(S.parent(F.col(path)).alias("folder")).agg(F.count("*").alias("items"))
+    f = section_label(f, "folder", roots)
+    return f.withColumn("place", F.row_number().over(W.orderBy(F.lower("folder"), "folder")).cast("long"))
+
+
+def thumbnail_states(requests: DataFrame, files: DataFrame, cache: DataFrame, path: str = "path") -> DataFrame:
+    """`requests` with state: not found, unsupported, cached, or render."""
+    j = requests.join(files.select(path, F.lit(True).alias("_file")).distinct(), path, "left").join(cache.select(path, F.lit(True).alias("_cached")).distinct(), path, "left")
+    state = F.when(F.col("_file").isNull(), "not found").when(S.media_kind(F.col(path)) == "other", "unsupported").when(F.col("_cached"), "cached").otherwise("render")
+    return j.withColumn("state", state).drop("_file", "_cached")
+
+
+def upkeep(library: DataFrame, changes: DataFrame, path: str = "path") -> DataFrame:
+    """path, thumbnail, error after changes (seq, op, path, value): add, remove, thumbnail (clears an error) or failure.
+
+    The last add or remove of a path says whether it is there; results of a path that was removed since don't count.
+    """
+    base = library.select(path, "thumbnail", "error").withColumn("seq", F.lit(-1).cast("long"))
+    c = changes.withColumn("seq", F.col("seq").cast("long"))
+    every = base.select(path, "seq", F.lit("add").alias("op"), F.lit(None).cast("string").alias("value")).unionByName(c.select(path, "seq", "op", "value"))
+    edit = F.col("op").isin("add", "remove")
+    last = every.groupBy(path).agg(
+        F.max_by("op", F.when(edit, F.col("seq"))).alias("there"), F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("gone_at"),
+        F.max(F.when(~edit, F.struct("seq", "op", "value"))).alias("r"))
+    d = last.where("there = 'add'").join(base.drop("seq"), path, "left")
+    new = F.col("r").isNotNull() & F.coalesce(F.col("r.seq") > F.col("gone_at"), F.lit(True))
+    old = F.col("gone_at").isNull()
+    thumb = F.when(new & (F.col("r.op") == "thumbnail"), F.col("r.value")).when(old, F.col("thumbnail"))
+    error = F.when(new & (F.col("r.op") == "failure"), F.col("r.value")).when(new, F.lit(None)).when(old, F.col("error"))
+    return d.select(path, thumb.alias("thumbnail"), error.alias("error"))

@@ -29,6 +29,11 @@ def state_columns(states: DataFrame, frame: str, state: str, n: int, width: int,
     return counts.join(total, "cx").select("cx", state, (F.col("c").cast("double") / F.col("t")).alias("share"), "any_absent")
 
 
+def range_transitions(changes: DataFrame, start: str = "start", end: str = "end", frame: str = "frame") -> DataFrame:
+    """Changes of ranges (end excluded) as one change for each frame."""
+    return changes.where(F.col(start) < F.col(end)).withColumn(frame, F.explode(F.sequence(F.col(start), F.col(end) - 1))).drop(start, end)
+
+
 def current_generation(results: DataFrame, control: DataFrame) -> DataFrame:
     """Results of the current generation, the largest that the control table names."""
     return results.join(F.broadcast(control.agg(F.max("generation").alias("generation"))), "generation")
@@ -46,16 +51,24 @@ def read_through(wanted: DataFrame, memory: DataFrame, disk: DataFrame, tombston
 
 
 def upsert(store: DataFrame, puts: DataFrame, frame: str, seq: str) -> DataFrame:
-    """The store after puts: the newest row of each frame by sequence."""
+    """The store after puts: the newest row of each frame by sequence. Marks are no part of it: see `cleared`."""
     both = store.unionByName(puts)
     rest = [c for c in both.columns if c != frame]
     return both.groupBy(frame).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(frame, *[f"r.{c}" for c in rest])
 
 
-def invalidate(store: DataFrame, frame: str, at: int | None = None, start: int | None = None) -> DataFrame:
-    """The store without one frame, without all from a frame on, or (neither given) empty."""
+def cleared(marks: DataFrame, puts: DataFrame, frame: str, seq: str) -> DataFrame:
+    """Marks of invalid frames that no later put took back."""
+    last = puts.groupBy(frame).agg(F.max(seq).alias("_put"))
+    return marks.join(last, frame, "left").where(F.col("_put").isNull() | (F.col("_put") < F.col(seq))).drop("_put")
+
+
+def invalidate(store: DataFrame, frame: str, at: int | None = None, start: int | None = None, before: int | None = None) -> DataFrame:
+    """The store without one frame, without all from a frame on, without all before one, or (none given) empty."""
     if at is not None:
         return store.where(F.col(frame) != at)
+    if before is not None:
+        return store.where(F.col(frame) >= before)
     return store.where(F.col(frame) < start) if start is not None else store.limit(0)
 
 

@@ -94,7 +94,7 @@ def routing_active(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT user_id, max(value) AS best_score, arg_max(event_id, (value, -event_id)) AS best_frame, min(event_id) AS first_frame, count(*) AS occurrences,
-arg_max(event_type, (value, -event_id)) AS event_type FROM events GROUP BY user_id""")
+arg_max(event_type, (value, -event_id)) AS event_type, arg_min(event_type, event_id) AS first_event_type FROM events GROUP BY user_id""")
 def identity_representative(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("pos", F.lit(0))
     return I.representative(e, "user_id", "value", "event_id", "pos", ("event_type",))
@@ -109,18 +109,19 @@ _MORE = """, c2 AS (SELECT cat.*, f.first_frame, f.ref_frame, f.det_score FROM c
 max(round(v[1], 6)) AS det_score FROM e GROUP BY label) f ON f.label = cat.ord)"""
 
 
-@query(f"""WITH {_CAT}{_MORE}, g AS (SELECT *, CASE WHEN ord % 5 < 4 THEN 'g' || (ord % 5) ELSE id END AS grp FROM c2),
+@query(f"""WITH {_CAT}{_MORE}, g AS (SELECT *, CASE WHEN ord % 5 < 4 THEN 'g' || (ord % 5) ELSE id END AS grp, -ord AS pos, 'box' || first_frame AS first_bbox, CASE WHEN ord % 2 = 0 THEN 'M' END AS sex FROM c2),
 w AS (SELECT grp, i, sum(centroid[i] * occurrences) AS x FROM (SELECT grp, centroid, occurrences, unnest(range(1, 65)) AS i FROM g) GROUP BY grp, i),
 n AS (SELECT grp, list(x ORDER BY i) AS x FROM w GROUP BY grp)
-SELECT min(ord)::INT AS ord, arg_min(id, ord) AS id, sum(occurrences)::BIGINT AS occurrences, arg_min(source_path, ord) FILTER (source_path IS NOT NULL) AS source_path, min(first_frame) AS first_frame,
-arg_max(ref_frame, (det_score, -ord)) AS ref_frame, max(det_score) AS det_score, round(any_value(n.x[1] / sqrt(list_dot_product(n.x, n.x))), 6) AS c1 FROM g JOIN n USING (grp) GROUP BY grp""")
+SELECT arg_min(ord, pos)::INT AS ord, arg_min(id, pos) AS id, sum(occurrences)::BIGINT AS occurrences, arg_min(source_path, pos) FILTER (source_path IS NOT NULL) AS source_path, min(first_frame) AS first_frame,
+arg_min(first_bbox, (first_frame, pos)) AS first_bbox, arg_max(ref_frame, (det_score, -pos)) AS ref_frame, arg_max([sex], (det_score, -pos))[1] AS sex, max(det_score) AS det_score,
+round(any_value(n.x[1] / sqrt(list_dot_product(n.x, n.x))), 6) AS c1 FROM g JOIN n USING (grp) GROUP BY grp""")
 def merge_identities(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     score = F.round(F.get("embedding", 0).cast("double"), 6)
     f = e.groupBy(F.col("label").cast("int").alias("ord")).agg(F.min("vec_id").alias("first_frame"), F.max(score).alias("det_score"), F.max_by("vec_id", F.struct(score, -F.col("vec_id"))).alias("ref_frame"))
-    c = _catalogue(e).join(f, "ord")
-    groups = c.where("ord % 5 < 4").select("id", (F.col("ord") % 5).alias("grp"))
-    return I.merge(c, groups, 64).select("ord", "id", "occurrences", "source_path", "first_frame", "ref_frame", "det_score", F.round(F.get("centroid", 0), 6).alias("c1"))
+    c = _catalogue(e).join(f, "ord").withColumn("first_bbox", F.concat(F.lit("box"), "first_frame")).withColumn("sex", F.when(F.col("ord") % 2 == 0, "M"))
+    groups = c.where("ord % 5 < 4").select("id", (F.col("ord") % 5).alias("grp"), (-F.col("ord")).alias("pos"))
+    return I.merge(c, groups, 64).select("ord", "id", "occurrences", "source_path", "first_frame", "first_bbox", "ref_frame", "sex", "det_score", F.round(F.get("centroid", 0), 6).alias("c1"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -150,16 +151,14 @@ def bake_geometry(spark: SparkSession, d: str) -> DataFrame:
     return D.bake(_detections(e), "vec_id", "embedding", _catalogue(e), 0.5).select("vec_id", "frame_index", "identity_id", F.round("sim", 5).alias("sim"))
 
 
-@query("""WITH f AS (SELECT unnest(range(0, 250))::BIGINT AS frame_index), g AS (SELECT vec_id % 200 AS frame_index, vec_id FROM embeddings WHERE vec_id % 3 = 0),
-l AS (SELECT vec_id % 250 AS frame_index, vec_id FROM embeddings WHERE vec_id % 3 = 1)
+@query("""WITH f AS (SELECT DISTINCT vec_id // 2 AS frame_index FROM embeddings), l AS (SELECT vec_id // 2 AS frame_index, vec_id, label FROM embeddings),
+g AS (SELECT frame_index, vec_id FROM l WHERE label % 2 = 0)
 SELECT frame_index, vec_id, true AS baked FROM f JOIN g USING (frame_index) UNION ALL
 SELECT frame_index, vec_id, false FROM f JOIN l USING (frame_index) WHERE frame_index NOT IN (SELECT frame_index FROM g)""")
 def geometry_lookup_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id")
-    frames = spark.range(250).withColumnRenamed("id", "frame_index")
-    g = e.where("vec_id % 3 = 0").select((F.col("vec_id") % 200).alias("frame_index"), "vec_id")
-    live = e.where("vec_id % 3 = 1").select((F.col("vec_id") % 250).alias("frame_index"), "vec_id")
-    return D.lookup(frames, g, live)
+    """Two vectors a frame; those of every other label are baked, all are found live."""
+    live = table(spark, d, "embeddings").select(F.expr("vec_id div 2").alias("frame_index"), "vec_id", "label")
+    return D.lookup(live.select("frame_index").distinct(), live.where("label % 2 = 0").drop("label"), live.drop("label"))
 
 
 _BOX = "SELECT event_id, event_id // 4 AS frame_index, event_id % 4 AS pos, (event_id * 37 % 100)::DOUBLE AS x, (event_id * 53 % 80)::DOUBLE AS y, value FROM events"
@@ -225,12 +224,17 @@ def scaled_dims(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def online_clustering(spark: SparkSession, d: str) -> DataFrame:
-    """Ten targets of a tenth of the vectors each, in order of their ids."""
-    e = table(spark, d, "embeddings").withColumn("target", F.col("vec_id") % 10).withColumn("pos", F.lit(0))
+    """Targets of a hundred vectors each, in order of their ids. Held against plain Python in the tests."""
+    e = table(spark, d, "embeddings").withColumn("target", F.expr("vec_id div 100")).withColumn("pos", F.lit(0))
     return I.online_clusters(e, "target", "vec_id", "pos", "embedding", 0.1).drop("pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE b AS ({_BOX}), r AS (SELECT *, value / (value + 20) AS score, row_number() OVER (PARTITION BY frame_index ORDER BY value / (value + 20) DESC, pos) AS n FROM b WHERE value / (value + 20) >= 0.5),
+k AS (SELECT frame_index, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept, NULL::BIGINT AS event_id FROM (SELECT DISTINCT frame_index FROM r)
+UNION ALL SELECT frame_index, n, CASE WHEN hit THEN kept ELSE list_append(kept, {{'x': x, 'y': y}}) END, CASE WHEN NOT hit THEN event_id END FROM (
+ SELECT r.frame_index, r.n, r.x, r.y, r.event_id, k.kept, len(list_filter(k.kept, lambda o: greatest(0, 30 - abs(o.x - r.x)) * greatest(0, 40 - abs(o.y - r.y)) > 0.4::DOUBLE * (2400 - greatest(0, 30 - abs(o.x - r.x)) * greatest(0, 40 - abs(o.y - r.y))))) > 0 AS hit
+ FROM k JOIN r ON r.frame_index = k.frame_index AND r.n = k.n + 1))
+SELECT event_id, frame_index FROM k WHERE event_id IS NOT NULL""")
 def suppress_overlaps(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d).withColumn("score", F.col("value") / (F.col("value") + 20))
     return D.suppress(b, "frame_index", "bbox", "score", ties=("pos",)).select("event_id", "frame_index")

@@ -11,19 +11,18 @@ from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
-#: Ranges of one target, unordered, overlapping, touching and partly below 0.
-PAIRS = [(180, 240), (50, 120), (100, 150), (151, 160), (300, 290), (-10, 5), (-9, -3), (900, 1200)]
-_P = "p AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in PAIRS) + ") v(a, b))"
-_MERGE = """, c0 AS (SELECT {k} greatest(least(a, b), 0) AS s, greatest(a, b) AS e FROM p WHERE greatest(a, b) >= 0),
-c1 AS (SELECT *, max(e) OVER ({p} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c0),
-c2 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER ({p} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM c1),
-x AS (SELECT {k} min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM c2 GROUP BY {k} g)"""
-_ONE = f"WITH {_P}{_MERGE.format(k='', p='')}"
-_CUST = "WITH p AS (SELECT o_custkey AS k, o_orderkey - 3 AS a, o_orderkey + (o_orderkey % 40) AS b FROM orders)" + _MERGE.format(k="k,", p="PARTITION BY k")
+_MERGE = """, c0 AS (SELECT k, greatest(least(a, b), 0) AS s, greatest(a, b) AS e FROM p WHERE greatest(a, b) >= 0),
+c1 AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c0),
+c2 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM c1),
+x AS (SELECT k, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM c2 GROUP BY k, g)"""
+_CUST = "WITH p AS (SELECT o_custkey AS k, o_orderkey - 3 AS a, o_orderkey + (o_orderkey % 40) AS b FROM orders)" + _MERGE
+#: Ranges by priority: a few targets of many ranges each, some turned round and some partly below 0.
+_PRIO = "WITH p AS (SELECT o_orderpriority AS k, o_orderkey + (o_orderkey % 5) AS a, o_orderkey - (o_orderkey % 7) - 2 AS b FROM orders WHERE o_orderkey % 3 = 0)" + _MERGE
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIRS, "start long, end long")
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    return table(spark, d, "orders").where(i % 3 == 0).select(F.col("o_orderpriority").alias("k"), (i + i % 5).alias("start"), (i - i % 7 - 2).alias("end"))
 
 
 def _of_customers(spark: SparkSession, d: str) -> DataFrame:
@@ -31,9 +30,9 @@ def _of_customers(spark: SparkSession, d: str) -> DataFrame:
     return X.canonical(o.select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") - 3).alias("start"), (F.col("o_orderkey") + F.col("o_orderkey") % 40).alias("end")), "k")
 
 
-@query(f"{_ONE} SELECT s AS start, e AS \"end\" FROM x")
+@query(f'{_PRIO} SELECT k, s AS start, e AS "end" FROM x')
 def sections_merge(spark: SparkSession, d: str) -> DataFrame:
-    return X.canonical(_pairs(spark))
+    return X.canonical(_pairs(spark, d), "k")
 
 
 @query(f'{_CUST} SELECT k, s AS start, e AS "end" FROM x')
@@ -80,27 +79,52 @@ def sections_clamp(spark: SparkSession, d: str) -> DataFrame:
     return X.clamp(_of_customers(spark, d), 5000, "k")
 
 
-@query(f'{_ONE} SELECT s AS start, e AS "end" FROM x WHERE s <> 50')
+@query(f'{_CUST}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS i FROM x) SELECT k, s AS start, e AS "end" FROM n WHERE i <> 1')
 def sections_without(spark: SparkSession, d: str) -> DataFrame:
-    return X.without(X.canonical(_pairs(spark)), 1)
+    return X.without(_of_customers(spark, d), 1, "k")
 
 
-@query(f"{_ONE} SELECT f AS frame_index, row_number() OVER (ORDER BY f) - 1 AS position FROM (SELECT unnest(range(s, least(e, 999) + 1)) AS f FROM x WHERE s <= 999)")
+@query("WITH p AS (SELECT o_custkey AS k, o_orderkey - 3 AS a, o_orderkey + (o_orderkey % 40) AS b FROM orders UNION ALL SELECT o_custkey, o_orderkey + 30, o_orderkey + 50 FROM orders)" + _MERGE + ' SELECT k, s AS start, e AS "end" FROM x')
+def sections_union(spark: SparkSession, d: str) -> DataFrame:
+    more = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") + 30).alias("start"), (F.col("o_orderkey") + 50).alias("end"))
+    return X.union(_of_customers(spark, d), more, "k")
+
+
+@query(_CUST.replace("FROM c2 GROUP BY k, g)", "FROM c2 GROUP BY k, g), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS i FROM x)").replace("WITH p AS", "WITH p0 AS")
+       .replace("FROM p WHERE", "FROM p0 WHERE") + ", p AS (SELECT k, CASE WHEN i = 1 THEN 100 ELSE s END AS a, CASE WHEN i = 1 THEN 5000 ELSE e END AS b FROM n)"
+       + _MERGE.replace("c0", "d0").replace("c1", "d1").replace("c2", "d2").replace("x AS", "y AS") + ' SELECT k, s AS start, e AS "end" FROM y')
+def sections_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return X.replaced(_of_customers(spark, d), 1, 100, 5000, "k")
+
+
+#: Every customer is a target of 5,000 frames; those without orders have an empty set, which means all frames.
+_PLAN = f"""{_CUST}, f AS (SELECT k, unnest(range(s, least(e, 4999) + 1)) AS f FROM x WHERE s <= 4999 UNION ALL SELECT c_custkey, unnest(range(0, 5000)) FROM customer WHERE c_custkey NOT IN (SELECT k FROM x)),
+pl AS (SELECT k, f AS frame_index, row_number() OVER (PARTITION BY k ORDER BY f) - 1 AS position FROM f)"""
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(5000).cast("long").alias("total"))
+    return X.frame_plan(_of_customers(spark, d), targets, "k")
+
+
+@query(f"{_PLAN} SELECT k, frame_index, position FROM pl WHERE k IN (SELECT c_custkey FROM customer)")
 def frame_plan(spark: SparkSession, d: str) -> DataFrame:
-    return X.frame_plan(X.canonical(_pairs(spark)), 1000)
+    return _plan(spark, d)
 
 
-@query(f"{_ONE}, p2 AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS n FROM (SELECT unnest(range(s, least(e, 999) + 1)) AS f FROM x WHERE s <= 999)) SELECT f AS frame_index, n AS position FROM p2 WHERE n % 15 = 0 AND n >= 45")
+@query(f"{_PLAN} SELECT k, frame_index, position FROM pl WHERE position % 15 = 0 AND position >= 45 AND k IN (SELECT c_custkey FROM customer)")
 def strided_sample(spark: SparkSession, d: str) -> DataFrame:
-    return X.strided(X.frame_plan(X.canonical(_pairs(spark)), 1000), 15, 3)
+    return X.strided(_plan(spark, d), 15, 3)
 
 
-@query(f"""{_ONE}, o AS (SELECT f, f - row_number() OVER (ORDER BY f) AS g FROM (SELECT unnest(range(0, 1000)) AS f) WHERE NOT EXISTS (SELECT 1 FROM x WHERE f BETWEEN s AND e))
-SELECT min(f)::BIGINT AS start, max(f)::BIGINT AS "end" FROM o GROUP BY g""")
+@query(f"""{_CUST}, c AS (SELECT k, s, least(e, 4999) AS e FROM x WHERE s <= 4999), m AS (SELECT k, s, e FROM c UNION ALL SELECT DISTINCT k, 5000, 5000 FROM c),
+l AS (SELECT k, coalesce(lag(e) OVER (PARTITION BY k ORDER BY s) + 1, 0) AS start, s - 1 AS "end" FROM m) SELECT k, start, "end" FROM l WHERE start <= "end" """)
 def section_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return X.gaps(X.canonical(_pairs(spark)), 1000)
+    return X.gaps(_of_customers(spark, d), 5000, "k")
 
 
-@query(f"{_ONE} SELECT event_id, value FROM events WHERE EXISTS (SELECT 1 FROM x WHERE event_id BETWEEN s AND e)")
+@query(f"{_PRIO} SELECT event_id, value FROM events WHERE EXISTS (SELECT 1 FROM x WHERE k = '1-URGENT' AND event_id BETWEEN s AND e)")
 def selected_frames(spark: SparkSession, d: str) -> DataFrame:
-    return X.selected(table(spark, d, "events").select("event_id", "value"), X.canonical(_pairs(spark)), "event_id")
+    """Events as frames of one target, whose selection is that of urgent orders."""
+    one = X.canonical(_pairs(spark, d), "k").where("k = '1-URGENT'")
+    return X.selected(table(spark, d, "events").select("event_id", "value"), one, "event_id")

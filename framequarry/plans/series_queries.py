@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import playback as B
 from ..operators import series as X
 from ..operators import timeline as L
 from ..session import table
@@ -36,10 +37,10 @@ _WU = f"OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN {3 * STEP * 1000000
 
 @query(f"""WITH {_E}, m AS (SELECT *, event_type IN ('view', 'click') AS is_event FROM e),
 w AS (SELECT *, count(CASE WHEN is_event THEN us END) {_WU} AS n, min(CASE WHEN is_event THEN us END) {_WU} AS f, max(CASE WHEN is_event THEN us END) {_WU} AS l FROM m),
-k AS (SELECT *, CASE WHEN n >= 2 AND l > f THEN (n - 1) / ((l - f) / 1000000.0::DOUBLE) END AS live FROM w),
+k AS (SELECT *, CASE WHEN n >= 2 AND l > f THEN (n - 1) / ((l - f) / 1000000.0::DOUBLE) WHEN n >= 2 THEN 0.0 END AS live FROM w),
 p AS (SELECT *, last_value(live IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS known, max(CASE WHEN is_event THEN us END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS last FROM k),
 i AS (SELECT *, (us - last) / 1000000.0::DOUBLE AS idle FROM p)
-SELECT event_id, round(coalesce(live, CASE WHEN last IS NULL OR idle > {30 * STEP} THEN 0.0 ELSE least(coalesce(known, 120.0), CASE WHEN idle > 0 THEN 1 / idle ELSE 120.0 END) END), 9) AS rate FROM i""")
+SELECT event_id, round(coalesce(live, CASE WHEN last IS NULL OR idle > {30 * STEP} THEN 0.0 ELSE least(CASE WHEN known > 0 THEN known ELSE 120.0 END, CASE WHEN idle > 0 THEN 1 / idle ELSE coalesce(known, 0.0) END) END), 9) AS rate FROM i""")
 def rate_with_decay(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).withColumn("is_event", F.col("event_type").isin("view", "click"))
     return X.rate_with_decay(e, ["user_id"], seconds=3.0 * STEP, stall=30.0 * STEP).select("event_id", F.round("rate", 9).alias("rate"))
@@ -53,9 +54,11 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return r.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
-@query("SELECT user_id, median(value) AS median FROM events WHERE event_type = 'view' GROUP BY user_id")
+@query(f"""WITH {_E}, v AS (SELECT * FROM e WHERE event_type = 'view'), j AS (SELECT a.event_id, b.value FROM v a JOIN v b ON a.user_id = b.user_id AND b.us <= a.us AND b.us >= a.us - {72 * STEP * 1000000})
+SELECT event_id, count(*) AS n, median(value) AS median FROM j GROUP BY event_id""")
 def median_latency(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.median("value").alias("median"))
+    v = _events(spark, d).where("event_type = 'view'")
+    return B.recent_values(v, ["user_id"], "value", "us", 72.0 * STEP).select("event_id", "n", "median")
 
 
 @query(f"WITH {_E} SELECT event_type, round(avg(value), 6) AS mean FROM e WHERE us >= (SELECT max(us) FROM e) - {72 * STEP * 1000000} GROUP BY event_type")
@@ -139,15 +142,16 @@ def smooth_track(spark: SparkSession, d: str) -> DataFrame:
     return X.smooth(t, ["user_id"], "f", ["value"], 9, 0.7).select("event_id", F.round("value", 6).alias("value"))
 
 
-_N, _WIDTH = 1000, 160
+_WIDTH = 160
 
 
-@query(f"""WITH s AS (SELECT event_id AS f, event_type AS state, event_type = 'error' AS a FROM events WHERE event_id < {_N}), c AS (SELECT unnest(range(0, {_WIDTH})) AS cx),
-j AS (SELECT cx, state, count(*) AS c, bool_or(a) AS a FROM c JOIN s ON f >= cx * {_N} // {_WIDTH} AND f < greatest(cx * {_N} // {_WIDTH} + 1, (cx + 1) * {_N} // {_WIDTH}) GROUP BY cx, state)
+@query(f"""WITH s AS (SELECT event_id AS f, event_type AS state, event_type = 'error' AS a FROM events), t AS (SELECT max(f) + 1 AS n FROM s), c AS (SELECT n, unnest(range(0, {_WIDTH})) AS cx FROM t),
+j AS (SELECT cx, state, count(*) AS c, bool_or(a) AS a FROM c JOIN s ON f >= cx * n // {_WIDTH} AND f < greatest(cx * n // {_WIDTH} + 1, (cx + 1) * n // {_WIDTH}) GROUP BY cx, state)
 SELECT cx::INT AS cx, state, round(c / sum(c) OVER (PARTITION BY cx)::DOUBLE, 9) AS share, bool_or(a) OVER (PARTITION BY cx) AS any_absent FROM j""")
 def state_histogram_bins(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("a", F.col("event_type") == "error")
-    r = L.state_columns(e, "event_id", "event_type", _N, _WIDTH, "a")
+    n = (e.agg(F.max("event_id").alias("last")).first().last or 0) + 1
+    r = L.state_columns(e, "event_id", "event_type", n, _WIDTH, "a")
     return r.select("cx", F.col("event_type").alias("state"), F.round("share", 9).alias("share"), "any_absent")
 
 
@@ -195,9 +199,10 @@ def prefill_sparse(spark: SparkSession, d: str) -> DataFrame:
     return _rates(spark, d).select("p_partkey", S.sparse_prefill(F.col("f"), F.col("r"), F.lit(2.5)).alias("frames"))
 
 
-@query(f"WITH {_R} SELECT p_partkey, (CASE WHEN r <= 0 OR f <= 0 THEN 0 ELSE greatest(0, least(ceil(8 * f / nullif(r, 0)), floor(4.0 * f))) END)::BIGINT AS lead, (CASE WHEN r <= 0 OR f <= 0 THEN 1 ELSE greatest(1, ceil(f / nullif(r, 0))) END)::BIGINT AS stride FROM r")
+@query(f"WITH {_R} SELECT p_partkey, (CASE WHEN r <= 0 OR f <= 0 THEN 0 ELSE greatest(0, least(ceil(8 * f / nullif(r, 0)), 120, floor(4.0 * f))) END)::BIGINT AS lead, (CASE WHEN r <= 0 THEN 0 ELSE least(ceil(8 * f / nullif(r, 0)), 120) END)::BIGINT AS free_lead, (CASE WHEN r <= 0 OR f <= 0 THEN 1 ELSE greatest(1, ceil(f / nullif(r, 0))) END)::BIGINT AS stride FROM r")
 def predictive_lead(spark: SparkSession, d: str) -> DataFrame:
-    return _rates(spark, d).select("p_partkey", S.predictive_lead(F.col("f"), F.col("r"), F.lit(4), F.lit(4.0)).alias("lead"), S.stride(F.col("f"), F.col("r")).alias("stride"))
+    lead = [S.predictive_lead(F.col("f"), F.col("r"), F.lit(8), F.lit(120), *cap).alias(n) for n, cap in (("lead", [F.lit(4.0)]), ("free_lead", []))]
+    return _rates(spark, d).select("p_partkey", *lead, S.stride(F.col("f"), F.col("r")).alias("stride"))
 
 
 @query("SELECT event_id, greatest(0, least(5000, CASE WHEN event_type <> 'error' THEN event_id % 100 + floor(value * 25.0) ELSE event_id % 100 END))::BIGINT AS frame FROM events")

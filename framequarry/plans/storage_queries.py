@@ -92,18 +92,23 @@ def queue_next_task(spark: SparkSession, d: str) -> DataFrame:
     return J.next_task(_tasks(spark, d)).select("order", "file")
 
 
-@query("SELECT page_id, row_number() OVER (ORDER BY length(html) DESC, url) AS place FROM pages QUALIFY place <= 20")
+@query("""SELECT page_id, row_number() OVER (ORDER BY coalesce(nullif(length(html), 3514), -1) DESC, url) AS place FROM pages QUALIFY place <= 20 UNION ALL
+SELECT page_id, -row_number() OVER (ORDER BY coalesce(CASE WHEN page_id % 3 > 0 THEN page_id::DOUBLE % 7 END, '-inf'::DOUBLE), url) FROM pages QUALIFY row_number() OVER (ORDER BY coalesce(CASE WHEN page_id % 3 > 0 THEN page_id::DOUBLE % 7 END, '-inf'::DOUBLE), url) <= 20""")
 def library_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty largest items; the report is a top list."""
+    """The twenty largest and (places below 0) the twenty oldest items, unknown sizes and times among them; top lists."""
     from pyspark.sql import Window as W
 
-    top = C.sorted_library(_items(spark, d), "size_bytes", True).limit(20)
-    return top.select("page_id", F.row_number().over(W.orderBy(F.col("size_bytes").desc(), "path")).cast("long").alias("place"))
+    items = _items(spark, d).withColumn("size_bytes", F.nullif("size_bytes", F.lit(3514))).withColumn("mtime", F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 7).cast("double")))
+    large, old = C.sorted_library(items, "size_bytes", True).limit(20), C.sorted_library(items, "mtime").limit(20)
+    place = lambda *order: F.row_number().over(W.orderBy(*order)).cast("long")
+    a = large.select("page_id", place(F.coalesce("size_bytes", F.lit(-1)).desc(), "path").alias("place"))
+    return a.unionAll(old.select("page_id", (-place(F.coalesce("mtime", F.lit(float("-inf"))), "path")).alias("place")))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1')")
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_brand || ' ' || p_name), lower('D#1'))")
 def library_filter(spark: SparkSession, d: str) -> DataFrame:
-    return C.caption_filter(table(spark, d, "part"), "p_name", "1").select("p_partkey", "p_name")
+    p = table(spark, d, "part").withColumn("caption", F.concat_ws(" ", "p_brand", "p_name"))
+    return C.caption_filter(p, "caption", "D#1").select("p_partkey", "p_name", "p_brand")
 
 
 @query("SELECT lower(regexp_extract(url, '([^/]*)$', 1)) AS name, count(*) AS n FROM pages GROUP BY 1")
@@ -111,16 +116,26 @@ def library_by_name(spark: SparkSession, d: str) -> DataFrame:
     return C.library(_items(spark, d)).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY lang")
+@query(r"WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS path, page_id, length(html)::BIGINT AS size_bytes FROM pages), q AS (SELECT * FROM p UNION ALL SELECT path, page_id + 1000000, size_bytes FROM p) SELECT path, min(page_id) AS page_id, arg_min(size_bytes, page_id) AS size_bytes FROM q GROUP BY path")
 def library_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return C.first_by_path(table(spark, d, "documents").select("lang", "doc_id", "source"), "lang", "doc_id")
+    """All pages added twice, under paths without query and fragment: the first of each path stays."""
+    p = _items(spark, d).withColumn("path", F.regexp_replace("path", r"[?#].*$", ""))
+    return C.first_by_path(p.unionByName(p.withColumn("page_id", F.col("page_id") + 1_000_000)), "path", "page_id")
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/a.MP4' WHEN 1 THEN url || '/a.png' WHEN 2 THEN url || '/a' ELSE url || '/a.txt' END AS path FROM pages)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'video' WHEN 1 THEN 'image' ELSE 'other' END AS kind FROM p""")
+_ENDS = [f"/a.{e}" for e in (*S.VIDEO, *S.IMAGE)] + ["/A.JFIF", "/b.M2TS", "/.gif", "/a", "/a.txt", "/a.", "/a.tar.3gp", "/x.mp4/a", "..ogv"]
+_EXT = r"lower(regexp_extract(path, '[^/\\]\.([^./\\]+)$', 1))"
+_IN = lambda x: ", ".join(f"'{e}'" for e in x)
+
+
+@query(f"""WITH p AS (SELECT page_id, url || ([{_IN(_ENDS)}])[page_id % {len(_ENDS)} + 1] AS path FROM pages), e AS (SELECT page_id, path, {_EXT} AS ext FROM p)
+SELECT page_id, ext, CASE WHEN ext IN ({_IN(S.VIDEO)}) THEN 'video' WHEN ext IN ({_IN(S.IMAGE)}) THEN 'image' ELSE 'other' END AS kind,
+CASE WHEN ext = 'txt' THEN 'video' WHEN ext IN ({_IN(S.IMAGE)}) THEN 'image' ELSE 'other' END AS own_kind FROM e""")
 def media_kind(spark: SparkSession, d: str) -> DataFrame:
-    end = F.get(F.array(*[F.lit(x) for x in ("/a.MP4", "/a.png", "/a", "/a.txt")]), (F.col("page_id") % 4).cast("int"))
-    return table(spark, d, "pages").select("page_id", S.media_kind(F.concat("url", end)).alias("kind"))
+    """By the usual extensions, and with an own set for videos."""
+    end = F.get(F.array(*[F.lit(x) for x in _ENDS]), (F.col("page_id") % len(_ENDS)).cast("int"))
+    p = F.concat("url", end)
+    return table(spark, d, "pages").select("page_id", S.extension(p).alias("ext"), S.media_kind(p).alias("kind"), S.media_kind(p, video=[".TXT"]).alias("own_kind"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,3 +46,17 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(archive))  # Spark's own file server hands it out
     context._framequarry_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, deleted when the application ends: under spark.checkpoint.dir, or on
+    this machine if all of Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="framequarry-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

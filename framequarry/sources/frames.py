@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import scalars as S
+
 FRAMES = "target_id string, frame_index bigint, height int, width int, payload binary"
 
 
@@ -29,17 +31,68 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", F.col("modificationTime").alias("mtime"))
 
 
+def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """path, length, mtime, ext, kind of media files under a folder; unreadable entries are passed over.
+
+    Names are filtered before any file is opened; contents are never read.
+    """
+    exts = S.normal_extensions(extensions or ()) or S.VIDEO + S.IMAGE
+    spelled = "{" + ",".join(sorted({v for e in exts for v in (e, e.upper())})) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option(
+        "ignoreCorruptFiles", "true").option("pathGlobFilter", f"*.{spelled}").load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("mtime"), S.extension(F.col("path")).alias("ext"), S.media_kind(F.col("path")).alias("kind"))
+
+
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """frame_index of all files of a store named by number, whatever their size (Spark's readers leave out empty ones)."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in p.getFileSystem(hadoop).listStatus(p)]
+    numbers = [(int(n.split(".")[0]),) for n in names if n.split(".")[0].isdigit()]
+    return spark.createDataFrame(numbers, "frame_index long")
+
+
+#: Readers by the name users choose them by; decoders of real files register here.
+BACKENDS = {"synthetic": "synthetic_video"}
+
+
+def video(spark: SparkSession, backend: str, **options) -> DataFrame:
+    """Frames by the reader of a backend, each task reading a contiguous range of frames."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}, known: {', '.join(sorted(BACKENDS))}")
+    register(spark)
+    r = spark.read.format(BACKENDS[backend])
+    for k, v in options.items():
+        r = r.option(k, v)
+    return r.load()
+
+
 def planned(frames: DataFrame, plan: DataFrame) -> DataFrame:
     """Frames by their place in a plan (frame_index, position); the original index stays beside it."""
     return frames.join(plan, "frame_index")
 
 
-def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, one per file; unknown fields are ignored, corrupt files are absent."""
-    r = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON documents, one per file (or `lines`); unknown fields are ignored, corrupt ones are absent."""
+    r = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", str(not lines).lower()).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return r.withColumn("_ok", F.col("_corrupt").isNull()).where("_ok").drop("_corrupt", "_ok")
 
 
+def settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
+    """Settings saved as one JSON document: defaults for what lacks; a corrupt file is kept as .bak and defaults apply."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(hadoop)
+    if not fs.exists(p):
+        return dict(defaults)
+    schema = ", ".join(f"{k} string" for k in defaults)
+    rows = documents(spark, path, schema).limit(1).collect()  # one small document
+    if not rows:
+        fs.rename(p, jvm.org.apache.hadoop.fs.Path(path + ".bak"))
+        return dict(defaults)
+    return {k: v if rows[0][k] is None else rows[0][k] for k, v in defaults.items()}
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, end: int):
         super().__init__((start, end))
@@ -92,6 +145,33 @@ def load(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("config_key") == key).drop("config_key")
 
 
+def write_files(frames: DataFrame, path: str, ext: str, encode=None, frame: str = "frame_index", payload: str = "payload") -> DataFrame:
+    """Frames as files %08d.ext in a folder that all machines share (frame_index, bytes written). Each task writes its own
+    frames, each under a temporary name first, so that a repeated task does no harm; `encode` turns a payload into bytes."""
+    import os
+    import uuid
+
+    def run(batches):
+        import pandas as pd
+
+        os.makedirs(path, exist_ok=True)
+        for x in batches:
+            sizes = []
+            for i, data in zip(x[frame], x[payload]):
+                data = encode(data) if encode else bytes(data)
+                name = os.path.join(path, f"{int(i):08d}.{ext}")
+                tmp = f"{name}.{uuid.uuid4().hex}"
+                with open(tmp, "wb") as f:
+                    f.write(data)
+                os.replace(tmp, name)
+                sizes.append(len(data))
+            yield pd.DataFrame({"frame_index": x[frame], "length": sizes})
+
+    return frames.select(frame, payload).mapInPandas(run, "frame_index long, length long")
+
+
 def save_documents(df: DataFrame, path: str) -> None:
-    """Rows as JSON documents, written whole or not at all by Spark's commit."""
-    df.write.mode("overwrite").json(path)
+    """Rows as JSON documents, in the place of those at `path`; a broken write leaves the old ones."""
+    from ..operators.stores import save_whole
+
+    save_whole(df, path, "json")

@@ -1,117 +1,127 @@
 """Frame-skip policies and live-loop rules as replays over ordered tick tables, and as stateful streaming operators.
 
 Each policy folds the ticks of one session in order; sessions run in parallel. The same folds serve a batch replay
-(applyInPandas) and a stream (applyInPandasWithState), where the state is a small tuple per session.
+(a sorted stream of rows) and a stream (applyInPandasWithState), where the state is a small tuple per session.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..plans.groups import folded
+
 TICK = ["seq", "target", "last_submitted", "last_completed", "read_latency_ms", "process_fps", "workers", "outstanding"]
-#: (falling back, best lag while falling back, fallback given up, anything completed yet)
+Tick = namedtuple("Tick", TICK)
+#: (reading in sequence, least lag since that began, given up, anything completed yet): how a session starts.
 START = (False, 0, False, False)
-
-
-def _known(x) -> bool:
-    return x is not None and x == x
-
-
-def lagging(state: tuple, target: int, completed: int, latency, max_lag: int, recover_lag: int, slow_ms: float) -> tuple:
-    """The state after a tick. Reading in sequence starts when lag exceeds `max_lag` and reads are slow, ends when lag
-    is down to `recover_lag`, and is given up, until then, when lag grows by another `max_lag` over its best."""
-    back, best, off, ever = state
-    lag = target - completed
-    if back:
-        best = min(best, lag)
-        if lag <= recover_lag:
-            back = False
-        elif lag > best + max_lag:
-            back, off = False, True
-    elif off:
-        off = lag > recover_lag
-    elif lag > max_lag and _known(latency) and latency > slow_ms:
-        back, best = True, lag
-    return back, best, off, ever
-
-
-def synced(max_lag: int = 60, recover_lag: int | None = None, ahead: int = 120, slow_ms: float = 50.0) -> Callable:
-    """Skip to the present frame, sequential while reads can't follow; None once the look-ahead is full."""
+#: How a session reads: at the present frame, in sequence, or at the present frame after sequence brought nothing.
+PRESENT, SEQUENCE, GIVEN_UP = (False, False), (True, False), (False, True)
+#: What ends each way of reading, the first that holds, and the way that follows.
+CHANGES = {
+    PRESENT: (("behind on slow reads", SEQUENCE),),
+    SEQUENCE: (("caught up", PRESENT), ("falling further behind", GIVEN_UP)),
+    GIVEN_UP: (("caught up", PRESENT),),
+}
+
+
+def _after(state: tuple, t, max_lag: int, recover_lag: int, slow_ms: float) -> tuple:
+    """A session's state once a tick's lag is known. All limits but `recover_lag` must be passed to count."""
+    sequence, least, given_up, ever = state
+    lag = t.target - t.last_completed
+    least = min(least, lag) if sequence else lag
+    holds = {
+        "caught up": lag <= recover_lag,
+        "behind on slow reads": lag > max_lag and (t.read_latency_ms or 0) > slow_ms,
+        "falling further behind": lag > least + max_lag,
+    }
+    way = (sequence, given_up)
+    sequence, given_up = next((then for what, then in CHANGES[way] if holds[what]), way)
+    return sequence, least, given_up, ever
+
+
+def _full(t, factor: int) -> bool:
+    return t.outstanding >= max(1, t.workers) * factor
+
+
+def _known(rate) -> bool:
+    return rate is not None and rate > 0
+
+
+def _policy(lead: Callable, full: Callable, max_lag: int, recover_lag: int | None, ahead: int, slow_ms: float) -> Callable:
+    """decide(state, tick) -> (state, frame or None): idle while `full`, in order until anything is done, then by the
+    session's way of reading; `lead(tick)` frames are added to the present one, and none is taken over `ahead` of it."""
     low = min(max_lag // 2 if recover_lag is None else recover_lag, max_lag)
 
     def decide(state: tuple, t) -> tuple[tuple, int | None]:
         state = (*state[:3], state[3] or t.last_completed >= 0)
+        following = t.last_submitted + 1
+        if full(t):
+            return state, None
         if not state[3]:
-            return (False, *state[1:]), t.last_submitted + 1
-        state = lagging(state, t.target, t.last_completed, t.read_latency_ms, max_lag, low, slow_ms)
+            return (False, *state[1:]), following
+        state = _after(state, t, max_lag, low, slow_ms)
         if state[0]:
-            return state, t.last_submitted + 1
-        frame = max(t.last_submitted + 1, t.target)
-        return state, None if frame > t.target + ahead else frame
+            return state, following
+        frame = max(following, t.target + lead(t))
+        return state, frame if frame <= t.target + ahead else None
 
     return decide
 
 
+def synced(max_lag: int = 60, recover_lag: int | None = None, ahead: int = 120, slow_ms: float = 50.0) -> Callable:
+    """Skip to the present frame, sequential while reads can't follow; None once the look-ahead is full."""
+    return _policy(lambda t: 0, lambda t: False, max_lag, recover_lag, ahead, slow_ms)
+
+
 def predictive(max_lag: int = 60, recover_lag: int | None = None, ahead: int = 120, slow_ms: float = 50.0, factor: int = 2, fps: float = 30.0, max_lead_seconds: float | None = None) -> Callable:
     """As `synced`, but idle while enough is in flight, and aimed at the frame that is due when this one is done."""
-    low = min(max_lag // 2 if recover_lag is None else recover_lag, max_lag)
     bound = ahead if max_lead_seconds is None else min(ahead, int(max_lead_seconds * fps))
 
-    def decide(state: tuple, t) -> tuple[tuple, int | None]:
-        state = (*state[:3], state[3] or t.last_completed >= 0)
-        room = max(1, t.workers) * factor
-        if t.outstanding >= room:
-            return state, None
-        if not state[3]:
-            return (False, *state[1:]), t.last_submitted + 1
-        state = lagging(state, t.target, t.last_completed, t.read_latency_ms, max_lag, low, slow_ms)
-        if state[0]:
-            return state, t.last_submitted + 1
-        rate = t.process_fps
-        lead = max(0, min(math.ceil(room * fps / rate), bound)) if _known(rate) and rate > 0 else 0
-        frame = max(t.last_submitted + 1, t.target + lead)
-        return state, None if frame > t.target + ahead else frame
+    def lead(t) -> int:
+        passed = math.ceil(max(1, t.workers) * factor * fps / t.process_fps) if _known(t.process_fps) else 0
+        return max(0, min(passed, bound))
 
-    return decide
+    return _policy(lead, lambda t: _full(t, factor), max_lag, recover_lag, ahead, slow_ms)
 
 
 def buffering(ahead: int = 600, factor: int = 2, fps: float = 30.0) -> Callable:
     """A ladder of every k-th frame ahead of a frozen target, k being what processing can keep up with."""
 
     def decide(state: tuple, t) -> tuple[tuple, int | None]:
-        if t.outstanding >= max(1, t.workers) * factor:
-            return state, None
-        rate = t.process_fps
-        step = max(1, math.ceil(fps / rate)) if _known(rate) and rate > 0 and fps > 0 else 1
+        step = max(1, math.ceil(fps / t.process_fps)) if _known(t.process_fps) and fps > 0 else 1
         frame = t.last_submitted + step
-        return state, None if frame > t.target + ahead else frame
+        return state, None if _full(t, factor) or frame > t.target + ahead else frame
 
     return decide
 
 
+def buffering_frame(ahead: int = 600, factor: int = 2, fps: float = 30.0) -> Column:
+    """`buffering` as a column of a tick table: it needs no state."""
+    frame = F.col("last_submitted") + S.stride(F.lit(fps), F.coalesce("process_fps", F.lit(0.0)))
+    full = F.col("outstanding") >= F.greatest(F.lit(1), F.col("workers")) * factor
+    return F.when(~full & (frame <= F.col("target") + ahead), frame).cast("long")
+
+
 def best_effort() -> Callable:
     return lambda state, t: (state, t.last_submitted + 1)
 
 
 def replay(ticks: DataFrame, key: str, decide: Callable) -> DataFrame:
-    """key, seq, next_frame, mode of each tick of each session."""
-    schema = f"{key} {ticks.schema[key].dataType.simpleString()}, seq long, next_frame long, mode string"
+    """key, seq, next_frame, mode of each tick of each session; a session's state is all that a task keeps of it."""
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("seq")
-        state, frames, modes = START, [], []
-        for t in x.itertuples(index=False):
-            state, frame = decide(state, t)
-            frames.append(frame), modes.append("lagging" if state[0] else "normal")
-        return pd.DataFrame({key: x[key], "seq": x["seq"], "next_frame": pd.array(frames, "Int64"), "mode": modes})
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        state, frame = decide(state, Tick._make(row))
+        return state, [(row[0], frame, "lagging" if state[0] else "normal")]
 
-    return ticks.select(key, *TICK).groupBy(key).applyInPandas(run, schema)
+    return folded(ticks.select(key, *TICK), [key], ["seq"], lambda: START, step, "seq long, next_frame long, mode string")
 
 
 def replay_stream(ticks: DataFrame, key: str, decide: Callable) -> DataFrame:
@@ -139,75 +149,66 @@ def latest_wins(done: DataFrame, key: str, order: str, seq: str, generation: str
     return done.withColumn("_top", top).where(F.col("_top").isNull() | (at > F.col("_top"))).drop("_top")
 
 
-def latest_wins_stream(done: DataFrame, key: str, order: str, seq: str) -> DataFrame:
-    """`latest_wins` over a stream: the state of a key is the largest sequence shown."""
-    schema = f"{key} {done.schema[key].dataType.simpleString()}, {order} {done.schema[order].dataType.simpleString()}, {seq} long"
+def latest_wins_stream(done: DataFrame, key: str, order: str, seq: str, generation: str) -> DataFrame:
+    """`latest_wins` over a stream: the state of a key is the generation and sequence of what was shown last."""
+    kinds = {c: done.schema[c].dataType.simpleString() for c in (key, order, seq, generation)}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(parts)).sort_values(order)
-        top = held.get[0] if held.exists else -1
-        before = x[seq].cummax().shift(fill_value=-1).clip(lower=top)
-        out = x[x[seq] > before]
-        held.update((int(max(top, x[seq].max())),))
-        yield pd.DataFrame({key: k[0], order: out[order], seq: out[seq]})
+        top, keep = tuple(held.get) if held.exists else (-(2**63), -(2**63)), []
+        for at in zip(x[generation].tolist(), x[seq].tolist()):
+            keep.append(at > top)
+            top = max(top, at)
+        held.update(top)
+        out = x[keep]
+        yield pd.DataFrame({key: k[0], order: out[order], seq: out[seq], generation: out[generation]})
 
-    return done.select(key, order, seq).groupBy(key).applyInPandasWithState(run, schema, "top long", "append", "NoTimeout")
+    return done.select(*kinds).groupBy(key).applyInPandasWithState(run, schema, "generation long, seq long", "append", "NoTimeout")
 
 
 def drop_oldest(events: DataFrame, key: str, seq: str, op: str, item: str, capacity: int) -> DataFrame:
     """key, seq, item, fate of every put into a bounded queue: taken, dropped (the oldest gives way) or waiting."""
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, {seq} long, {item} long, fate string"
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
+    def step(queue: deque, row: tuple) -> tuple[deque, list[tuple]]:
+        at, what, thing = row
+        if what == "put":
+            out = [(*queue.popleft(), "dropped")] if len(queue) == capacity else []
+            queue.append((at, thing))
+            return queue, out
+        return queue, [(*queue.popleft(), "taken")] if queue else []
 
-        queue: deque = deque()
-        fate: dict[int, str] = {}
-        x = x.sort_values(seq)
-        for s, o in zip(x[seq], x[op]):
-            if o == "put":
-                if len(queue) == capacity:
-                    fate[queue.popleft()] = "dropped"
-                queue.append(s)
-            elif queue:
-                fate[queue.popleft()] = "taken"
-        puts = x[x[op] == "put"]
-        return pd.DataFrame({key: puts[key], seq: puts[seq], item: puts[item], "fate": [fate.get(s, "waiting") for s in puts[seq]]})
-
-    return events.select(key, seq, op, item).groupBy(key).applyInPandas(run, schema)
+    return folded(events.select(key, seq, op, item), [key], [seq], deque, step, f"{seq} long, {item} long, fate string",
+                  lambda queue: [(*x, "waiting") for x in queue])
 
 
 def drop_newest(events: DataFrame, key: str, seq: str, op: str, capacity: int) -> DataFrame:
     """key, accepted, dropped, written of a bounded writer: a put while full is dropped."""
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, accepted long, dropped long, written long"
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        waiting = accepted = dropped = written = 0
-        for o in x.sort_values(seq)[op]:
-            if o == "put":
-                full = waiting >= capacity
-                dropped, accepted, waiting = dropped + full, accepted + (not full), waiting + (not full)
-            elif waiting:
-                waiting, written = waiting - 1, written + 1
-        return pd.DataFrame({key: x[key].iloc[:1], "accepted": accepted, "dropped": dropped, "written": written})
+    def step(state: tuple, row: tuple) -> tuple[tuple, list]:
+        waiting, accepted, dropped, written = state
+        if row[1] != "put":
+            return (waiting - 1, accepted, dropped, written + 1) if waiting else state, []
+        if waiting >= capacity:
+            return (waiting, accepted, dropped + 1, written), []
+        return (waiting + 1, accepted + 1, dropped, written), []
 
-    return events.select(key, seq, op).groupBy(key).applyInPandas(run, schema)
+    return folded(events.select(key, seq, op), [key], [seq], lambda: (0, 0, 0, 0), step, "accepted long, dropped long, written long", lambda s: [s[1:]])
 
 
 def throttle(events: DataFrame, key: str, micros: str, seconds: float) -> DataFrame:
     """key, time of events that are passed on: the first, then each that lies the seconds or more after the last passed."""
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, {micros} long"
     least = round(seconds * 1e6)
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        t = x[micros].sort_values().to_numpy()
-        out, i = [], 0
-        while i < len(t):
-            out.append(t[i])
-            i = max(i + 1, int(t.searchsorted(t[i] + least)))
-        return pd.DataFrame({key: x[key].iloc[0], micros: out})
+    def step(last: int | None, row: tuple) -> tuple[int, list[tuple]]:
+        return (row[0], [row]) if last is None or row[0] >= last + least else (last, [])
+
+    return folded(events.select(key, micros), [key], [micros], lambda: None, step, f"{micros} long")
+
 
-    return events.select(key, micros).groupBy(key).applyInPandas(run, schema)
+def pace(elapsed: Column, fps: Column) -> Column:
+    """Seconds to wait so that a loop makes no more than `fps` rounds a second; none without a rate."""
+    return F.when(fps > 0, F.greatest(F.lit(0.0), 1 / F.nullif(fps, F.lit(0.0)) - elapsed)).otherwise(0.0)
 
 
 def newest_per_batch(stream: DataFrame, key: str, order: str, show: Callable[[DataFrame], None]):
