@@ -32,6 +32,8 @@ from .shingles import BYTE, mixed, powers
 LENGTH, Q = 100, 20
 #: Different records of one rank that are sorted together; larger buckets are dealt out by suffix.
 MOST_TOGETHER = 4096
+#: Ranks of larger buckets are broadcast up to so many.
+MAX_BROADCAST_RANKS = 500_000
 PLACE_BITS = 21
 _LOW = np.uint64((1 << PLACE_BITS) - 1)
 
@@ -198,7 +200,7 @@ def with_texts(d: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def suffixes(d: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the records that are sorted suffix by suffix: rank, id, kd, at, big, bytes; one row of 8-byte hash for each suffix if big."""
+    """The bytes of the records that are sorted suffix by suffix: rank, id, kd, at, big, bytes; one row of two 8-byte hashes for each suffix if big."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, text = None, b""
@@ -221,7 +223,8 @@ def suffixes(d: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
                         c = prefix_sums(x)
                         m = s - e + 1
                         h = mixed((c[length : length + m] - c[:m]) * powers("inverse", m)).view(np.int64)
-                        out += [(int(h[j]), ids[i], kd[i], place - s + j, True, None) for j in range(m)]
+                        # beside the hash, other 64 bits of the same bytes
+                        out += [(int(h[j]), ids[i], kd[i], place - s + j, True, hashlib.blake2b(part[j : j + length], digest_size=8).digest()) for j in range(m)]
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))],
@@ -256,8 +259,12 @@ def sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
         x = zero[owner] + k
         h = mixed((c[x + length] - c[x]) * powers("inverse", len(data) + 1)[x])
         order = np.argsort(h, kind="stable")  # records come by id and place, so the earliest of equal suffixes is first
+        same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
         again = np.zeros(len(h), bool)
-        again[order[1:]] = h[order[1:]] == h[order[:-1]]
+        window = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
+        for i in range(0, len(same), 20_000):  # neighbours of one hash are held against each other byte by byte
+            at = same[i : i + 20_000]
+            again[order[at + 1]] = (window[x[order[at + 1]]] == window[x[order[at]]]).all(1)
         o, lo, hi = repeated_starts((place - s)[owner] + k, again, owner)
         return pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(kd[o]), pa.array(lo), pa.array(hi)], names=["id", "kd", "lo", "hi"])
 
@@ -281,7 +288,7 @@ def sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
 
 
 def dealt_suffixes(rows: DataFrame) -> DataFrame:
-    """id, kd, lo, hi: of single suffixes by hash, all but the earliest; one row is kept in mind."""
+    """id, kd, lo, hi: of single suffixes by two hashes (128 bits), all but the earliest; one row is kept in mind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -289,13 +296,15 @@ def dealt_suffixes(rows: DataFrame) -> DataFrame:
             h, ids, kd, at = (b.column(i).to_numpy() for i in range(4))
             if not len(h):
                 continue
+            other = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64)
             again = np.zeros(len(h), bool)
-            again[1:] = h[1:] == h[:-1]
-            again[0] = last is not None and h[0] == last
-            last = h[-1]
+            again[1:] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
+            again[0] = last == (h[0], other[0])
+            last = (h[-1], other[-1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(kd[again]), pa.array(at[again]), pa.array(at[again])], names=["id", "kd", "lo", "hi"])
 
-    return rows.select("rank", "id", "kd", "at").repartition("rank").sortWithinPartitions("rank", "id", "at").mapInArrow(run, "id long, kd int, lo long, hi long")
+    rows = rows.select("rank", "id", "kd", "at", "bytes").repartition("rank").sortWithinPartitions("rank", "bytes", "id", "at")
+    return rows.mapInArrow(run, "id long, kd int, lo long, hi long")
 
 
 def without_repeats(d: DataFrame, ranges: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -360,10 +369,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text: b
     known = common.written(settled(table, length))
     copies = known.where("lo is not null").select("id", "kd", "lo", "hi")
     firsts = known.where("lo is null").select("rank", "id", "kd", "at")
-    size = firsts.groupBy("rank").agg(F.count("*").alias("size"))
-    firsts = firsts.join(size, "rank").withColumn("big", F.col("size") > most_together)
+    # only the few large ranks are looked for among the records, which needn't be dealt out by rank for it
+    big = firsts.groupBy("rank").agg(F.count("*").alias("size")).where(F.col("size") > most_together).select("rank", F.lit(True).alias("big"))
+    firsts = firsts.join(common.small(common.written(big), MAX_BROADCAST_RANKS), "rank", "left").withColumn("big", F.coalesce("big", F.lit(False)))
     parts = common.written(suffixes(d, firsts, length))
     sorted_out = common.written(sorted_buckets(parts.where("not big"), length).unionAll(dealt_suffixes(parts.where("big"))))
+    common.dropped(parts)
     ranges = copies.unionAll(sorted_out)
     return without_repeats(d, ranges, length, with_text)
 

@@ -297,3 +297,30 @@ def test_jaccard_kept_rows(spark):
     assert {r.component_id for r in got} == {5, 8}
     kept = {r.row_key for r in got if r.kept and r.n_shingles}
     assert len(kept) == 1 and all((r.row_key in kept) == r.kept for r in got if r.n_shingles)
+
+
+@pytest.mark.parametrize("most_together", [4096, 3])
+def test_suffix_dedup_long_and_periodic_texts(spark, most_together):
+    """Texts beyond a slice, with copies across its border, and periodic ones of several periods, against all substrings."""
+    from framequarry.llm import suffix_dedup
+
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n).tolist()))
+    part, big = letters(700), letters(1_100_000)
+    rows = [(1, big[: 2**20 - 50] + part + big[2**20 - 50 :]), (2, "x" + part + "y" * 150), (3, big[2**20 - 300 : 2**20 + 900]), (4, "z" * 350), (5, ("abc" * 90) + part[:120]), (6, ("abcd" * 80)), (7, "bca" * 70)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most_together=most_together).collect()
+    seen: set[bytes] = set()
+    want = {}
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, np.int32)
+        for k in range(len(b) - 99):
+            h = hashlib.blake2b(b[k : k + 100], digest_size=12).digest()
+            if h in seen:
+                gone[k] += 1
+                gone[k + 100] -= 1
+            seen.add(h)
+        out = np.cumsum(gone[:-1]) > 0
+        kept = np.frombuffer(b, np.uint8)[~out].tobytes()
+        want[i] = (len(b), int(out.sum()), int((out & ~np.concatenate([[False], out[:-1]])).sum()), hashlib.sha256(kept).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
