@@ -62,6 +62,19 @@ def empty_model() -> dict[str, np.ndarray]:
             "hb": np.zeros(HIDDEN, np.float32), "v": np.zeros(HIDDEN, np.float32), "vb": np.zeros(1, np.float32)}
 
 
+def maxima(m: dict[str, np.ndarray], x: np.ndarray, t: int, some: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of each filter's highest response in each chunk; a few chunks at a time, so that they stay in the cache."""
+    arg, top = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+    for s in range(0, len(x), some):
+        part = x[s : s + some]
+        z = m["w"][0].take(part[:, :t], 0)
+        for j in range(1, WIDTH):
+            z += m["w"][j].take(part[:, j : j + t], 0)
+        arg[s : s + some] = z.argmax(1)
+        top[s : s + some] = np.take_along_axis(z, arg[s : s + some][:, None], 1)[:, 0]
+    return arg, top + m["b"]
+
+
 def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
     """Adam on the mean log loss of documents, over all their chunks; gradients pass a max only at its place.
 
@@ -85,12 +98,9 @@ def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str,
             ids = order[at : at + BATCH]
             kept = []
             for x, of in gathered(docs[i] for i in ids):
-                z = np.repeat(m["b"][None, None], len(x), 0) + m["w"][0][x[:, :t]]
-                for j in range(1, WIDTH):
-                    z += m["w"][j][x[:, j : j + t]]
-                arg = z.argmax(1)
+                arg, top = maxima(m, x, t)
                 rows = np.arange(len(x))[:, None]
-                kept.append((of, np.take_along_axis(z, arg[:, None], 1)[:, 0], np.stack([x[rows, arg + j] for j in range(WIDTH)])))
+                kept.append((of, top, np.stack([x[rows, arg + j] for j in range(WIDTH)])))
             of, top, seen = (np.concatenate(c, axis) for c, axis in zip(zip(*kept), (0, 0, 1)))
             pool = np.maximum(top, 0)
             hid = np.tanh(pool @ m["h"] + m["hb"])
