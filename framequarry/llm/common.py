@@ -104,6 +104,33 @@ def repeated(docs: DataFrame, k1: str, k2: str, max_rows: int = 500_000) -> Data
     return None if many.isEmpty() else small(many, max_rows)
 
 
+#: Groups over a block are broadcast up to so many.
+MAX_BROADCAST_GROUPS = 500_000
+
+
+def dealt(rows: DataFrame, block: int) -> DataFrame:
+    """`rows` (key, ball, cid and others) with p, q, part: the group in which two parts of a key's rows meet, and the row's own.
+
+    Keys of up to `block` rows are one group. Larger ones are split, each ball (0: none) apart from the rest; every two
+    parts meet but those of one ball, whose rows need no comparison. So a hot key is many tasks, and a hot ball in it is
+    copied once for each part of the others.
+    """
+    per = rows.groupBy("key", "ball").agg(F.count("*").alias("g"))
+    one = F.struct("ball", F.ceil(F.col("g") / block).cast("int").alias("parts"))
+    big = per.groupBy("key").agg(F.sum("g").alias("all"), F.array_sort(F.collect_list(one)).alias("balls")).where(F.col("all") > block)
+    before = lambda i: F.aggregate(F.slice("balls", 1, i), F.lit(0), lambda s, x: s + x["parts"])
+    spans = F.transform("balls", lambda x, i: F.struct(x["ball"].alias("ball"), x["parts"].alias("parts"), before(i).alias("start")))
+    big = big.select("key", spans.alias("spans"), F.aggregate("balls", F.lit(0), lambda s, x: s + x["parts"]).alias("total"))
+    j = rows.join(small(written(big), MAX_BROADCAST_GROUPS), "key", "left")
+    mine = F.get(F.filter("spans", lambda s: s["ball"] == F.col("ball")), 0)
+    j = j.withColumn("mine", mine).withColumn("part", F.coalesce(F.col("mine.start") + F.pmod(F.xxhash64("cid", "key"), F.col("mine.parts")).cast("int"), F.lit(0)))
+    own = lambda o: (F.col("ball") > 0) & (o >= F.col("mine.start")) & (o < F.col("mine.start") + F.col("mine.parts"))
+    meet = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: ~own(o))
+    meet = F.when(F.col("total").isNull(), F.array(F.lit(0))).otherwise(meet)
+    j = j.withColumn("other", F.explode(meet))
+    return j.select(*rows.columns, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -1,13 +1,15 @@
 """Exact Jaccard join of documents' word shingles, by an inverted index that skips by relations between sets.
 
 Equal sets are one class. Every class puts the head of its set, in an order from rare to frequent shingles, into index
-lists; two sets over the threshold share a shingle of their heads. The order counts exactly how many classes offer a
-shingle; shingles of one class only need no list. Lists are sorted by set size and read in blocks; sizes and positions
-tell which entries, and which whole blocks, can't reach the threshold. The first round compares entries with their
-lists' leaders only; three more ask for one partner of each set outside its component. A set that links is so similar
-that it takes over its partner's answers (its component); the last round asks only for what these answers leave open:
-all pairs of different components. Candidates lose those whose bitmaps differ in too many bits (a lower bound of the
-sets' difference); the rest is verified on the texts.
+lists; two sets over the threshold share a shingle of their heads. The order counts how many classes offer a shingle (up
+to a large number); shingles of one class only need no list. Lists are sorted by set size and read in blocks; sizes and
+positions tell which entries, and which whole blocks, can't reach the threshold. The first round compares entries with
+their lists' leaders only; three more ask for one partner of each set outside its component. A set that links is so
+similar that it takes over its partner's answers (its component); the last round asks only for what these answers leave
+open: all pairs of different components. Lists whose entries are all of one component take part no more. Long lists are
+split: in parts that are asked each by itself at first, and in the last round by size band and part, where the parts of
+one large component don't meet. Candidates lose those whose bitmaps differ in too many bits (a lower bound of the sets'
+difference); the rest is verified on the texts.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from .shingles import mixed, shingle_sets
 SHINGLE, PERCENT = 4, 85
 #: Share of all shingles that come first in the order; sets under SMALL_SET shingles offer all of theirs to the index.
 LEVEL_SHARE, SMALL_SET = 0.3, 64
-#: Frequencies are counted up to this number; beyond it shingles are equally frequent.
-MOST_COUNTED = 1024
+#: Frequencies are counted up to this number; beyond it shingles are equally frequent, and their order is that of hashes.
+MOST_COUNTED = 65_536
+#: Entries of a list that one task takes; longer lists are split, those of a component over so many apart from the rest.
+LIST_PART = 4096
 #: Parity bitmaps have so many words of 64 bits; they stay sharp while two sets differ in fewer shingles than half their bits.
 BITMAP_WORDS = 32
 #: Entries of a list that are compared, or skipped, together.
@@ -204,7 +208,7 @@ def leader_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
-        for _, n, cid, pos, comp in lists(batches):
+        for _, n, cid, pos, comp, *_ in lists(batches):
             at = 0
             while at < len(n) - 1:
                 # up to the first entry that is too large for this leader
@@ -230,8 +234,37 @@ def one_partner(pairs: np.ndarray) -> np.ndarray:
     return pairs[order][np.unique(pairs[order, 1], return_index=True)[1]]
 
 
+def in_parts(entries: DataFrame, long_lists: DataFrame) -> DataFrame:
+    """`entries` with long lists cut into parts, each a list of its own: what finds some partners of each set."""
+    part = F.pmod(F.xxhash64("cid", "token"), F.ceil(F.col("entries") / LIST_PART))
+    j = entries.join(long_lists, "token", "left")
+    token = F.when(F.col("entries").isNull(), F.col("token")).otherwise(F.xxhash64("token", part))
+    return j.select(token.alias("token"), *entries.columns[1:], F.lit(0).alias("side"), F.lit(False).alias("lower"))
+
+
+def all_parts(entries: DataFrame, long_lists: DataFrame, percent: int) -> DataFrame:
+    """`entries` with long lists cut so that every two that can link meet: in lists of one size band and of the next lower
+    part of it (`lower`: entries of the lower band, one of which each pair needs), and there by parts (`side`)."""
+    short = entries.join(long_lists, "token", "left_anti").select(*entries.columns, F.lit(0).alias("side"), F.lit(True).alias("lower"))
+    # sets that link lie in one band or in neighbouring ones
+    band = F.floor(F.ln("n") / F.ln(F.lit(100.0 / (percent - 1)))).cast("int")
+    roles = F.array(F.struct(band.alias("band"), F.lit(True).alias("lower")), F.struct((band - 1).alias("band"), F.lit(False).alias("lower")))
+    d = entries.join(long_lists, "token").withColumn("role", F.explode(roles))
+    d = d.select(F.xxhash64("token", "role.band").alias("key"), *entries.columns[1:], F.col("role.lower").alias("lower"))
+    large = d.groupBy("key", "component").agg(F.count("*").alias("m")).where(F.col("m") > LIST_PART).select("key", "component", (F.col("component") + 1).alias("ball"))
+    d = d.join(common.small(common.written(large), MAX_BROADCAST_KEYS), ["key", "component"], "left").withColumn("ball", F.coalesce("ball", F.lit(0)))
+    d = common.dealt(d, LIST_PART)
+    return short.unionByName(d.select(F.xxhash64("key", "p", "q").alias("token"), *entries.columns[1:], F.col("part").alias("side"), "lower"))
+
+
+def unsettled(entries: DataFrame) -> DataFrame:
+    """Entries of lists with several components."""
+    several = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return entries.join(several, "token")
+
+
 def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> DataFrame:
-    """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component, bits), sorted.
+    """(a, b): entries of one list, of different components, that can link; (token, n, cid, pos, component, side, lower, bits), sorted.
 
     Two blocks are skipped if their sizes or the best of their positions rule all pairs out. Entries bring their
     bitmaps, so that a list of sets that resemble each other too little gives no pairs. With `one_each` only
@@ -241,9 +274,10 @@ def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = [], 0
-        for _, n, cid, pos, comp, bits in lists(batches):
+        for _, n, cid, pos, comp, side, lower, bits in lists(batches):
             if (comp == comp[0]).all():
                 continue
+            two = (side != side[0]).any()
             edges = range(0, len(n), BLOCK)
             room = n - pos
             best = [room[i : i + BLOCK].max() for i in edges]
@@ -260,6 +294,10 @@ def open_pairs(entries: DataFrame, percent: int, one_each: bool = False) -> Data
                     p, q = np.meshgrid(np.arange(i, min(i + BLOCK, len(n))), np.arange(j, min(j + BLOCK, len(n))), indexing="ij")
                     p, q = p.ravel(), q.ravel()
                     ok = (p < q) & (comp[p] != comp[q]) & can_link(n[p], pos[p], n[q], pos[q], percent)
+                    if not one_each:
+                        ok &= lower[p] | lower[q]
+                    if two:
+                        ok &= side[p] != side[q]
                     p, q = p[ok], q[ok]
                     both = n[p] + n[q]
                     ok = np.bitwise_count((bits[p] ^ bits[q]).view(np.uint64)).sum(1) <= both - 2 * -(-percent * both // (100 + percent))
@@ -337,11 +375,14 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()))
     tokens = offered(d, classes, k, percent)
     listed = common.written(heads(shared_tokens(tokens), classes, percent))
+    long_lists = listed.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > LIST_PART)
+    long_lists = common.small(common.written(long_lists), MAX_BROADCAST_KEYS)
     label = classes.select("cid", F.col("cid").alias("component"))
     tested = None
     for ask in (first_leaders, first_open, first_open, first_open, open_pairs):
         # what components leave open; pairs that were tested before are settled
         entries = listed.join(label, "cid").select("token", "n", "cid", "pos", "component")
+        entries = all_parts(unsettled(entries), long_lists, percent) if ask is open_pairs else in_parts(unsettled(entries), long_lists)
         if ask is not first_leaders:
             entries = entries.join(classes.select("cid", "bits"), "cid").select(*entries.columns, "bits")
         pairs = ask(entries.repartition("token").sortWithinPartitions("token", "n", "cid"), percent).distinct()

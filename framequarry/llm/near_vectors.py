@@ -28,7 +28,7 @@ BLOCK = 2048
 SKETCH, SLACK = 192, 4.5
 #: Buckets whose members may lead balls, the largest ones, and leaders tried from each; both are collected.
 MAX_HOT_BUCKETS, TRIED = 256, 4
-#: Buckets over a block, and ids with partners, are broadcast up to so many rows.
+#: Ids with partners are broadcast up to so many rows.
 MAX_BROADCAST_KEYS = 500_000
 #: Rows of a block whose products are held together.
 STRIP = 512
@@ -132,28 +132,6 @@ def hot_leaders(classes: DataFrame, how: Hashing, threshold: float, block: int)
     return [(c, v.tolist()) for c, v in kept]
 
 
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """`rows` with p, q, part: the group in which two parts of a bucket meet, and the row's own part.
-
-    Buckets up to a block are one group. Larger ones are split, each ball apart from the rest; every two parts meet but
-    those of one ball, whose members need no comparison.
-    """
-    per = rows.groupBy("key", "ball").agg(F.count("*").alias("g"))
-    one = F.struct("ball", F.ceil(F.col("g") / block).cast("int").alias("parts"))
-    big = per.groupBy("key").agg(F.sum("g").alias("all"), F.array_sort(F.collect_list(one)).alias("balls")).where(F.col("all") > block)
-    before = lambda i: F.aggregate(F.slice("balls", 1, i), F.lit(0), lambda s, x: s + x["parts"])
-    spans = F.transform("balls", lambda x, i: F.struct(x["ball"].alias("ball"), x["parts"].alias("parts"), before(i).alias("start")))
-    big = big.select("key", spans.alias("spans"), F.aggregate("balls", F.lit(0), lambda s, x: s + x["parts"]).alias("total"))
-    j = rows.join(common.small(common.written(big), MAX_BROADCAST_KEYS), "key", "left")
-    mine = F.get(F.filter("spans", lambda s: s["ball"] == F.col("ball")), 0)
-    j = j.withColumn("mine", mine).withColumn("part", F.coalesce(F.col("mine.start") + F.pmod(F.xxhash64("cid", "key"), F.col("mine.parts")).cast("int"), F.lit(0)))
-    own = lambda o: (F.col("ball") > 0) & (o >= F.col("mine.start")) & (o < F.col("mine.start") + F.col("mine.parts"))
-    meet = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: ~own(o))
-    meet = F.when(F.col("total").isNull(), F.array(F.lit(0))).otherwise(meet)
-    j = j.withColumn("other", F.explode(meet))
-    return j.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "ball", "sketch")
-
-
 def apart(ball: np.ndarray, part: np.ndarray, s: slice, two: bool) -> np.ndarray:
     """Which pairs of rows (those of a strip with all) are to be compared at all."""
     ok = (ball[s, None] != ball[None]) | (ball[s, None] == 0)
@@ -274,7 +252,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     names = spark.createDataFrame([(i + 1, c) for i, (c, _) in enumerate(leaders)], "ball int, leader long")
 
     keys = ["key", "p", "q"]
-    jobs = promising(dealt(hashed(classes, how, tables), block).repartition(*keys).sortWithinPartitions(*keys), threshold)
+    rows = common.dealt(hashed(classes, how, tables), block).select(*keys, "part", "cid", "ball", "sketch")
+    jobs = promising(rows.repartition(*keys).sortWithinPartitions(*keys), threshold)
     jobs = common.written(jobs.join(F.broadcast(names), "ball", "left").select(*keys, "part", "cid", "ball", F.coalesce("leader", "cid").alias("rep")))
     need = common.small(jobs.select("cid").distinct(), MAX_BROADCAST_KEYS)
     rows = jobs.join(classes.join(need, "cid", "left_semi").select("cid", "m", "e"), "cid").select(*keys, "part", "cid", "ball", "rep", "m", "e")

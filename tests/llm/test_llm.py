@@ -203,7 +203,10 @@ def test_sum_of_squares_choice():
         fill[b] = o + s
 
 
-def test_jaccard(spark):
+@pytest.mark.parametrize("part", [4096, 3])
+def test_jaccard(spark, monkeypatch, part):
+    """Against all pairs, with lists whole and with nearly all of them split."""
+    monkeypatch.setattr(jaccard_join, "LIST_PART", part)
     rows = texts(spark)
     near = spark.createDataFrame([(10_000 + i, " ".join(w if (k + i) % 40 else f"new{i}" for k, w in enumerate(f"w{j}" for j in range(400)))) for i in range(12)], "doc_id long, text string")
     docs = documents(spark).select("doc_id", "text").unionAll(near)
@@ -230,8 +233,8 @@ def test_jaccard_bitmaps(spark):
     bits = rng.integers(-(2**63), 2**63, (400, jaccard_join.BITMAP_WORDS))
     bits[1::2] = bits[::2]
     bits[1::2, 0] ^= np.int64(-(2**63)) | np.int64(1) << rng.integers(0, 60, 200)  # two shingles differ, one of them by the top bit
-    rows = [(i // 2, 100, i, 0, i, bits[i].tolist()) for i in range(400)]
-    entries = spark.createDataFrame(rows, "token long, n long, cid long, pos long, component long, bits array<bigint>").coalesce(1)
+    rows = [(i // 2, 100, i, 0, i, 0, True, bits[i].tolist()) for i in range(400)]
+    entries = spark.createDataFrame(rows, "token long, n long, cid long, pos long, component long, side int, lower boolean, bits array<bigint>").coalesce(1)
     entries = entries.sortWithinPartitions("token", "n", "cid")
     for ask in (jaccard_join.open_pairs, jaccard_join.first_open):
         assert sorted(map(tuple, ask(entries, 85).collect())) == [(i, i + 1) for i in range(0, 400, 2)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from framequarry.llm import near_vectors
+from framequarry.llm import common, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -51,7 +51,7 @@ def test_hot_group_is_counted_not_compared(spark):
     how = near_vectors.Hashing(4, 3, 0.9, leaders, 7)
     members = near_vectors.ball_members(classes, how).collect()
     assert {r.cid for r in members} >= set(range(600))
-    rows = near_vectors.dealt(near_vectors.hashed(classes, how, 3), 64)
+    rows = common.dealt(near_vectors.hashed(classes, how, 3), 64)
     assert rows.count() < 3 * len(x) * 4
 
 
