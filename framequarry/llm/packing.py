@@ -56,8 +56,8 @@ def encoded(raw: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
     fresh = [w for w in fresh if w not in cache]
     parts = [word_parts(w.decode()) for w in fresh]
     new = list({p for pair in parts for p in pair if p not in part_ids})
-    for i in range(0, len(new), 10_000):
-        some = new[i : i + 10_000]
+    for i in range(0, len(new), 1_000):
+        some = new[i : i + 1_000]
         for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
             part_ids[p] = np.array(e.ids, "<u4").tobytes()
     for w, (a, b) in zip(fresh, parts):
