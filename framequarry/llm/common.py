@@ -136,11 +136,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Input: undirected links (a, b). Output: (node, component), component being the smallest node that can be
     reached; only nodes with a link appear. Every round is two grouped minima over the edges; partial aggregation
-    keeps hubs from landing in one task, and each round is written to the shared folder. Nulls and loops are dropped.
+    keeps hubs from landing in one task, and each round is written to the shared folder. Rounds end when the number of
+    links and two exclusive ors of their hashes stay the same. Nulls and loops are dropped.
     """
+    def marks(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(7), "u", "v"))).first())
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e)
+    now = marks(e)
     for _ in range(most_rounds):
+        if not now[0]:
+            break
         # large-star: every larger neighbour of u is linked to the smallest of u and its neighbours
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -152,10 +159,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             step.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        same = nxt.exceptAll(e).isEmpty() and nxt.count() == e.count()
         dropped(e)
-        e = nxt
-        if same:
+        before, now, e = now, marks(nxt), nxt
+        if now == before:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -324,3 +324,19 @@ def test_suffix_dedup_long_and_periodic_texts(spark, most_together):
         kept = np.frombuffer(b, np.uint8)[~out].tobytes()
         want[i] = (len(b), int(out.sum()), int((out & ~np.concatenate([[False], out[:-1]])).sum()), hashlib.sha256(kept).hexdigest())
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_components(spark):
+    """Long paths, stars, rings and no links at all, against a search."""
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(1000, 1040)] + [(5, i) for i in range(2000, 2100)] + [(i, 3000 + (i + 1) % 30 + 0) for i in range(3000, 3030)]
+    edges += [tuple(map(int, rng.integers(4000, 4200, 2))) for _ in range(150)] + [(7, 7), (8, None)]
+    order = rng.permutation(len(edges))
+    low = {x: x for e in edges for x in e if x is not None and None not in e and e[0] != e[1]}
+    for _ in range(60):
+        for a, b in edges:
+            if b is not None and a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = common.components(spark.createDataFrame([edges[i] for i in order], "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == low
+    assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
