@@ -24,9 +24,9 @@ from . import common
 from .arrowtext import small_batches, text_bytes
 
 VOCABULARY, END_OF_WORD = "word_bpe_49k.json", "</w>"
-#: Words that a task counts before it hands them on.
-MAX_COUNTER = 300_000
-#: Words whose scores are broadcast at most, the most frequent ones.
+#: Words that a task counts before it hands them on, and bytes of text that it reads for it, which bounds their length.
+MAX_COUNTER, MAX_COUNTED_BYTES = 300_000, 1 << 27
+#: Words whose scores are broadcast at most, the most frequent ones of up to MANY bytes.
 MAX_FREQUENT = 200_000
 #: Added to each piece's expected count, so that all stay possible.
 ADDED = 0.01
@@ -192,7 +192,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n (in all texts), c (in training texts), for every distinct word; docs has text and train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        both, read = (Counter(), Counter()), 0
 
         def flush() -> pa.RecordBatch:
             words = list(both[0].keys() | both[1].keys())
@@ -205,7 +205,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             data, train = raw.tobytes().lower(), b.column(1).to_numpy(zero_copy_only=False)
             for s, e, t in zip(off[:-1], off[1:], train):
                 both[bool(t)].update(data[s:e].split())
-            if len(both[0]) + len(both[1]) > MAX_COUNTER:
+            read += len(data)
+            if len(both[0]) + len(both[1]) > MAX_COUNTER or read > MAX_COUNTED_BYTES:
+                read = 0
                 yield flush()
         if both[0] or both[1]:
             yield flush()
@@ -278,7 +280,8 @@ def lattice_scores(docs: DataFrame, path: str | None = None, folds: int = 7, hel
         if kept + k > MAX_FREQUENT:
             break
         floor, kept = bits, kept + k
-    often = scored.where(F.length(F.bin("n")) >= floor).select("word", "c", "lattice").toArrow().to_pydict()
+    frequent = (F.length(F.bin("n")) >= floor) & (F.length("word") <= MANY)
+    often = scored.where(frequent).select("word", "c", "lattice").toArrow().to_pydict()
     unit = math.log10(total + distinct + 1)
     table = ({bytes(w): i for i, w in enumerate(often["word"])}, np.array([0, *often["c"]], np.int64), np.array([0, *often["lattice"]], float))
     table = spark.sparkContext.broadcast(table)
@@ -311,7 +314,7 @@ def lattice_scores(docs: DataFrame, path: str | None = None, folds: int = 7, hel
     seen = common.written(d.select("rid", "doc_id", "text", "held_out").mapInArrow(
         read, f"rid long, doc_id {kind}, held_out boolean, word binary, times long, n_words long, known long, base double, lattice double"))
     rare = seen.where("word is not null").select("rid", "doc_id", "held_out", "word", "times").join(
-        scored.where(F.length(F.bin("n")) < floor).select("word", "c", F.col("lattice").alias("w_lattice")), "word")
+        scored.where(~frequent).select("word", "c", F.col("lattice").alias("w_lattice")), "word")
     times = F.col("times")
     rare = rare.select(
         "rid", "doc_id", "held_out", F.lit(0).cast("long").alias("n_words"), F.when(F.col("c") > 0, times).otherwise(0).alias("known"),
