@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .arrowtext import small_batches, text_bytes
+from .quality_net import runs
 
 LENGTH, END_ID, GROUP = 2048, 0, 25_000
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers (some 200 bytes each); beyond that it starts anew.
-MAX_CACHE = 1_000_000
+#: Bytes of words and their ids that a worker remembers, with WORD_COST for each besides; beyond half of it, those stay
+#: that were used since the last time.
+MAX_CACHE_BYTES, WORD_COST = 160_000_000, 200
+#: Bytes of text that are split into words at a time (one text at least).
+SPLIT_BYTES = 1 << 21
 #: Open sequences that are broadcast after they were packed again; more are joined by a shuffle.
 MAX_BROADCAST_OPEN = 500_000
 
@@ -33,12 +37,12 @@ _loaded: dict = {}
 
 
 def word_ids(path: str):
-    """(tokenizer, ids by word, ids by part of a word) of this worker process; ids are little-endian 32-bit numbers."""
+    """[tokenizer, ids by word, ids by word before those, bytes] of this worker process; ids are little-endian 32-bit numbers."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
+        _loaded[path] = [Tokenizer.from_file(path), {}, {}, 0]
     return _loaded[path]
 
 
@@ -47,21 +51,23 @@ def encoded(raw: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
 
     No token of this tokenizer holds white space and none spans it, so the ids of a text are those of its words in turn.
     """
-    tokenizer, cache, part_ids = word_ids(path)
+    known = word_ids(path)
+    if known[3] > MAX_CACHE_BYTES // 2:
+        known[1:] = {}, known[1], 0
+    tokenizer, cache, before, _ = known
     data = raw.tobytes()
     split = [data[a:b].split() for a, b in zip(off[:-1], off[1:])]
-    fresh = set().union(*split)
-    if len(cache) + len(fresh) > MAX_CACHE:
-        cache.clear(), part_ids.clear()
-    fresh = [w for w in fresh if w not in cache]
-    parts = [word_parts(w.decode()) for w in fresh]
-    new = list({p for pair in parts for p in pair if p not in part_ids})
+    fresh = [w for w in set().union(*split) if w not in cache]
+    for w in fresh:
+        if w in before:
+            cache[w] = before[w]
+    new = [w for w in fresh if w not in cache]
     for i in range(0, len(new), 1_000):
-        some = new[i : i + 1_000]
-        for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            part_ids[p] = np.array(e.ids, "<u4").tobytes()
-    for w, (a, b) in zip(fresh, parts):
-        cache[w] = part_ids[a] + part_ids[b]
+        some = [word_parts(w.decode()) for w in new[i : i + 1_000]]
+        parts = list(set().union(*some))
+        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
+        cache.update((w, ids[a] + ids[b]) for w, (a, b) in zip(new[i : i + 1_000], some))
+    known[3] += sum(len(w) + len(cache[w]) + WORD_COST for w in fresh)
     return [b"".join(map(cache.__getitem__, ws)) for ws in split]
 
 
@@ -90,7 +96,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         for b in batches:
             raw, off = text_bytes(b.column(1))
             row, piece, start, size, crc = [], [], [], [], []
-            for i, ids in enumerate(encoded(raw, off, path)):
+            split = (ids for i, j in runs(off, SPLIT_BYTES) for ids in encoded(raw[off[i] : off[j]], off[i : j + 1] - off[i], path))
+            for i, ids in enumerate(split):
                 ids += end
                 for k, s in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[s : s + 4 * length]
