@@ -22,6 +22,8 @@ from .arrowtext import small_batches, text_bytes
 WIDTH, FILTERS, HIDDEN = 6, 24, 16
 BLOCK, CHUNK_BLOCKS, STEP_BLOCKS = 64, 4, 3
 MAX_TRAIN, EPOCHS, BATCH, RATE = 4000, 8, 64, 0.01
+#: Jobs that bring the training texts, a partition at a time.
+FETCHES = 16
 CHUNK = BLOCK * CHUNK_BLOCKS
 #: Bytes that one convolution call works on; what it needs stays within the processor's cache.
 SLICE = 4096
@@ -201,7 +203,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
 def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
     """The network, trained on the whole texts of `training_rows`."""
     texts, rows = Texts(), []
-    for r in training_rows(docs, labels, max_train).toLocalIterator():
+    for r in training_rows(docs, labels, max_train).coalesce(FETCHES).toLocalIterator():
         rows.append((r.doc_id, len(texts), r.label_quality))
         texts.append(r.text.encode())
     rows.sort()
