@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe
 from .jaccard_join import op6_jaccard_join
 from .lattice_lm import op4_lattice_lm
 from .license_scan import op10_license_scan
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
+    "op11_bpe": op11_bpe,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
