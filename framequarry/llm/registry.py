@@ -11,6 +11,7 @@ from .mixing import op9_mix_sources
 from .near_vectors import op7_near_vectors
 from .oracles import ORACLES
 from .packing import op5_best_fit_packing
+from .periodic import op12_periodic_runs
 from .quality_net import op3_quality_net
 from .quality_rules import op2_quality_rules
 from .suffix_dedup import op1_suffix_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_license_scan": op10_license_scan,
     "op11_bpe": op11_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
