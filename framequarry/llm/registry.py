@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_tokenizer_alignment
 from .bpe import op11_bpe
 from .jaccard_join import op6_jaccard_join
 from .lattice_lm import op4_lattice_lm
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_bpe": op11_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
