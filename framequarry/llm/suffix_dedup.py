@@ -34,6 +34,8 @@ LENGTH, Q = 100, 20
 MOST_TOGETHER = 4096
 #: Ranks of larger buckets are broadcast up to so many.
 MAX_BROADCAST_RANKS = 500_000
+#: Ids of several rows are broadcast up to so many.
+MAX_BROADCAST_IDS = 500_000
 PLACE_BITS = 21
 _LOW = np.uint64((1 << PLACE_BITS) - 1)
 
@@ -98,16 +100,29 @@ def sliced_records(raw: np.ndarray, off: np.ndarray, length: int, q: int, most:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, id (never null), kd (tells rows of one id apart), text (never null)."""
+    """doc_id, id (never null), kd (tells different texts of one id apart), text (never null), times (rows equal in both).
+
+    Texts of an id that several rows have are compared as texts, and each different one is numbered in a table; all
+    others have number 0.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("kd"), text.alias("text"))
+    d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text"))
+    once = d.select("doc_id", "id", F.lit(0).cast("long").alias("kd"), "text", F.lit(1).cast("long").alias("times"))
+    many = common.written(d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if many.isEmpty():
+        return once
+    many = common.small(many, MAX_BROADCAST_IDS)
+    again = d.join(many, "id").groupBy("doc_id", "id", "text").agg(F.count("*").alias("times"))
+    again = common.written(again.withColumn("kd", 1 + F.monotonically_increasing_id()))
+    return once.join(many, "id", "left_anti").unionByName(again)
 
 
 def record_table(d: DataFrame, length: int, q: int) -> DataFrame:
     """rank, digest, id, kd, at (sampled place << 16 | distance of the first start << 8 | of the last), copy.
 
-    Of equal records that a task meets in one batch only the earliest goes to its bucket. The others are copies for
-    certain; they travel by a rank of their own, so that no bucket grows with the number of its copies.
+    Of equal records that a task meets in one batch only the earliest goes to its bucket, with those of other texts that
+    have its very id and place. The others are copies for certain; they travel by a rank of their own, so that no bucket
+    grows with the number of its copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +139,20 @@ def record_table(d: DataFrame, length: int, q: int) -> DataFrame:
             first = np.ones(len(row), bool)
             first[1:] = (rank[1:] != rank[:-1]) | (digest[1:] != digest[:-1])
             of = np.flatnonzero(first)[np.cumsum(first) - 1]
-            # what repeats the very place of the earliest comes of a repeated row and says nothing new
-            keep = first | (ident != ident[of]) | (at != at[of])
-            rank = np.where(first, rank, mixed(ident.view(np.uint64) + mixed(at.view(np.uint64))))
-            row, rank, digest, ident, at, first = (x[keep] for x in (row, rank, digest, ident, at, first))
+            copy = (ident != ident[of]) | (at != at[of])
+            rank = np.where(copy, mixed(ident.view(np.uint64) + mixed(at.view(np.uint64))), rank)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rank.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ident), pa.array(at), pa.array((kd[row] & 0x7FFFFFFF).astype(np.int32)), pa.array(~first)],
+                [pa.array(rank.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ident), pa.array(at), pa.array(kd[row]), pa.array(copy)],
                 names=["rank", "digest", "id", "at", "kd", "copy"])
 
-    return d.select("id", "kd", "text").mapInArrow(run, "rank long, digest long, id long, at long, kd int, copy boolean")
+    return d.select("id", "kd", "text").mapInArrow(run, "rank long, digest long, id long, at long, kd long, copy boolean")
 
 
 def settled(table: DataFrame, length: int) -> DataFrame:
-    """Of sorted records: lo, hi of starts that an earlier equal record has; and the earliest records of ranks with several digests (lo null)."""
+    """Of sorted records: lo, hi of starts that an earlier equal record has; and the earliest records of ranks with several digests (lo null).
+
+    Records of an id and place with the earliest, which other texts of that id have, are earliest too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, head, several, waiting = (None, None), (0, 0), False, None
@@ -159,11 +175,14 @@ def settled(table: DataFrame, length: int) -> DataFrame:
             if last == (rank[0], digest[0]):
                 first[0] = False
             f = np.flatnonzero(first)
-            # against the earliest of its digest; a repeated row has its very place and isn't later
+            # against the earliest of its digest; what has its very id and place isn't later
             of = np.concatenate([[-1], f])[np.cumsum(first)]
             later = ~first & ((ids != np.where(of < 0, head[0], ids[of])) | (at != np.where(of < 0, head[1], at[of])))
             if later.any():
                 yield out(rank[later], ids[later], kd[later], at[later], True)
+            level = ~first & ~later
+            if level.any():
+                yield out(rank[level], ids[level], kd[level], at[level], False)
             if len(f):
                 head = (ids[f[-1]], at[f[-1]])
             if len(f):
@@ -187,15 +206,15 @@ def settled(table: DataFrame, length: int) -> DataFrame:
                     waiting = (rank[z], ids[z], kd[z], at[z])
             last = (rank[-1], digest[-1])
 
-    kinds = "rank long, id long, kd int, at long, lo long, hi long"
+    kinds = "rank long, id long, kd long, at long, lo long, hi long"
     return table.repartition("rank").sortWithinPartitions("rank", "digest", "id", "at").select("rank", "digest", "id", "at", "kd", "copy").mapInArrow(run, kinds)
 
 
 def with_texts(d: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
-    """id, kd, kind (0: a text, 1: a row about it), doc_id, text and the `extra` columns; texts stand before their rows."""
-    texts = d.select("id", F.col("kd").bitwiseAND(0x7FFFFFFF).cast("int").alias("kd"), F.lit(0).alias("kind"), "doc_id", "text",
+    """id, kd, kind (0: a text, 1: a row about it), doc_id, text, times and the `extra` columns; texts stand before their rows."""
+    texts = d.select("id", "kd", F.lit(0).alias("kind"), "doc_id", "text", "times",
                      *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in extra])
-    about = rows.select("id", "kd", F.lit(1).alias("kind"), F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), *extra)
+    about = rows.select("id", "kd", F.lit(1).alias("kind"), F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("times"), *extra)
     return texts.unionAll(about).repartition("id", "kd").sortWithinPartitions("id", "kd", "kind")
 
 
@@ -207,7 +226,7 @@ def suffixes(d: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             ids, kd, kind = (b.column(i).to_numpy() for i in range(3))
             texts = b.column(4)
-            rank, at, big = (b.column(i).fill_null(0 if i < 7 else False).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
+            rank, at, big = (b.column(i).fill_null(0 if i < 8 else False).to_numpy(zero_copy_only=False) for i in (6, 7, 8))
             out: list[tuple] = []
             for i in range(len(ids)):
                 if kind[i] == 0:
@@ -227,10 +246,10 @@ def suffixes(d: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
                         out += [(int(h[j]), ids[i], kd[i], place - s + j, True, hashlib.blake2b(part[j : j + length], digest_size=8).digest()) for j in range(m)]
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))],
+                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))],
                     names=["rank", "id", "kd", "at", "big", "bytes"])
 
-    return with_texts(d, firsts, ["rank", "at", "big"]).mapInArrow(run, "rank long, id long, kd int, at long, big boolean, bytes binary")
+    return with_texts(d, firsts, ["rank", "at", "big"]).mapInArrow(run, "rank long, id long, kd long, at long, big boolean, bytes binary")
 
 
 def repeated_starts(s: np.ndarray, flag: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,6 +262,17 @@ def repeated_starts(s: np.ndarray, flag: np.ndarray, owner: np.ndarray) -> tuple
     return owner[at[cut]], s[at[cut]], s[at[ends]]
 
 
+def beyond_first(new: np.ndarray, ids: np.ndarray, start: np.ndarray, head: tuple | None = None) -> np.ndarray:
+    """Which of neighbours in groups (`new`: one begins) have another id or start than the first of their group.
+
+    `head` is the first of the group that the rows before began.
+    """
+    first = np.flatnonzero(new)
+    of = np.concatenate([[-1], first])[np.cumsum(new)]
+    own = of >= 0
+    return (ids != np.where(own, ids[of], head[0] if head else 0)) | (start != np.where(own, start[of], head[1] if head else 0))
+
+
 def sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
     """id, kd, lo, hi: starts whose suffix an earlier record of the bucket has; each bucket is whole and of bounded size."""
 
@@ -260,11 +290,13 @@ def sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
         h = mixed((c[x + length] - c[x]) * powers("inverse", len(data) + 1)[x])
         order = np.argsort(h, kind="stable")  # records come by id and place, so the earliest of equal suffixes is first
         same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
-        again = np.zeros(len(h), bool)
+        equal = np.zeros(len(h), bool)  # in that order, to the one before
         window = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
         for i in range(0, len(same), 20_000):  # neighbours of one hash are held against each other byte by byte
             at = same[i : i + 20_000]
-            again[order[at + 1]] = (window[x[order[at + 1]]] == window[x[order[at]]]).all(1)
+            equal[at + 1] = (window[x[order[at + 1]]] == window[x[order[at]]]).all(1)
+        again = np.zeros(len(h), bool)
+        again[order] = beyond_first(~equal, ids[owner[order]], ((place - s)[owner] + k)[order])
         o, lo, hi = repeated_starts((place - s)[owner] + k, again, owner)
         return pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(kd[o]), pa.array(lo), pa.array(hi)], names=["id", "kd", "lo", "hi"])
 
@@ -284,38 +316,42 @@ def sorted_buckets(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.repartition("rank").sortWithinPartitions("rank", "id", "at").mapInArrow(run, "id long, kd int, lo long, hi long")
+    return rows.repartition("rank").sortWithinPartitions("rank", "id", "at").mapInArrow(run, "id long, kd long, lo long, hi long")
 
 
 def dealt_suffixes(rows: DataFrame) -> DataFrame:
     """id, kd, lo, hi: of single suffixes by two hashes (128 bits), all but the earliest; one row is kept in mind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = head = None
         for b in batches:
             h, ids, kd, at = (b.column(i).to_numpy() for i in range(4))
             if not len(h):
                 continue
             other = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int64)
-            again = np.zeros(len(h), bool)
-            again[1:] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
-            again[0] = last == (h[0], other[0])
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (other[1:] != other[:-1])
+            new[0] = last != (h[0], other[0])
+            again = beyond_first(new, ids, at, head)
             last = (h[-1], other[-1])
+            if new.any():
+                z = np.flatnonzero(new)[-1]
+                head = (ids[z], at[z])
             yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(kd[again]), pa.array(at[again]), pa.array(at[again])], names=["id", "kd", "lo", "hi"])
 
     rows = rows.select("rank", "id", "kd", "at", "bytes").repartition("rank").sortWithinPartitions("rank", "bytes", "id", "at")
-    return rows.mapInArrow(run, "id long, kd int, lo long, hi long")
+    return rows.mapInArrow(run, "id long, kd long, lo long, hi long")
 
 
 def without_repeats(d: DataFrame, ranges: DataFrame, length: int, with_text: bool) -> DataFrame:
     kind, arrow_kind = d.schema["doc_id"].dataType.simpleString(), to_arrow_type(d.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, text, times = None, None, b"", 0
+        key, doc, text, times = None, None, b"", 1
         lo: list[np.ndarray] = []
         hi: list[np.ndarray] = []
 
-        def result() -> list[tuple]:
+        def result() -> tuple:
             x = np.frombuffer(text, np.uint8)
             edge = np.zeros(len(x) + 1, np.int32)
             if lo:
@@ -325,34 +361,34 @@ def without_repeats(d: DataFrame, ranges: DataFrame, length: int, with_text: boo
             kept = x[~gone].tobytes() if lo else text
             spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(x) else 0
             row = (doc, len(x), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-            return [row + ((kept.decode("utf-8", "replace"),) if with_text else ())] * times
+            return (*row, *([kept.decode("utf-8", "replace")] if with_text else []), times)
 
         for b in batches:
             ids, kd, what = (b.column(i).to_numpy() for i in range(3))
-            starts, ends = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+            starts, ends = (b.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
             out: list[tuple] = []
             cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (kd[1:] != kd[:-1])) + 1, [len(ids)]]) if len(ids) else [0]
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if key != (ids[s], kd[s]):
                     if key is not None:
-                        out += result()
-                    key, doc, text, times, lo, hi = (ids[s], kd[s]), b.column(3)[s].as_py(), b.column(4)[s].as_py().encode(), 0, [], []
+                        out.append(result())
+                    key, doc, text, times, lo, hi = (ids[s], kd[s]), b.column(3)[s].as_py(), b.column(4)[s].as_py().encode(), b.column(5)[s].as_py(), [], []
                 n_texts = int((what[s:e] == 0).sum())
-                times += n_texts
                 if s + n_texts < e:
                     lo.append(starts[s + n_texts : e].astype(np.int64)), hi.append(ends[s + n_texts : e].astype(np.int64))
             if out:
                 yield batch(out)
         if key is not None:
-            yield batch(result())
+            yield batch([result()])
 
-    fields = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    fields = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + ", times long"
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         names = [f.split()[0] for f in fields.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x) if i else pa.array(x, arrow_kind) for i, x in enumerate(zip(*out))], names=names)
 
-    return with_texts(d, ranges, ["lo", "hi"]).mapInArrow(run, fields)
+    found = with_texts(d, ranges, ["lo", "hi"]).mapInArrow(run, fields)
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text: bool = False, most_together: int = MOST_TOGETHER) -> DataFrame:
