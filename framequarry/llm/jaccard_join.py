@@ -370,6 +370,7 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     small_batches(docs.sparkSession)
     d = docs.select("doc_id", row_key().alias("kd"), "text")
     rows = common.written(profiled(d, k, percent))
+    d = one_text(d, rows)
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kd")).alias("low"), F.min("kd").alias("kd"), *[F.first(c).alias(c) for c in ("n", "m0", "m1", "bits")])
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -401,6 +402,16 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "kd", F.lit(True).alias("kept")))
 
 
+def one_text(d: DataFrame, rows: DataFrame) -> DataFrame:
+    """kd, text: one row of each row key; the texts of keys that several rows have are written down."""
+    many = common.written(rows.groupBy("kd").agg(F.count("*").alias("n")).where("n > 1").select("kd"))
+    if many.isEmpty():
+        return d.select("kd", "text")
+    many = common.small(many, MAX_BROADCAST_KEYS)
+    one = common.written(d.select("kd", "text").join(many, "kd").groupBy("kd").agg(F.first("text").alias("text")))
+    return d.select("kd", "text").join(many, "kd", "left_anti").unionByName(one)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """What names rows of equal id and text."""
     return F.xxhash64(doc_id, text)
