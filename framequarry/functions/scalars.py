@@ -52,15 +52,32 @@ def tick_seconds(playing: Column, fps: Column, paused: float = 0.1, least: float
     return F.when(~playing | (fps <= 0), F.lit(paused)).otherwise(F.greatest(F.lit(least), 1 / F.nullif(fps, F.lit(0))))
 
 
-def percent_text(done: Column, total: Column) -> Column:
-    share = F.when(total <= 0, 0).otherwise(F.bround(100 * done / F.nullif(total, F.lit(0))))
-    return F.concat_ws("", done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), share.cast("int").cast("string"), F.lit("%)"))
+def percent_text(done: Column, total: Column, stage: Column, stages: Column, name: Column) -> Column:
+    """Progress of a step, like `[1/2] 15% (1500/10000, name)`; empty without a total. Stages count from 0; halves of a
+    percent go to the even number."""
+    share = F.bround(done / F.nullif(total, F.lit(0)) * 100).cast("long")
+    line = F.format_string("[%d/%d] %d%% (%d/%d, %s)", (stage + 1).cast("long"), stages.cast("long"), share, done.cast("long"), total.cast("long"), name)
+    return F.when(total <= 0, "").otherwise(line)
 
 
 def clock_text(seconds: Column) -> Column:
-    s = F.floor(seconds)
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.concat_ws(":", two(F.floor(s / 3600)), two(F.pmod(F.floor(s / 60), F.lit(60))), two(F.pmod(s, F.lit(60))))
+    """Whole seconds as `M:SS`, from an hour on as `H:MM:SS`; the first part isn't padded."""
+    s = seconds.cast("long")
+    hours, minutes = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60)
+    short = F.format_string("%d:%02d", minutes, F.pmod(s, F.lit(60)))
+    return F.when(hours != 0, F.format_string("%d:%02d:%02d", hours, minutes, F.pmod(s, F.lit(60)))).otherwise(short)
+
+
+def size_text(size: Column) -> Column:
+    """Bytes in the largest unit of 1024 that leaves one at least, up to TB; whole bytes, else one decimal, halves to even."""
+    n = size.cast("double")
+    units = ["B", "KB", "MB", "GB", "TB"]
+    one = lambda i: F.bround(n / 1024.0**i, 1)
+    text = F.format_string("%.1f TB", one(4))
+    for i in range(3, -1, -1):
+        own = F.format_string("%d B", size.cast("long")) if i == 0 else F.format_string(f"%.1f {units[i]}", one(i))
+        text = F.when(n < 1024.0 ** (i + 1), own).otherwise(text)
+    return text
 
 
 def short_hash(kind: str, n: int, *parts: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.groups import folded
+from ..plans.prefix import numbered
 from . import sections as X
 
 #: Frames ahead before rates are trusted, and the seconds that sparse playback holds in hand (fixed values).
@@ -129,6 +130,9 @@ def history(df: DataFrame, key: list[str], micros: str, seconds: float = 30.0) -
 
 
 def first_seen_numbers(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """value, number: distinct values numbered from 0 by first appearance. Only one row a value is put in order."""
+    """value, number: distinct values numbered from 0 by first appearance, those that appear together by value.
+
+    Only one row a value is put in order, in ranges.
+    """
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("_at"))
-    return first.select(value, (F.row_number().over(W.orderBy("_at")) - 1).cast("long").alias("number"))
+    return numbered(first, [F.col("_at"), F.col(value)], "number").select(value, (F.col("number") - 1).alias("number"))

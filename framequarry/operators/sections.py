@@ -35,8 +35,9 @@ def without(sections: DataFrame, index: int, *key: str) -> DataFrame:
 
 
 def replaced(sections: DataFrame, index: int, start: int, end: int, *key: str) -> DataFrame:
-    """The set with another range in the place of one; sets without that ordinal gain nothing."""
-    new = numbered(sections, *key).where(F.col("ordinal") == index).select(*key, F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
+    """The set with another range in the place of one; sets without that ordinal gain the range all the same."""
+    new = sections.select(*key).distinct() if key else sections.sparkSession.range(1).select()
+    new = new.select(*key, F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
     return union(without(sections, index, *key), new, *key)
 
 

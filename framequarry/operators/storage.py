@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.groups import folded
-from ..plans.prefix import running_sum
+from ..plans.prefix import numbered, running_sum
 
 
 def folder_sizes(files: DataFrame, path: str = "path", length: str = "length") -> DataFrame:
@@ -25,7 +24,7 @@ def with_metadata(entries: DataFrame, meta: DataFrame, key: str) -> DataFrame:
 
 def evict_to_cap(entries: DataFrame, cap: int, size: str, age: str, ident: str, protected: str | None = None) -> DataFrame:
     """Entries to delete: the oldest first, until the rest is within the cap; protected ones are neither counted nor
-    deleted; a cap of 0 or less deletes nothing. The running size is summed in parallel."""
+    deleted; a cap of 0 or less deletes nothing. The running size is summed in parallel; further columns stay."""
     free = entries if protected is None else entries.where(~F.coalesce(F.col(protected), F.lit(False)))
     if cap <= 0:
         return free.limit(0)
@@ -46,8 +45,8 @@ def prune_to_count(items: DataFrame, cap: int, age: str, ident: str, slack: floa
     n = items.count()
     if n <= cap * slack or (puts is not None and puts % every):
         return items.limit(0)
-    run = running_sum(items.withColumn("_one", F.lit(1)), "_one", [F.col(age), F.col(ident)], "_upto")
-    return run.where(F.col("_upto") <= n - cap).drop("_one", "_upto")
+    run = numbered(items, [F.col(age), F.col(ident)], "_place")
+    return run.where(F.col("_place") <= n - cap).drop("_place")
 
 
 class _Lru:
@@ -145,11 +144,11 @@ def in_folder(items: DataFrame, folder: str, path: str = "path") -> DataFrame:
 def by_folder(items: DataFrame, roots: list[str], path: str = "path") -> DataFrame:
     """folder, section, items, place: folders in order of their lower-case names, numbered from 1.
 
-    Only one row a folder is put in order.
+    Only one row a folder is put in order, in ranges.
     """
     f = items.groupBy(S.parent(F.col(path)).alias("folder")).agg(F.count("*").alias("items"))
     f = section_label(f, "folder", roots)
-    return f.withColumn("place", F.row_number().over(W.orderBy(F.lower("folder"), "folder")).cast("long"))
+    return numbered(f, [F.lower("folder"), F.col("folder")], "place")
 
 
 def thumbnail_states(requests: DataFrame, files: DataFrame, cache: DataFrame, path: str = "path") -> DataFrame:

@@ -192,12 +192,16 @@ def rate_cap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(P.pace(F.col("value") / 500, (F.col("event_id") % 31).cast("double")), 9).alias("wait"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 61 = 0 THEN 0.1 ELSE round(greatest(0.001, 1 / (event_id % 61)::DOUBLE), 9) END AS seconds, event_id % 500 || '/500 (' || round_even(100 * (event_id % 500) / 500.0::DOUBLE, 0)::INT || '%)' AS progress,
-lpad((event_id * 37 // 3600)::VARCHAR, 2, '0') || ':' || lpad((event_id * 37 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((event_id * 37 % 60)::VARCHAR, 2, '0') AS clock FROM events WHERE event_id * 37 < 360000""")
+@query("""SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 61 = 0 THEN 0.1 ELSE round(greatest(0.001, 1 / (event_id % 61)::DOUBLE), 9) END AS seconds, CASE WHEN event_id % 9 > 0 THEN printf('[%d/3] %d%% (%d/%d, %s)', event_id % 3 + 1, round_even((event_id % 500) / (event_id % 9 * 500)::DOUBLE * 100, 0)::BIGINT, event_id % 500, event_id % 9 * 500, event_type) ELSE '' END AS progress,
+CASE WHEN event_id * 37 >= 3600 THEN printf('%d:%02d:%02d', event_id * 37 // 3600, event_id * 37 // 60 % 60, event_id * 37 % 60) ELSE printf('%d:%02d', event_id * 37 // 60, event_id * 37 % 60) END AS clock,
+CASE WHEN z < 1024 THEN printf('%d B', z) WHEN z < 1048576 THEN printf('%.1f KB', z / 1024.0::DOUBLE) WHEN z < 1073741824 THEN printf('%.1f MB', z / 1048576.0::DOUBLE) WHEN z < 1099511627776 THEN printf('%.1f GB', z / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', z / 1099511627776.0::DOUBLE) END AS size
+FROM (SELECT *, event_id * event_id * event_id AS z FROM events)""")
 def tick_and_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of a step's progress (some without a total), of times from seconds to days, and of sizes from bytes to terabytes."""
     i = F.col("event_id")
-    e = table(spark, d, "events").where(i * 37 < 360_000)
-    return e.select("event_id", F.round(S.tick_seconds(F.col("event_type") != "error", (i % 61).cast("double")), 9).alias("seconds"), S.percent_text(i % 500, F.lit(500)).alias("progress"), S.clock_text(i * 37).alias("clock"))
+    return table(spark, d, "events").select(
+        "event_id", F.round(S.tick_seconds(F.col("event_type") != "error", (i % 61).cast("double")), 9).alias("seconds"),
+        S.percent_text(i % 500, i % 9 * 500, i % 3, F.lit(3), F.col("event_type")).alias("progress"), S.clock_text(i * 37).alias("clock"), S.size_text(i * i * i).alias("size"))
 
 
 @query("""SELECT p_partkey, round((p_size * 3) / 25.0::DOUBLE, 9) AS from_s, round((p_size * 3 + 10) / 25.0::DOUBLE, 9) AS to_s, (p_size * 3 - p_partkey % 90) > greatest(round_even(2 * 30.0::DOUBLE, 0), 10) AS fails FROM part""")

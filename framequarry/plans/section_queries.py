@@ -91,7 +91,7 @@ def sections_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_CUST.replace("FROM c2 GROUP BY k, g)", "FROM c2 GROUP BY k, g), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s) - 1 AS i FROM x)").replace("WITH p AS", "WITH p0 AS")
-       .replace("FROM p WHERE", "FROM p0 WHERE") + ", p AS (SELECT k, CASE WHEN i = 1 THEN 100 ELSE s END AS a, CASE WHEN i = 1 THEN 5000 ELSE e END AS b FROM n)"
+       .replace("FROM p WHERE", "FROM p0 WHERE") + ", p AS (SELECT k, s AS a, e AS b FROM n WHERE i <> 1 UNION ALL SELECT DISTINCT k, 100, 5000 FROM n)"
        + _MERGE.replace("c0", "d0").replace("c1", "d1").replace("c2", "d2").replace("x AS", "y AS") + ' SELECT k, s AS start, e AS "end" FROM y')
 def sections_replaced(spark: SparkSession, d: str) -> DataFrame:
     return X.replaced(_of_customers(spark, d), 1, 100, 5000, "k")

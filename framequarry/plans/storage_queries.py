@@ -29,9 +29,11 @@ _DIR = "regexp_extract(url, '^(.*)/[^/]*$', 1)"
 
 
 @query(f"""WITH {_ENTRIES}, r AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER (ORDER BY used, l_orderkey) AS upto FROM e WHERE NOT protected)
-SELECT l_orderkey, size FROM r WHERE total - (upto - size) > {CAP}""")
+SELECT l_orderkey, size, repeat(l_orderkey::VARCHAR, 20) AS note FROM r WHERE total - (upto - size) > {CAP}""")
 def cache_evict_to_cap(spark: SparkSession, d: str) -> DataFrame:
-    return C.evict_to_cap(_entries(spark, d), CAP, "size", "used", "l_orderkey", "protected").select("l_orderkey", "size")
+    """Entries to delete, with a wide column of theirs."""
+    e = _entries(spark, d).withColumn("note", F.repeat(F.col("l_orderkey").cast("string"), 20))
+    return C.evict_to_cap(e, CAP, "size", "used", "l_orderkey", "protected").select("l_orderkey", "size", "note")
 
 
 @query(f"WITH {_ENTRIES} SELECT l_orderkey, size FROM e WHERE NOT protected")
@@ -46,9 +48,9 @@ def dir_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM pages), r AS (SELECT page_id, row_number() OVER (ORDER BY length(html), page_id) AS k FROM pages)
-SELECT page_id FROM r, n WHERE n.n > 30 * 1.1 AND k <= n.n - 30""")
+SELECT page_id, url AS path FROM r JOIN pages USING (page_id), n WHERE n.n > 30 * 1.1 AND k <= n.n - 30""")
 def thumbnail_prune(spark: SparkSession, d: str) -> DataFrame:
-    return C.prune_to_count(_items(spark, d), 30, "size_bytes", "page_id").select("page_id")
+    return C.prune_to_count(_items(spark, d), 30, "size_bytes", "page_id").select("page_id", "path")
 
 
 @query("SELECT p_partkey, substr(sha256(p_name || '|' || p_brand || '|' || p_size), 1, 16) AS cache_key FROM part")
