@@ -7,7 +7,6 @@ of its meaning: of equal matches the first wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -17,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.groups import folded
+from ..session import scratch
 
-#: Numbers in a catalogue that is sent to all workers at once (8 bytes each); larger ones go part by part.
+#: Numbers in a catalogue that is sent to all workers at once (8 bytes each); larger ones are shuffled in blocks.
 MAX_BROADCAST_NUMBERS = 4_000_000
+#: Pivots of a large catalogue; identities of a block's part, and rows that meet one copy of it.
+PIVOTS, BLOCK_PART, ROWS_PART = 256, 4096, 1_000_000
 #: Rows and identities whose similarities a task holds together.
 BLOCK = 2048
 
@@ -34,32 +36,41 @@ def centroids(rows: DataFrame, key: str, vector: str, dim: int | None = None) ->
         key, "n", V.normalize(F.col("mean")).alias("centroid"))
 
 
+def best(sim: np.ndarray, ords: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row, the smallest ord first among equals."""
+    if sim.shape[1] > k:
+        # all that reach the k-th value compete, so that ties go by ord
+        least = -np.partition(-sim, k - 1, 1)[:, k - 1 : k]
+        sim = np.where(sim >= least, sim, -np.inf)
+    order = np.lexsort((ords, -sim), axis=1)[:, :k]
+    return np.take_along_axis(sim, order, 1), np.take_along_axis(ords, order, 1)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of length 0 stay."""
+    length = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(length == 0, 1, length)
+
+
+def by_size(lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and matrix of the vectors of each length but 0."""
+    n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+    out = {}
+    for d in np.unique(n[n > 0]).tolist():
+        at = np.flatnonzero(n == d)
+        out[d] = at, lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+    return out
+
+
 def _best_of(rows: DataFrame, key: str, vector: str, part: list[tuple[int, list[float]]], k: int, out: str) -> DataFrame:
     """The k best of one part of a catalogue, which goes to all workers; similarities are held for one block at a time."""
     shared = rows.sparkSession.sparkContext.broadcast((np.array([p[0] for p in part], np.int32), [np.array(p[1], np.float64) for p in part]))
 
-    def best(sim: np.ndarray, ords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best columns of each row, the smallest ord first among equals."""
-        if sim.shape[1] > k:
-            # all that reach the k-th value compete, so that ties go by ord
-            least = -np.partition(-sim, k - 1, 1)[:, k - 1 : k]
-            sim = np.where(sim >= least, sim, -np.inf)
-        order = np.lexsort((ords, -sim), axis=1)[:, :k]
-        return np.take_along_axis(sim, order, 1), np.take_along_axis(ords, order, 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, mats = shared.value
         size = np.array([len(m) for m in mats])
         for b in chain.from_iterable((b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)) for b in batches):
-            lists = b.column(1)
-            n = np.diff(lists.offsets.to_numpy())
-            valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            units = {}
-            for d in np.unique(n[(n > 0) & valid]):
-                at = np.flatnonzero((n == d) & valid)
-                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
-                length = np.sqrt((x * x).sum(1, keepdims=True))
-                units[d] = at, x / np.where(length == 0, 1, length)
+            units = {d: (at, unit_rows(x)) for d, (at, x) in by_size(b.column(1)).items()}
             top, who = np.empty((b.num_rows, 0)), np.empty((b.num_rows, 0), np.int32)
             for s in range(0, len(ords), BLOCK):
                 sim = np.full((b.num_rows, min(BLOCK, len(ords) - s)), -1.0)
@@ -67,7 +78,7 @@ def _best_of(rows: DataFrame, key: str, vector: str, part: list[tuple[int, list[
                     to = np.flatnonzero(size[s : s + BLOCK] == d)
                     if len(to):
                         sim[np.ix_(at, to)] = x @ np.stack([mats[s + i] for i in to]).T
-                top, who = best(np.concatenate([top, sim], 1), np.concatenate([who, np.broadcast_to(ords[s : s + BLOCK], sim.shape)], 1))
+                top, who = best(np.concatenate([top, sim], 1), np.concatenate([who, np.broadcast_to(ords[s : s + BLOCK], sim.shape)], 1), k)
             w = top.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), w))), pa.array(np.tile(np.arange(1, w + 1, dtype=np.int32), b.num_rows)),
@@ -76,32 +87,122 @@ def _best_of(rows: DataFrame, key: str, vector: str, part: list[tuple[int, list[
     return rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, out)
 
 
-def scores(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, k: int = 1, most: int = MAX_BROADCAST_NUMBERS) -> DataFrame:
+def scores(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, k: int = 1, most: int = MAX_BROADCAST_NUMBERS, least: float = -np.inf) -> DataFrame:
     """key, rank (from 1), ord, sim of the k most similar identities of each row; of equal ones the first in order.
 
-    A catalogue of up to `most` numbers is multiplied, block by block, in each task. A larger one is cut into parts of
-    that size, each of which meets all rows on its own; then the k best of each part's k best remain, so that no pairs
-    are shuffled. Keys must be unique.
+    A catalogue of up to `most` numbers is multiplied, block by block, in each task. A larger one is shuffled in blocks
+    around pivots, see `_in_blocks`: there identities below `least`, those whose vectors have another length than the row's,
+    and rows without any other, are absent. Keys must be unique.
     """
-    cat = catalogue.select("ord", "centroid")
+    cat = catalogue.select("ord", F.col("centroid").cast("array<double>").alias("centroid"))
     shape = cat.agg(F.count("*").alias("n"), F.sum(F.size("centroid")).alias("d")).first()
     if not shape.n:
         return rows.select(key).withColumns({"rank": F.lit(1), "ord": F.lit(0), "sim": F.lit(0.0)}).limit(0)
     out = f"{key} {rows.schema[key].dataType.simpleString()}, rank int, ord int, sim double"
-    parts = max(1, -(-shape.d // most))
-    of = F.pmod(F.xxhash64("ord"), F.lit(parts))
-    found = [_best_of(rows, key, vector, sorted((r.ord, list(r.centroid)) for r in cat.where(of == i).collect()), k, out) for i in range(parts)]
-    found = reduce(DataFrame.unionAll, found)
-    if parts == 1:
-        return found
-    best = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "ord", "sim"))), 1, k).alias("best"))
-    return best.select(key, F.posexplode("best").alias("p", "b")).select(
-        key, (F.col("p") + 1).alias("rank"), F.col("b.ord").alias("ord"), F.col("b.sim").alias("sim"))
+    if shape.d <= most:
+        return _best_of(rows, key, vector, sorted((r.ord, list(r.centroid)) for r in cat.collect()), k, out)
+    found = _in_blocks(rows.select(key, F.col(vector).cast("array<double>").alias("vector")), key, cat, k, least, most)
+    far = F.struct((-F.col("sim")).alias("far"), "ord", "sim")
+    if k == 1:
+        return found.groupBy(key).agg(F.min(far).alias("b")).select(key, F.lit(1).alias("rank"), "b.ord", "b.sim")
+    top = found.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(far)), 1, k).alias("best"))
+    return top.select(key, F.posexplode("best").alias("p", "b")).select(key, (F.col("p") + 1).alias("rank"), "b.ord", "b.sim")
+
+
+def _in_blocks(rows: DataFrame, key: str, cat: DataFrame, k: int, least: float, most: int) -> DataFrame:
+    """key, ord, sim: of each row (key, vector) the k best of every part of the catalogue that can hold one of its k best.
+
+    Some identities are pivots. Every identity belongs to the pivot at the smallest angle, and a block of identities has
+    the largest of these as its radius. A row at an angle of a to the pivot is at an angle of a - radius at least to all of
+    the block, so that it meets the block only if that can beat its k-th best pivot, or `least`. Identities and rows
+    are shuffled by block, large blocks in parts, and copies of a part where many rows want it; a task holds one part, and
+    rows pass by. The driver only sees the pivots and a few numbers of each block.
+    """
+    spark = rows.sparkSession
+    size = cat.select(F.max(F.size("centroid"))).first()[0]
+    some = cat.where(F.size("centroid") > 0).orderBy(F.xxhash64("ord")).limit(max(1, min(PIVOTS, most // size))).collect()
+    pivots = {d: np.array([r.centroid for r in some if len(r.centroid) == d]) for d in {len(r.centroid) for r in some}}
+    first = dict(zip(pivots, np.cumsum([0, *(len(p) for p in pivots.values())]).tolist()))
+
+    def angles(x: np.ndarray, d: int) -> np.ndarray:
+        return np.arccos(np.clip(unit_rows(x) @ unit_rows(pivots[d]).T, -1, 1))
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, angle, norm = np.full(b.num_rows, -1), np.full(b.num_rows, np.pi), np.zeros(b.num_rows)
+            for d, (at, x) in by_size(b.column(1)).items():
+                norm[at] = np.sqrt((x * x).sum(1))
+                block[at] = -d  # without a pivot of its length, or without a direction
+                good = norm[at] > 0
+                if d in pivots and good.any():
+                    a = angles(x[good], d)
+                    block[at[good]], angle[at[good]] = first[d] + a.argmin(1), a.min(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(angle), pa.array(norm)], names=["ord", "centroid", "block", "angle", "norm"])
+
+    path, cat = scratch(spark, "catalogue"), cat.select(F.col("ord").cast("long").alias("ord"), "centroid")
+    cat.where(F.size("centroid") > 0).mapInArrow(assigned, "ord long, centroid array<double>, block long, angle double, norm double").write.parquet(path)
+    cat = spark.read.parquet(path)
+    blocks = {r.block: r for r in cat.groupBy("block").agg(F.max("angle").alias("radius"), F.max("norm").alias("high"), F.min("norm").alias("low"), F.count("*").alias("n")).collect()}
+    kind = rows.schema[key].dataType.simpleString()
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chain.from_iterable((b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)) for b in batches):
+            row, block = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for d, (at, x) in by_size(b.column(1)).items():
+                if -d in blocks:
+                    row.append(at), block.append(np.full(len(at), -d))
+                own = [j for j in range(first[d], first[d] + len(pivots[d])) if j in blocks] if d in pivots else []
+                if not own:
+                    continue
+                pick = np.array(own) - first[d]
+                sim = unit_rows(x) @ pivots[d].T
+                beat = np.maximum(-np.partition(-sim, k - 1, 1)[:, k - 1] if sim.shape[1] >= k else -np.inf, least)
+                near = np.cos(np.maximum(0, angles(x, d)[:, pick] - np.array([blocks[j].radius for j in own])))
+                reach = near * np.where(near >= 0, [blocks[j].high for j in own], [blocks[j].low for j in own])
+                zero = (x == 0).all(1)
+                i, j = np.nonzero((reach >= beat[:, None] - 1e-9) | zero[:, None])
+                row.append(at[i]), block.append(np.array(own)[j])
+            take = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(block))], names=[key, "vector", "block"])
+
+    visits = rows.mapInArrow(wanted, f"{key} {kind}, vector array<double>, block long")
+    asked = {r.block: r.n for r in visits.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    shape = spark.createDataFrame([(j, -(-b.n // BLOCK_PART), -(-asked.get(j, 0) // ROWS_PART)) for j, b in blocks.items()], "block long, parts int, copies int")
+    j = cat.join(F.broadcast(shape), "block").withColumn("part", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int"))
+    j = j.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    held = j.select("block", "part", "copy", F.lit(0).alias("kind"), none(key, kind), "ord", F.col("centroid").alias("vector"))
+    v = visits.join(F.broadcast(shape), "block").withColumn("copy", F.pmod(F.xxhash64(key), F.col("copies")).cast("int"))
+    v = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = held.unionAll(v.select("block", "part", "copy", F.lit(1).alias("kind"), key, none("ord", "long"), "vector"))
+    by = ["block", "part", "copy"]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ords, mats = None, [], []
+        for b in chain.from_iterable((b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)) for b in batches):
+            at = np.stack([b.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if now != tuple(at[:3, s]):
+                    now, ords, mats = tuple(at[:3, s]), [], []
+                _, x = next(iter(by_size(b.column(6).slice(s, e - s)).values()))  # a block has vectors of one length
+                if at[3, s] == 0:
+                    ords.append(b.column(5).slice(s, e - s).to_numpy()), mats.append(x)
+                    continue
+                if len(mats) != 1:
+                    ords, mats = [np.concatenate(ords)], [np.concatenate(mats)]
+                sim = unit_rows(x) @ mats[0].T
+                top, who = best(sim, np.broadcast_to(ords[0], sim.shape), k)
+                w = top.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(4).slice(s, e - s).take(pa.array(np.repeat(np.arange(e - s), w))), pa.array(who.ravel().astype(np.int32)), pa.array(top.ravel())], names=[key, "ord", "sim"])
+
+    return both.repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(compared, f"{key} {kind}, ord int, sim double")
 
 
 def best_match(rows: DataFrame, key: str, vector: str, catalogue: DataFrame, threshold: float) -> DataFrame:
     """key, ord, id, source_path, sim of the nearest identity at or above the threshold; rows without one are absent."""
-    hit = scores(rows, key, vector, catalogue).where(F.col("sim") >= threshold)
+    hit = scores(rows, key, vector, catalogue, least=threshold).where(F.col("sim") >= threshold)
     return hit.drop("rank").join(catalogue.select("ord", "id", "source_path"), "ord")
 
 

@@ -1,14 +1,13 @@
-"""Staged, resumable jobs over frames: what is missing, how far a stage is, retries, packaging rules, the queue."""
+"""Staged, resumable jobs over frames: what is missing, how far a stage is, packaging rules, the queue."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .stages import CLEANUP
 
 
 def present(files: DataFrame, idx: str = "idx", size: str = "size_bytes") -> DataFrame:
@@ -56,28 +55,6 @@ def missing_preview(gone: DataFrame, key: str, idx: str = "idx", n: int = 8) ->
     return gone.groupBy(key).agg(F.count("*").alias("n_missing")).join(text, key)
 
 
-def run_stage(spark, frames: DataFrame, out: str, process: Callable[[DataFrame], DataFrame], idx: str = "idx", retries: int = 1) -> DataFrame:
-    """Frames of a stage processed and appended to the table at `out`; what is there already is not done again.
-
-    After each pass the table is read anew and what lacks is tried once more; the result are the frames still missing,
-    empty for success. Passes only append whole files, so a lost executor or a killed job costs no finished work.
-    """
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-
-    def left() -> DataFrame:
-        if not path.getFileSystem(hadoop).exists(path):
-            return frames
-        return frames.join(spark.read.parquet(out).select(idx).distinct(), idx, "left_anti")
-
-    for _ in range(1 + retries):
-        todo = left()
-        if todo.isEmpty():
-            break
-        process(todo).write.mode("append").parquet(out)
-    return left()
-
-
 def accept_shortfall(tasks: DataFrame, claimed: str, decoded: str, fps: str) -> DataFrame:
     """`tasks` with status and total: a source that ends early within tolerance completes with what it has."""
     bad = S.shortfall_fails(F.col(claimed), F.col(decoded), F.col(fps))
@@ -89,13 +66,16 @@ def next_task(tasks: DataFrame, order: str = "order", name: str = "file", status
     return tasks.where(F.col(status).isin("PENDING", "PAUSED")).orderBy(order, name).limit(1)
 
 
-def queue_states(tasks: DataFrame, order: str, name: str, status: str, keep_going: bool) -> DataFrame:
-    """`tasks` with `runnable`: pending or paused ones, unless an earlier one failed and the queue stops on errors."""
-    ok = F.col(status).isin("PENDING", "PAUSED")
-    if keep_going:
-        return tasks.withColumn("runnable", ok)
-    first = tasks.where(F.col(status) == "FAILED").agg(F.min(F.struct(order, name)).alias("_bad"))
-    return tasks.join(F.broadcast(first)).withColumn("runnable", ok & (F.col("_bad").isNull() | (F.struct(order, name) < F.col("_bad")))).drop("_bad")
+def queue_states(tasks: DataFrame, status: str = "status", ended: str = "ended", continues: str = "continue_on_error") -> DataFrame:
+    """`tasks` with `runnable`: pending or paused ones, unless the queue was halted.
+
+    It is halted, for all tasks, by one that `ended` in this run paused or cancelled, or failed without a wish of its own to
+    go on.
+    """
+    s = F.col(status)
+    halts = F.col(ended) & (s.isin("PAUSED", "CANCELLED") | ((s == "FAILED") & ~F.col(continues)))
+    halted = tasks.agg(F.coalesce(F.bool_or(halts), F.lit(False)).alias("_halted"))
+    return tasks.crossJoin(F.broadcast(halted)).withColumn("runnable", s.isin("PENDING", "PAUSED") & ~F.col("_halted")).drop("_halted")
 
 
 def overall_fraction(done: Column, total: Column, stage: Column, stages: Column) -> Column:
@@ -129,21 +109,18 @@ def packaged(tasks: DataFrame, encoder: bool) -> DataFrame:
         "output", F.when(fall, F.regexp_replace("output", r"\.[^./]*$", "")).otherwise(F.col("output"))).withColumn("note", F.when(fall, "no encoder: frames instead"))
 
 
-CLEANUP = ("KEEP", "AUTO", "DROP_AT_END")
-
-
-def kept_stages(stages: DataFrame, cleanup: str, key: str = "task", place: str = "place", done: str = "complete") -> DataFrame:
+def kept_stages(stages: DataFrame, cleanup: str, key: str = "task", place: str = "place", done: str = "complete", packaged: str = "packaged") -> DataFrame:
     """`stages` with `keep`: KEEP all; AUTO what a running job still reads, which is the last complete stage and all after
-    it; DROP_AT_END all until every stage of the task is complete, then none."""
+    it; DROP_AT_END all; of a task whose output is packaged these two keep none."""
     if cleanup not in CLEANUP:
         raise ValueError(cleanup)
-    by = W.partitionBy(key)
+    running = ~F.col(packaged)
     if cleanup == "KEEP":
         keep = F.lit(True)
     elif cleanup == "AUTO":
-        keep = F.col(place) >= F.coalesce(F.max(F.when(F.col(done), F.col(place))).over(by), F.lit(-1))
+        keep = running & (F.col(place) >= F.coalesce(F.max(F.when(F.col(done), F.col(place))).over(W.partitionBy(key)), F.lit(-1)))
     else:
-        keep = ~F.min(done).over(by)
+        keep = running
     return stages.withColumn("keep", keep)
 
 
@@ -153,43 +130,3 @@ def fingerprints(tasks: DataFrame, now: Column) -> DataFrame:
     other = F.col("saved").isNotNull() & (F.col("saved") != "") & (F.col("saved") != now)
     reset = {"completed_stages": 0, "last_frame": -1, "total": -1}
     return tasks.withColumns({c: F.when(other, F.lit(v)).otherwise(F.col(c)) for c, v in reset.items()} | {"reset": other, "saved": now})
-
-
-def run_job(spark, frames: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], folder: str, cleanup: str = "KEEP") -> tuple[str, DataFrame]:
-    """(status, frames) of a job: each stage reads the table of the one before and resumes its own in `folder`.
-
-    A stage with frames missing after its retries fails the job and leaves all tables; a finished job drops tables by
-    `cleanup`: AUTO each once the next stage is complete, DROP_AT_END all but the last at its end.
-    """
-    from .stores import _path
-
-    if cleanup not in CLEANUP:
-        raise ValueError(cleanup)
-    paths = [f"{folder}/stage{i}-{name}" for i, (name, _) in enumerate(stages)]
-
-    def drop(p: str) -> None:
-        q, fs = _path(spark, p)
-        fs.delete(q, True)
-
-    for i, (path, (_, process)) in enumerate(zip(paths, stages)):
-        if not run_stage(spark, frames, path, process).isEmpty():
-            return "FAILED", frames
-        frames = spark.read.parquet(path)
-        if cleanup == "AUTO" and i:
-            drop(paths[i - 1])
-    if cleanup == "DROP_AT_END":
-        for p in paths[:-1]:
-            drop(p)
-    return "COMPLETED", frames
-
-
-def run_queue(tasks: list[dict], run: Callable[[dict], str], keep_going: bool = False) -> list[dict]:
-    """Tasks after the queue ran: one at a time by order and name, pending and paused ones only; a failure halts the rest
-    unless `keep_going`. A task's own work is a Spark job; the list is a user's."""
-    for t in sorted(tasks, key=lambda t: (t["order"], t["file"])):
-        if t["status"] not in ("PENDING", "PAUSED"):
-            continue
-        t["status"] = run(t)
-        if t["status"] == "FAILED" and not keep_going:
-            break
-    return tasks

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,14 +116,27 @@ def sync_lag(target: Column, shown: Column, video_s: Column, audio_s: Column) ->
 
 
 def recent_values(df: DataFrame, key: list[str], value: str, micros: str, seconds: float, most: int = 1024) -> DataFrame:
-    """`df` with n and median of the values of the last seconds, at most so many; 0 without any."""
-    line = W.partitionBy(*key).orderBy(micros)
-    near = F.collect_list(F.struct(F.col(micros).alias("t"), F.col(value).alias("v"))).over(line.rowsBetween(1 - most, 0))
-    least = F.col(micros) - round(seconds * 1e6)
-    d = df.withColumn("_v", F.array_sort(F.transform(F.filter(near, lambda x: (x["t"] >= least) & x["v"].isNotNull()), lambda x: x["v"])))
-    n = F.size("_v")
-    at = lambda i: F.get("_v", i.cast("int"))
-    return d.withColumn("n", n.cast("long")).withColumn("median", F.when(n == 0, 0.0).otherwise((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)).drop("_v")
+    """`df` with n and median of the values of the last seconds, of at most so many rows; 0 without any. Nulls are no values.
+
+    A fold over the rows of each key: the last ones in a ring, their values sorted beside it.
+    """
+    rest = [c for c in df.columns if c not in key]
+    t, v, span = rest.index(micros), rest.index(value), round(seconds * 1e6)
+    out = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", n long, median double"
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        ring, ordered = state
+        ring.append((row[t], row[v]))
+        if row[v] is not None:
+            insort(ordered, (row[v] != row[v], row[v]))  # what isn't a number comes last
+        while len(ring) > most or ring[0][0] < row[t] - span:
+            x = ring.popleft()[1]
+            if x is not None:
+                del ordered[bisect_left(ordered, (x != x, x))]
+        n = len(ordered)
+        return state, [(*row, n, (ordered[(n - 1) // 2][1] + ordered[n // 2][1]) / 2 if n else 0.0)]
+
+    return folded(df, key, [micros], lambda: (deque(), []), step, out).select(*df.columns, "n", "median")
 
 
 def history(df: DataFrame, key: list[str], micros: str, seconds: float = 30.0) -> DataFrame:

@@ -7,12 +7,16 @@ invalidate_from (all from a frame on are gone); invalidate_all (everything is go
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.groups import folded
 from ..sources import frames as S
+from .versions import Table
 
 #: Puts that a buffer remembers for its fallback (fixed value).
 RECENT = 1024
@@ -24,25 +28,14 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.exists(p)
-
-
-def save_whole(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """`df` in the place of the table at `path`: written beside it first, so that a broken write leaves the old one."""
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    df.write.format(form).save(new)
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
-    if not fs.rename(_path(spark, new)[0], p):
-        raise OSError(f"can't move {new} to {path}")
+def save_whole(df: DataFrame, path: str, form: str = "parquet") -> int:
+    """`df` as the new version of the table at `path`; whatever stops the write leaves the one before."""
+    return Table(df.sparkSession, path, form).replace(df)
 
 
 def has(spark: SparkSession, path: str, key: str, frames: DataFrame, frame: str = "frame_index") -> DataFrame:
     """`frames` with `present`: whether the store of a configuration has each; no store has none."""
-    if not exists(spark, path):
+    if not Table(spark, path).exists():
         return frames.withColumn("present", F.lit(False))
     have = S.load(spark, path, key).select(frame, F.lit(True).alias("present")).distinct()
     return frames.join(have, frame, "left").withColumn("present", F.coalesce("present", F.lit(False)))
@@ -50,8 +43,9 @@ def has(spark: SparkSession, path: str, key: str, frames: DataFrame, frame: str
 
 def clear_from(spark: SparkSession, path: str, start: int, frame: str = "frame_index") -> None:
     """The store at `path` without its frames from `start` on, in all configurations."""
-    if exists(spark, path):
-        save_whole(spark.read.parquet(path).where(F.col(frame) < start), path)
+    store = S.store(spark, path)
+    if store.exists():
+        store.update(lambda rows: rows.where(F.col(frame) < start))
 
 
 class Session:
@@ -105,16 +99,52 @@ def back_filled(memory: DataFrame, reads: DataFrame, disk: DataFrame, frame: str
 
 def latest_at_or_below(log: DataFrame, key: str, seq: str = "seq", op: str = "op", frame: str = "frame", recent: int = RECENT) -> DataFrame:
     """key, seq, target, shown of each `tick` of the log: the highest frame up to its own among the last `recent` puts that
-    no mark makes invalid. Each row carries at most so many puts."""
-    f, s, o = F.col(frame), F.col(seq), F.col(op)
-    d = log.where(o.isin("put", "invalidate", "tick"))
-    after = W.partitionBy(key, frame).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
-    d = d.withColumn("_bad", F.when(o == "put", F.first(F.when(o == "invalidate", s), True).over(after)))
-    d = d.withColumn("_n", F.sum(F.when(o == "put", 1).otherwise(0)).over(W.partitionBy(key).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)))
-    puts = F.collect_list(F.when(o == "put", F.struct(f.alias("f"), F.col("_bad").alias("bad")))).over(W.partitionBy(key).orderBy("_n").rangeBetween(1 - recent, 0))
-    d = d.withColumn("_puts", puts).where(o == "tick")
-    good = F.filter("_puts", lambda p: (p["f"] <= f) & (p["bad"].isNull() | (p["bad"] > s)))
-    return d.select(key, seq, f.alias("target"), F.array_max(F.transform(good, lambda p: p["f"])).alias("shown"))
+    no mark makes invalid; null if there is none.
+
+    A fold over the log of each key: the last puts in a ring, and those that are valid sorted beside it.
+    """
+    kind = log.schema[frame].dataType.simpleString()
+    d = log.where(F.col(op).isin("put", "invalidate", "tick") & F.col(frame).isNotNull())
+
+    def step(state: _Recent, row: tuple) -> tuple[_Recent, list[tuple]]:
+        at, what, f = row
+        if what == "tick":
+            return state, [(at, f, state.below(f))]
+        state.put(f) if what == "put" else state.invalidate(f)
+        return state, []
+
+    out = f"{seq} {log.schema[seq].dataType.simpleString()}, target {kind}, shown {kind}"
+    return folded(d.select(key, seq, op, frame), [key], [seq], lambda: _Recent(recent), step, out)
+
+
+class _Recent:
+    """The last puts, and the valid ones among them in order."""
+
+    def __init__(self, most: int):
+        self.most, self.ring, self.valid, self.of = most, deque(), [], {}
+
+    def put(self, f) -> None:
+        entry = [f, True]
+        self.ring.append(entry)
+        self.of.setdefault(f, []).append(entry)
+        insort(self.valid, f)
+        if len(self.ring) > self.most:
+            old = self.ring.popleft()
+            self.of[old[0]].remove(old) if old[1] else None
+            self.drop(old)
+
+    def drop(self, entry: list) -> None:
+        if entry[1]:
+            entry[1] = False
+            del self.valid[bisect_left(self.valid, entry[0])]
+
+    def invalidate(self, f) -> None:
+        for entry in self.of.pop(f, []):
+            self.drop(entry)
+
+    def below(self, f):
+        i = bisect_right(self.valid, f)
+        return self.valid[i - 1] if i else None
 
 
 def miss_counts(ticks: DataFrame, held: DataFrame, key: str, target: str, frame: str) -> DataFrame:

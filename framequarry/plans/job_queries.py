@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import detections as D
 from ..operators import jobs as J
+from ..operators import stages as G
 from ..operators import storage as C
 from ..operators import stores as T
 from ..operators import timeline as L
+from ..operators.versions import Table
 from ..session import scratch, table
 from ..sources import frames as R
 from .registry import registry
@@ -40,14 +42,14 @@ def processor_chain_map(spark: SparkSession, d: str) -> DataFrame:
     return D.apply_chain(D.apply_chain(e, []), [_Scale(2.0), _Scale(0.25)]).withColumn("value", F.round("value", 9))
 
 
-@query("SELECT event_id AS frame_index, value, event_id % 2 AS config FROM events WHERE event_id < 700 AND event_id % 5 > 0")
+@query("SELECT event_id AS frame_index, value, event_id % 2 AS config FROM events WHERE event_id < (SELECT count(*) * 7 // 10 FROM events) AND event_id % 5 > 0")
 def frame_store(spark: SparkSession, d: str) -> DataFrame:
-    """Frames saved under two configurations, cleared from a frame on, and read back by configuration."""
-    e = table(spark, d, "events").where("event_id % 5 > 0").select(F.col("event_id").alias("frame_index"), "value")
-    path = scratch(spark, "store")
+    """Frames saved under two configurations, the last three tenths cleared, and the rest read back by configuration."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("frame_index"), "value")
+    path, cut = scratch(spark, "store"), e.count() * 7 // 10
     for k in (0, 1):
-        R.save(e.where(F.col("frame_index") % 2 == k), path, f"c{k}")
-    T.clear_from(spark, path, 700)
+        R.save(e.where("frame_index % 5 > 0").where(F.col("frame_index") % 2 == k), path, f"c{k}")
+    T.clear_from(spark, path, cut)
     both = [R.load(spark, path, f"c{k}").withColumn("config", F.lit(k).cast("long")) for k in (0, 1)]
     return both[0].unionByName(both[1])
 
@@ -66,17 +68,72 @@ def stage_resumed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
     path = scratch(spark, "stage")
     work = lambda run: lambda x: x.where("idx % 50 <> 7").withColumn("value", F.round(F.col("value") + 1, 9)).withColumn("run", F.lit(run))
-    work("before")(e.where("idx % 4 = 0")).write.parquet(path)
-    J.run_stage(spark, e, path, work("now"))
-    return spark.read.parquet(path)
+    G.run_stage(e.where("idx % 4 = 0"), path, work("before"))
+    return G.run_stage(e, path, work("now")).rows
+
+
+class _Picky:
+    """A processor that can't do some rows: whole batches that hold one raise."""
+
+    def setup(self) -> None:
+        self.bad = lambda x: x % 997 == 5
+
+    def process(self, rows):
+        bad = rows["idx"][self.bad(rows["idx"])]
+        if len(bad):
+            raise ValueError(f"frame {bad.iloc[0]} is unreadable")
+        return rows.assign(value=(rows["value"] * 2).round(9))
+
+    def release(self) -> None:
+        pass
+
+
+_PICKY = "p AS (SELECT event_id AS idx, value, event_id % 997 = 5 AS bad FROM events)"
+
+
+@query(f"WITH {_PICKY} SELECT idx, CASE WHEN NOT bad THEN round(value * 2, 9) END AS value, CASE WHEN bad THEN 'ValueError: frame ' || idx || ' is unreadable' END AS error FROM p")
+def stage_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that fail are told with their errors, all others are done."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
+    stage = G.run_stage(e, scratch(spark, "stage"), lambda x: G.captured(x, [_Picky()]))
+    failed = stage.errors.where("attempt = 1").select("idx", F.lit(None).cast("double").alias("value"), "error")
+    return stage.rows.select("idx", "value", F.lit(None).cast("string").alias("error")).unionByName(failed)
 
 
-@query("SELECT event_id AS idx, round((value + 1) * 2, 9) AS value, 'COMPLETED' AS status FROM events")
+@query(f"WITH {_PICKY}, b AS (SELECT count(*) AS n, min(idx) AS first, list_sort(list(idx))[1:8] AS named FROM p WHERE bad) SELECT CASE WHEN n > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, n AS n_missing, CASE WHEN n > 0 THEN 'ValueError: frame ' || first || ' is unreadable' END AS first_error, CASE WHEN n > 0 THEN 'stage picky: ' || n || ' frames missing (' || array_to_string(named, ', ') || CASE WHEN n > 8 THEN ', +' || (n - 8) || ' more' ELSE '' END || '); first error: ValueError: frame ' || first || ' is unreadable' END AS message FROM b")
+def stage_first_error(spark: SparkSession, d: str) -> DataFrame:
+    """How such a stage ends, and the line that tells why."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
+    stage = G.run_stage(e, scratch(spark, "stage"), lambda x: G.captured(x, [_Picky()]))
+    text = G.failure_text("picky", stage) if stage.status == "FAILED" else None
+    return stage.missing.agg(F.count("*").alias("n_missing")).select(
+        F.lit(stage.status).alias("status"), "n_missing", F.lit(stage.first_error).cast("string").alias("first_error"), F.lit(text).cast("string").alias("message"))
+
+
+@query("SELECT event_id AS idx, round((value + 1) * 2, 9) AS value, 'COMPLETED' AS status, 2 AS completed_stages, 2 AS cleaned FROM events")
 def job_of_two_stages(spark: SparkSession, d: str) -> DataFrame:
+    """A job's packaged output beside what its journal says."""
     e = table(spark, d, "events").select(F.col("event_id").alias("idx"), "value")
     stages = [("add", lambda x: x.withColumn("value", F.col("value") + 1)), ("double", lambda x: x.withColumn("value", F.round(F.col("value") * 2, 9)))]
-    status, out = J.run_job(spark, e, stages, scratch(spark, "job"), "AUTO")
-    return out.withColumn("status", F.lit(status))
+    folder = scratch(spark, "job")
+    G.run_job(spark, e, stages, folder, "AUTO")
+    told = G.folded_jobs(G.Journal(spark, folder).events()).select("status", "completed_stages", F.size("cleaned").alias("cleaned"))
+    return Table(spark, f"{folder}/output").read().crossJoin(F.broadcast(told))
+
+
+_EVENTS = "CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'stage' WHEN 'purchase' THEN 'packaged' WHEN 'error' THEN 'FAILED' ELSE 'cleaned' END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 41 = 3 THEN 'CANCELLED' ELSE {_EVENTS} END AS event, 'f' || event_id // 3000 AS fingerprint, event_id % 5 AS stage, 'm' || event_id AS message FROM events),
+l AS (SELECT user_id, arg_max(fingerprint, seq) AS fingerprint FROM e GROUP BY user_id), c AS (SELECT e.*, max(seq) FILTER (event = 'CANCELLED') OVER (PARTITION BY user_id) AS gone FROM e JOIN l USING (user_id, fingerprint))
+SELECT user_id, fingerprint, arg_max(event, seq) FILTER (event IN ('RUNNING', 'FAILED', 'CANCELLED')) AS status, coalesce(max(stage) FILTER (event = 'stage'), 0) AS completed_stages, bool_or(event = 'packaged') AS packaged,
+coalesce(array_to_string(list_sort(list(DISTINCT stage) FILTER (event = 'cleaned')), ','), '') AS cleaned, arg_max(message, seq) FILTER (event IN ('RUNNING', 'FAILED', 'CANCELLED')) AS message FROM c WHERE gone IS NULL OR seq >= gone GROUP BY user_id, fingerprint""")
+def job_journals(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs, one a user, folded from the events of all; other fingerprints and what came before a cancellation don't count."""
+    i, t = F.col("event_id"), F.col("event_type")
+    event = F.when(i % 41 == 3, "CANCELLED").when(t == "view", "RUNNING").when(t == "click", "stage").when(t == "purchase", "packaged").when(t == "error", "FAILED").otherwise("cleaned")
+    e = table(spark, d, "events").select("user_id", i.alias("seq"), event.alias("event"), F.concat(F.lit("f"), F.expr("event_id div 3000").cast("string")).alias("fingerprint"), (i % 5).alias("stage"), F.concat(F.lit("m"), i.cast("string")).alias("message"))
+    return G.folded_jobs(e, "user_id").withColumn("cleaned", F.array_join(F.col("cleaned").cast("array<string>"), ","))
 
 
 _DONE = "d AS (SELECT DISTINCT l_orderkey AS stage, (l_linenumber - 1)::BIGINT AS idx FROM lineitem), w AS (SELECT o_orderkey AS stage, unnest(range(0, 5)) AS idx FROM orders), g AS (SELECT stage, idx FROM w WHERE (stage, idx) NOT IN (SELECT (stage, idx) FROM d))"
@@ -124,13 +181,18 @@ def overall_progress(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.round(J.overall_fraction(i % 100, (i % 7 * 20).cast("double"), i % 3, F.lit(3)), 9).alias("share"))
 
 
-@query("""WITH t AS (SELECT o_orderkey::VARCHAR AS file, o_orderpriority AS o, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'PAUSED' ELSE CASE WHEN o_orderkey % 200 = 77 THEN 'FAILED' ELSE 'COMPLETED' END END AS s FROM orders),
-b AS (SELECT o, file FROM t WHERE s = 'FAILED' ORDER BY o, file LIMIT 1) SELECT file, s IN ('PENDING', 'PAUSED') AND coalesce((SELECT (t.o, t.file) < (b.o, b.file) FROM b), true) AS halting, s IN ('PENDING', 'PAUSED') AS going_on FROM t""")
+_QUEUE = "t AS (SELECT o_custkey % 3 AS q, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'PENDING' WHEN 'P' THEN 'PAUSED' ELSE CASE WHEN o_orderkey % 20 = 7 THEN 'FAILED' ELSE 'COMPLETED' END END AS s, o_orderkey % 2 = 0 AS ended FROM orders)"
+
+
+@query(f"""WITH {_QUEUE}, h AS (SELECT q, bool_or(ended AND s = 'PAUSED' AND q = 0 OR s = 'FAILED' AND q = 1) AS halted FROM t GROUP BY q)
+SELECT o_orderkey, s IN ('PENDING', 'PAUSED') AND NOT halted AS runnable FROM t JOIN h USING (q)""")
 def queue_runnable(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(F.col("o_orderstatus") == "O", "PENDING").when(F.col("o_orderstatus") == "P", "PAUSED").when(F.col("o_orderkey") % 200 == 77, "FAILED").otherwise("COMPLETED")
-    t = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), F.col("o_orderpriority").alias("order"), s.alias("status"))
-    a = J.queue_states(t, "order", "file", "status", False).withColumnRenamed("runnable", "halting")
-    return J.queue_states(a, "order", "file", "status", True).select("file", "halting", F.col("runnable").alias("going_on"))
+    """Three queues: one with tasks paused in this run, one where one failed, one whose failed tasks wish to go on."""
+    s = F.when(F.col("o_orderstatus") == "O", "PENDING").when(F.col("o_orderstatus") == "P", "PAUSED").when(F.col("o_orderkey") % 20 == 7, "FAILED").otherwise("COMPLETED")
+    t = table(spark, d, "orders").select((F.col("o_custkey") % 3).alias("q"), "o_orderkey", s.alias("status"))
+    here = [(F.col("status") == "PAUSED") & (F.col("o_orderkey") % 2 == 0), F.col("status") == "FAILED", F.col("status") == "FAILED"]
+    q = [J.queue_states(t.where(F.col("q") == k).withColumns({"ended": here[k], "continue_on_error": F.lit(k == 2)})) for k in range(3)]
+    return q[0].unionByName(q[1]).unionByName(q[2]).select("o_orderkey", "runnable")
 
 
 @query("SELECT o_orderkey, substr(sha1(o_orderkey || '|' || o_custkey), 1, 12) AS task_id, 'fast' AS quality FROM orders")
@@ -148,12 +210,13 @@ def packaging(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("o_orderkey", "form", "output", "note")
 
 
-_KEEP = "s AS (SELECT l_orderkey AS task, l_linenumber AS place, l_quantity > 10 AS complete FROM lineitem)"
+_KEEP = "s AS (SELECT l_orderkey AS task, l_linenumber AS place, l_quantity > 10 AS complete, l_orderkey % 3 = 0 AS packaged FROM lineitem)"
 
 
-@query(f"""WITH {_KEEP} SELECT task, place, complete, place >= coalesce(max(CASE WHEN complete THEN place END) OVER (PARTITION BY task), -1) AS auto, NOT bool_and(complete) OVER (PARTITION BY task) AS at_end FROM s""")
+@query(f"""WITH {_KEEP} SELECT task, place, complete, packaged, NOT packaged AND place >= coalesce(max(CASE WHEN complete THEN place END) OVER (PARTITION BY task), -1) AS auto, NOT packaged AS at_end FROM s""")
 def stage_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") > 10).alias("complete"))
+    s = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("place"), (F.col("l_quantity") > 10).alias("complete"), (F.col("l_orderkey") % 3 == 0).alias("packaged"))
     a = J.kept_stages(s, "AUTO").withColumnRenamed("keep", "auto")
     return J.kept_stages(a, "DROP_AT_END").withColumnRenamed("keep", "at_end")
 
@@ -165,14 +228,27 @@ def fingerprint_resets(spark: SparkSession, d: str) -> DataFrame:
     return J.fingerprints(t, F.lit("same")).select("o_orderkey", "completed_stages", "last_frame", "reset")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS \"order\" FROM orders WHERE o_orderkey < 50")
+@query("SELECT o_orderkey AS id, o_orderpriority AS \"order\" FROM orders WHERE o_orderkey % 11 <> 4")
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written, and read with a corrupt one and unknown fields among them."""
-    t = table(spark, d, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("order"), F.lit(1).alias("unknown"))
+    """Documents written, some corrupt ones and unknown fields among them, and the rest read."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("order"), F.lit(1).alias("unknown"))
+    path = scratch(spark, "documents")
+    text = F.to_json(F.struct(*t.columns))
+    t.select(F.when(F.col("id") % 11 == 4, F.substring(text, 1, 12)).otherwise(text)).write.text(path)
+    return R.documents(spark, path, "id long, order string", lines=True)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderpriority END AS \"order\", 3 AS version FROM orders WHERE o_orderkey % 7 > 0")
+def saved_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents saved, replaced and updated, each as a version; a version that nobody published doesn't count."""
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("order"))
     path = scratch(spark, "documents")
-    R.save_documents(t, path)
-    spark.createDataFrame([('{"id": 7, "order"',)], "value string").write.mode("append").text(path)
-    return R.documents(spark, f"{path}/*.json", "id long, order string", lines=True).unionByName(R.documents(spark, f"{path}/*.txt", "id long, order string", lines=True))
+    store = Table(spark, path, "json")
+    R.save_documents(t.limit(1), path)
+    R.save_documents(t.where("id % 7 > 0"), path)
+    store.staged(t)
+    store.update(lambda x: x.withColumn("order", F.when(F.col("id") % 3 == 0, "new").otherwise(F.col("order"))))
+    return R.saved_documents(spark, path).withColumn("version", F.lit(store.latest()))
 
 
 @query(rf"WITH r AS (SELECT page_id, {_DIR} AS path FROM pages) SELECT page_id, length(path)::BIGINT AS n FROM r")
@@ -208,31 +284,32 @@ def thumbnail_states(spark: SparkSession, d: str) -> DataFrame:
     return C.thumbnail_states(p, p.where("page_id % 7 > 0"), p.where("page_id % 5 = 0")).select("page_id", "state")
 
 
-_CH = "c AS (SELECT event_id AS seq, 'f' || (event_id * 11 % 300) AS path, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'thumbnail' WHEN 'purchase' THEN 'failure' WHEN 'error' THEN 'remove' ELSE 'add' END AS op, 'v' || event_id AS value FROM events)"
+_CH = "c AS (SELECT event_id AS seq, 'f' || (event_id * 11 % (SELECT 1 + count(*) // 3 FROM events)) AS path, CASE event_type WHEN 'view' THEN 'add' WHEN 'click' THEN 'thumbnail' WHEN 'purchase' THEN 'failure' WHEN 'error' THEN 'remove' ELSE 'add' END AS op, 'v' || event_id AS value FROM events)"
 
 
-@query(f"""WITH {_CH}, b AS (SELECT 'f' || i AS path, 'old' || i AS thumbnail FROM (SELECT unnest(range(0, 400)) AS i) WHERE i % 2 = 0),
+@query(f"""WITH {_CH}, b AS (SELECT 'f' || event_id AS path, 'old' || event_id AS thumbnail FROM events WHERE event_id % 2 = 0),
 x AS (SELECT path, -1 AS seq, 'add' AS op, NULL AS value FROM b UNION ALL SELECT path, seq, op, value FROM c),
 g AS (SELECT path, arg_max(op, seq) FILTER (op IN ('add', 'remove')) AS there, max(seq) FILTER (op = 'remove') AS gone, max(seq) FILTER (op IN ('thumbnail', 'failure')) AS r FROM x GROUP BY path),
 j AS (SELECT g.path, gone, r, x.op, x.value, coalesce(r > gone, r IS NOT NULL) AS new, b.thumbnail FROM g LEFT JOIN x ON x.path = g.path AND x.seq = g.r LEFT JOIN b ON b.path = g.path WHERE there = 'add')
 SELECT path, CASE WHEN new AND op = 'thumbnail' THEN value WHEN gone IS NULL THEN thumbnail END AS thumbnail, CASE WHEN new AND op = 'failure' THEN value END AS error FROM j""")
 def library_upkeep(spark: SparkSession, d: str) -> DataFrame:
     t, i = F.col("event_type"), F.col("event_id")
+    n = 1 + table(spark, d, "events").count() // 3
     op = F.when(t == "click", "thumbnail").when(t == "purchase", "failure").when(t == "error", "remove").otherwise("add")
-    c = table(spark, d, "events").select(i.alias("seq"), F.concat(F.lit("f"), (i * 11 % 300).cast("string")).alias("path"), op.alias("op"), F.concat(F.lit("v"), i.cast("string")).alias("value"))
-    b = spark.range(0, 400, 2).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("old"), F.col("id").cast("string")).alias("thumbnail"), F.lit(None).cast("string").alias("error"))
+    c = table(spark, d, "events").select(i.alias("seq"), F.concat(F.lit("f"), (i * 11 % n).cast("string")).alias("path"), op.alias("op"), F.concat(F.lit("v"), i.cast("string")).alias("value"))
+    b = table(spark, d, "events").where(i % 2 == 0).select(F.concat(F.lit("f"), i.cast("string")).alias("path"), F.concat(F.lit("old"), i.cast("string")).alias("thumbnail"), F.lit(None).cast("string").alias("error"))
     return C.upkeep(b, c)
 
 
 @query("""WITH s AS (SELECT event_id // 2 AS f, event_id AS seq, value FROM events), p AS (SELECT f, max(seq) AS seq, arg_max(value, seq) AS value FROM s GROUP BY f), m AS (SELECT f, f * 2 + f % 3 - 1 AS seq FROM p WHERE f % 5 = 0)
-SELECT f, p.seq, value, m.f IS NOT NULL AND p.seq < m.seq AS marked FROM p LEFT JOIN m USING (f) WHERE f < 400 AND f <> 17 AND f >= 3""")
+SELECT f, p.seq, value, m.f IS NOT NULL AND p.seq < m.seq AS marked FROM p LEFT JOIN m USING (f) WHERE f < (SELECT count(*) * 2 // 5 FROM events) AND f <> 17 AND f >= 3""")
 def store_upsert_invalidate(spark: SparkSession, d: str) -> DataFrame:
     """Puts over a store, marks that later puts took back, and removal of single frames and of ends."""
     s = table(spark, d, "events").select(F.expr("event_id div 2").alias("f"), F.col("event_id").alias("seq"), "value")
     store = L.upsert(s.where("seq % 2 = 0"), s.where("seq % 2 = 1"), "f", "seq")
     marks = store.where("f % 5 = 0").select("f", (F.col("f") * 2 + F.col("f") % 3 - 1).alias("seq"))
     left = L.cleared(marks, s.select("f", "seq"), "f", "seq").select("f", F.lit(True).alias("marked"))
-    store = L.invalidate(L.invalidate(L.invalidate(store, "f", start=400), "f", at=17), "f", before=3)
+    store = L.invalidate(L.invalidate(L.invalidate(store, "f", start=s.count() * 2 // 5), "f", at=17), "f", before=3)
     return store.join(left, "f", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
 
 
@@ -256,20 +333,48 @@ def cache_metadata(spark: SparkSession, d: str) -> DataFrame:
     return aged.join(meta.select("p_partkey", "source_path", "last_used"), "p_partkey")
 
 
-@query("SELECT unnest(range(0, 40)) AS frame_index, 6 AS width")
-def synthetic_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of the synthetic backend, read in ranges."""
-    v = R.video(spark, "synthetic", frames=40, width=6, height=2, ranges=3)
-    return v.where(F.length("payload") == 36).select("frame_index", "width")
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    return table(spark, d, "events").select(i.alias("frame_index"), F.repeat(F.lit("x"), (i % 7 + 8).cast("int")).cast("binary").alias("payload"))
 
 
-@query("SELECT event_id AS frame_index, 8 + event_id % 2 AS length, 'image' AS kind FROM events WHERE event_id < 40")
+@query("SELECT event_id AS frame_index, 8 + event_id % 7 AS length, 'image' AS kind FROM events")
 def frame_files(spark: SparkSession, d: str) -> DataFrame:
     """Frames written as files named by number, then scanned by folder, extension and kind; contents aren't read."""
-    f = table(spark, d, "events").where("event_id < 40").select(F.col("event_id").alias("frame_index"), F.repeat(F.lit("x"), (F.col("event_id") % 2 + 8).cast("int")).cast("binary").alias("payload"))
     path = scratch(spark, "frames")
-    R.write_files(f, path.removeprefix("file:"), "png").count()
+    R.write_files(_pictures(spark, d), path)
     number = F.regexp_extract("path", r"(\d+)\.[^.]*$", 1).cast("long")
-    scanned = R.scan(spark, path, (".PNG",)).select(number.alias("frame_index"), "length", "kind")
-    read = R.folder(spark, path).select("frame_index").where(F.length("content") == F.col("length"))
-    return scanned.join(read, "frame_index").join(R.cached(spark, path), "frame_index")
+    return R.scan(spark, path, (".PNG",)).select(number.alias("frame_index"), "length", "kind").join(R.cached(spark, path), "frame_index")
+
+
+@query("""SELECT event_id AS frame_index, 8 + event_id % 7 AS length, 'range' AS what FROM events WHERE event_id > (SELECT count(*) // 3 FROM events) AND event_id <= (SELECT count(*) // 2 FROM events)
+UNION ALL SELECT event_id, 8 + event_id % 7, 'list' FROM events WHERE event_id IN (0, 3, 4, 77, 78, 1000000000) UNION ALL SELECT event_id, 8 + event_id % 7, 'copy' FROM events WHERE event_id % 7 = 2""")
+def frame_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Of a folder's frames a range, a list, and those copied to another folder by a rule that no range tells: only files that
+    are asked for are opened."""
+    e = _pictures(spark, d)
+    path, other, n = scratch(spark, "frames"), scratch(spark, "frames"), e.count()
+    R.write_files(e, path)
+    R.write_files(R.frame_files(spark, path).where("frame_index % 7 = 2"), other)
+    some = lambda where, what: R.frame_files(spark, path, where=where).select("frame_index", "length", F.lit(what).alias("what"))
+    a = some((F.col("frame_index") > n // 3) & (F.col("frame_index") <= n // 2), "range")
+    b = some(F.col("frame_index").isin(0, 3, 4, 77, 78, 1_000_000_000), "list")
+    return a.unionByName(b).unionByName(R.frame_files(spark, other).select("frame_index", "length", F.lit("copy").alias("what")))
+
+
+@query("SELECT event_id AS frame_index, 8 + event_id % 7 AS length, 'no encoder: frames instead' AS note, 'clip' AS folder FROM events")
+def packaged_output(spark: SparkSession, d: str) -> DataFrame:
+    """A job's frames packaged as a video where no encoder is: files in a folder of its name; then copied as they are."""
+    path, copy = scratch(spark, "out"), scratch(spark, "copy")
+    folder, note = R.package(_pictures(spark, d), f"{path}/clip.mp4", video=True)
+    R.copy_files(spark, folder, copy)
+    return R.frame_files(spark, copy).select("frame_index", "length", F.lit(note).alias("note"), F.lit(folder.rsplit("/", 1)[1]).alias("folder"))
+
+
+@query("SELECT event_id AS frame_index, 6 AS width, round(value, 6) AS value FROM events WHERE event_id >= (SELECT count(*) // 4 FROM events)")
+def synthetic_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of the synthetic backend with a frame for each event, from a quarter on, beside the events' values."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("frame_index"), F.round("value", 6).alias("value"))
+    n = e.count()
+    v = R.video(spark, "synthetic", F.col("frame_index") >= n // 4, frames=n, width=6, height=2, ranges=8)
+    return v.where(F.length("payload") == 36).select("frame_index", "width").join(e, "frame_index")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions import scalars as S
+from ..operators.versions import Table
+from .framefiles import FrameFiles, LatestFrame, RangedReader, Ranges
 
 FRAMES = "target_id string, frame_index bigint, height int, width int, payload binary"
 
@@ -56,15 +59,13 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
 BACKENDS = {"synthetic": "synthetic_video"}
 
 
-def video(spark: SparkSession, backend: str, **options) -> DataFrame:
-    """Frames by the reader of a backend, each task reading a contiguous range of frames."""
+def video(spark: SparkSession, backend: str, where: Column | str | None = None, **options) -> DataFrame:
+    """Frames by the reader of a backend, each task reading contiguous ranges of frames; by a condition `where` on frame_index
+    no others are decoded."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}, known: {', '.join(sorted(BACKENDS))}")
     register(spark)
-    r = spark.read.format(BACKENDS[backend])
-    for k, v in options.items():
-        r = r.option(k, v)
-    return r.load()
+    return _scanned(spark.read.format(BACKENDS[backend]).options(**options), where)
 
 
 def planned(frames: DataFrame, plan: DataFrame) -> DataFrame:
@@ -93,12 +94,6 @@ def settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[s
     return {k: v if rows[0][k] is None else rows[0][k] for k, v in defaults.items()}
 
 
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        super().__init__((start, end))
-        self.start, self.end = start, end
-
-
 class SyntheticVideo(DataSource):
     """A video by rule, for tests: `frames` frames of `width` x `height`, split into contiguous ranges.
 
@@ -117,61 +112,87 @@ class SyntheticVideo(DataSource):
         return _SyntheticReader(self.options)
 
 
-class _SyntheticReader(DataSourceReader):
+class _SyntheticReader(RangedReader):
     def __init__(self, options):
-        self.n, self.ranges = int(options.get("frames", "0")), max(1, int(options.get("ranges", "4")))
+        super().__init__(options, "4")
+        self.n = int(options.get("frames", "0"))
         self.size, self.target = (int(options.get("height", "2")), int(options.get("width", "2"))), options.get("target", "synthetic")
 
-    def partitions(self) -> list[_Range]:
-        step = -(-self.n // self.ranges) or 1
-        return [_Range(a, min(a + step, self.n)) for a in range(0, self.n, step)]
+    def there(self) -> list[tuple[int, int]]:
+        return [(0, self.n)]
 
-    def read(self, part: _Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges | None) -> Iterator[tuple]:
         h, w = self.size
-        for i in range(part.start, part.end):
-            yield self.target, i, h, w, bytes([i % 256]) * (h * w * 3)
+        for a, b in partition.ranges if partition else []:
+            for i in range(a, b):
+                yield self.target, i, h, w, bytes([i % 256]) * (h * w * 3)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SyntheticVideo)
+    """Makes the library's formats known to a session, and has Spark push filters into them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (SyntheticVideo, FrameFiles, LatestFrame):
+        spark.dataSource.register(source)
 
 
-def save(frames: DataFrame, path: str, key: str) -> None:
-    """Frames into the store of a configuration; a store per key, so that changing it never mixes frames."""
-    frames.withColumn("config_key", F.lit(key)).write.mode("append").partitionBy("config_key").parquet(path)
+def frame_files(spark: SparkSession, path: str, ext: str = "png", where: Column | str | None = None, **options) -> DataFrame:
+    """frame_index, length, payload of a folder's frame files; by a condition `where` on frame_index other files stay closed."""
+    register(spark)
+    return _scanned(spark.read.format("frames").options(path=path, ext=ext, **options), where)
+
+
+def _scanned(reader: DataFrameReader, where: Column | str | None) -> DataFrame:
+    """What a source reads under a condition that is pushed into it.
+
+    Spark keeps pushed filters with the relation, not with the scan: two scans of one relation with different filters would
+    read the same frames. So each call has a relation of its own, filters that come later stay above a sample of
+    everything, which they don't pass, and without a condition nothing is pushed.
+    """
+    return reader.load() if where is None else reader.option("pushdown", "true").load().where(where).sample(1.0)
+
+
+def store(spark: SparkSession, path: str) -> Table:
+    """The frames of all configurations, each in folders of its own, so that changing one never mixes frames."""
+    return Table(spark, path, partition_by=("config_key",))
+
+
+def save(frames: DataFrame, path: str, key: str) -> int:
+    """Frames into the store of a configuration, as a new version."""
+    return store(frames.sparkSession, path).append(frames.withColumn("config_key", F.lit(key)))
 
 
 def load(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("config_key") == key).drop("config_key")
+    return store(spark, path).read().where(F.col("config_key") == key).drop("config_key")
+
+
+def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "raw", mode: str = "append", frame: str = "frame_index", payload: str = "payload") -> None:
+    """Frames as files %08d.ext in a folder that all machines share; a job that fails leaves none of its own."""
+    register(frames.sparkSession)
+    rows = frames.select(F.col(frame).cast("long").alias("frame_index"), F.length(payload).cast("long").alias("length"), F.col(payload).alias("payload"))
+    rows.write.format("frames").options(path=path, ext=ext, encoder=encoder).mode(mode).save()
 
 
-def write_files(frames: DataFrame, path: str, ext: str, encode=None, frame: str = "frame_index", payload: str = "payload") -> DataFrame:
-    """Frames as files %08d.ext in a folder that all machines share (frame_index, bytes written). Each task writes its own
-    frames, each under a temporary name first, so that a repeated task does no harm; `encode` turns a payload into bytes."""
-    import os
-    import uuid
+def copy_files(spark: SparkSession, source: str, target: str, ext: str = "png") -> None:
+    """The frame files of a folder in another one too, by many tasks."""
+    write_files(frame_files(spark, source, ext), target, ext)
 
-    def run(batches):
-        import pandas as pd
 
-        os.makedirs(path, exist_ok=True)
-        for x in batches:
-            sizes = []
-            for i, data in zip(x[frame], x[payload]):
-                data = encode(data) if encode else bytes(data)
-                name = os.path.join(path, f"{int(i):08d}.{ext}")
-                tmp = f"{name}.{uuid.uuid4().hex}"
-                with open(tmp, "wb") as f:
-                    f.write(data)
-                os.replace(tmp, name)
-                sizes.append(len(data))
-            yield pd.DataFrame({"frame_index": x[frame], "length": sizes})
+def package(frames: DataFrame, output: str, video: bool, encode=None, ext: str = "png", payload: str = "payload") -> tuple[str, str | None]:
+    """(where the output lies, note). A video by `encode(frames, output)`; without an encoder, and if frames are wanted, files
+    in a folder: for a video that of its name without the extension."""
+    if video and encode:
+        encode(frames, output)
+        return output, None
+    folder = re.sub(r"\.[^./]*$", "", output) if video else output
+    write_files(frames, folder, ext, payload=payload)
+    return folder, "no encoder: frames instead" if video else None
 
-    return frames.select(frame, payload).mapInPandas(run, "frame_index long, length long")
 
+def save_documents(df: DataFrame, path: str) -> int:
+    """Rows as JSON documents, a new version of those at `path`; whatever stops the write leaves the one before."""
+    return Table(df.sparkSession, path, "json").replace(df)
 
-def save_documents(df: DataFrame, path: str) -> None:
-    """Rows as JSON documents, in the place of those at `path`; a broken write leaves the old ones."""
-    from ..operators.stores import save_whole
 
-    save_whole(df, path, "json")
+def saved_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of the newest version."""
+    return Table(spark, path, "json").read()

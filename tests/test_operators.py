@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framequarry.functions import scalars as S
 from framequarry.operators import detections, identities, jobs, playback, series, storage, stores
+from framequarry.operators.versions import Table
 from framequarry.plans.groups import by_group, folded
 from framequarry.session import scratch
 from framequarry.sources import frames
@@ -167,12 +168,12 @@ def test_strategy_ways():
 def test_frame_stores(spark, tmp_path):
     f = spark.range(10).select(F.col("id").alias("frame_index"))
     with stores.Session(spark, str(tmp_path)) as path:
-        assert not stores.exists(spark, path) and stores.has(spark, path, "a", f).where("present").isEmpty()
+        assert not Table(spark, path).exists() and stores.has(spark, path, "a", f).where("present").isEmpty()
         frames.save(f.where("frame_index < 8"), path, "a"), frames.save(f.where("frame_index < 3"), path, "b")
         stores.clear_from(spark, path, 5)
         assert sorted(r.frame_index for r in stores.has(spark, path, "a", f).where("present").collect()) == [0, 1, 2, 3, 4]
         assert frames.load(spark, path, "b").count() == 3
-    assert not stores.exists(spark, path)
+    assert not Table(spark, path).exists()
 
 
 def test_holdings(spark):
@@ -184,24 +185,6 @@ def test_holdings(spark):
         stores.readable(spark.range(1), "SOMETIMES")
 
 
-@pytest.mark.parametrize(("cleanup", "left"), [("KEEP", ["stage0-add", "stage1-double"]), ("AUTO", ["stage1-double"]), ("DROP_AT_END", ["stage1-double"])])
-def test_job(spark, tmp_path, cleanup, left):
-    todo = spark.range(6).select(F.col("id").alias("idx"), F.col("id").alias("v"))
-    stages = [("add", lambda x: x.withColumn("v", F.col("v") + 1)), ("double", lambda x: x.withColumn("v", F.col("v") * 2))]
-    status, out = jobs.run_job(spark, todo, stages, str(tmp_path), cleanup)
-    assert status == "COMPLETED" and sorted(r.v for r in out.collect()) == [2, 4, 6, 8, 10, 12]
-    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == left
-    broken = [("add", lambda x: x.where("idx <> 3"))]
-    assert jobs.run_job(spark, todo, broken, str(tmp_path / "b"), cleanup)[0] == "FAILED"
-
-
-def test_queue():
-    tasks = lambda: [{"file": f, "order": o, "status": s} for f, o, s in (("b", 1, "PENDING"), ("a", 1, "PAUSED"), ("c", 0, "COMPLETED"), ("d", 2, "PENDING"))]
-    run = lambda t: "FAILED" if t["file"] == "b" else "COMPLETED"
-    assert {t["file"]: t["status"] for t in jobs.run_queue(tasks(), run)} == {"a": "COMPLETED", "b": "FAILED", "c": "COMPLETED", "d": "PENDING"}
-    assert {t["file"]: t["status"] for t in jobs.run_queue(tasks(), run, True)}["d"] == "COMPLETED"
-
-
 def test_settings(spark, tmp_path):
     path = tmp_path / "settings.json"
     defaults = {"theme": "dark", "size": "3"}
@@ -216,7 +199,7 @@ def test_save_whole_replaces(spark, tmp_path):
     p = str(tmp_path / "t")
     stores.save_whole(spark.range(3), p)
     stores.save_whole(spark.range(5), p)
-    assert spark.read.parquet(p).count() == 5 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    assert Table(spark, p).read().count() == 5 and Table(spark, p).read(1).count() == 3
 
 
 def test_backends(spark):

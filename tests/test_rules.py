@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framequarry.functions import scalars as S
-from framequarry.operators import jobs, sections, storage
+from framequarry.operators import stages, sections, storage
 from framequarry.sources import frames
 from framequarry.streaming import policies
 
@@ -71,10 +71,10 @@ def test_stage_resumes(spark, tmp_path):
     """A stage that lost part of its frames only does the missing ones, and each once."""
     stage = str(tmp_path / "stage")
     todo = spark.range(10).select(F.col("id").alias("idx"))
-    todo.where("idx < 4").write.parquet(stage)
-    left = jobs.run_stage(spark, todo, stage, lambda x: x.where("idx <> 7"))
-    assert [r.idx for r in left.collect()] == [7]
-    assert sorted(r.idx for r in spark.read.parquet(stage).collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
+    stages.run_stage(todo.where("idx < 4"), stage, lambda x: x)
+    done = stages.run_stage(todo, stage, lambda x: x.where("idx <> 7"))
+    assert done.status == "FAILED" and done.first_error is None and [r.idx for r in done.missing.collect()] == [7]
+    assert sorted(r.idx for r in done.rows.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
 
 
 def test_synthetic_video(spark):
