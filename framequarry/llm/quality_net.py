@@ -3,17 +3,18 @@
 Learned filters of six bytes run over every byte of a text. Their rectified responses are max-pooled within chunks of
 256 bytes that overlap by 64 and cover the whole text; a hidden layer turns a chunk's maxima into a logit, and the
 logits' mean over all chunks gives one probability. Training sees a bounded sample of labelled documents, at most
-`MAX_TRAIN` ids; it reads their whole texts from a file of the driver's, as scoring does in Spark.
+`MAX_TRAIN` ids and `MAX_TRAIN_BYTES`; it reads their whole texts from a file of the driver's, as scoring does in Spark.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,6 +23,8 @@ from .arrowtext import small_batches, text_bytes
 WIDTH, FILTERS, HIDDEN = 6, 24, 16
 BLOCK, CHUNK_BLOCKS, STEP_BLOCKS = 64, 4, 3
 MAX_TRAIN, EPOCHS, BATCH, RATE = 4000, 8, 64, 0.01
+#: Bytes of all training texts together, which bounds the driver's file and its time; one text at least.
+MAX_TRAIN_BYTES = 64_000_000
 #: Jobs that bring the training texts, a partition at a time.
 FETCHES = 16
 CHUNK = BLOCK * CHUNK_BLOCKS
@@ -77,11 +80,33 @@ def maxima(m: dict[str, np.ndarray], x: np.ndarray, t: int, some: int = 16) -> t
     return arg, top + m["b"]
 
 
-def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Adam on the mean log loss of documents, over all their chunks; gradients pass a max only at its place.
+def gradients(m: dict[str, np.ndarray], texts: Iterable[bytes], y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(probabilities, gradients of the mean log loss) of some texts over all their chunks; a max passes them at its place only.
 
-    Chunks are read from `docs` a slice at a time; of a batch's chunks only the maxima and the bytes at their places stay.
+    Of the chunks only the maxima and the bytes at their places stay.
     """
+    t, filters, kept = CHUNK - WIDTH + 1, np.arange(FILTERS), []
+    for x, of in gathered(texts):
+        arg, top = maxima(m, x, t)
+        rows = np.arange(len(x))[:, None]
+        kept.append((of, top, np.stack([x[rows, arg + j] for j in range(WIDTH)])))
+    of, top, seen = (np.concatenate(c, axis) for c, axis in zip(zip(*kept), (0, 0, 1)))
+    pool = np.maximum(top, 0)
+    hid = np.tanh(pool @ m["h"] + m["hb"])
+    logit = hid @ m["v"] + m["vb"]
+    share = 1 / np.bincount(of)[of]
+    p = 1 / (1 + np.exp(-np.bincount(of, logit * share)))
+    d = ((p - y) / len(y))[of].astype(np.float32) * share.astype(np.float32)
+    dh = d[:, None] * m["v"] * (1 - hid**2)
+    dp = (dh @ m["h"].T) * (top > 0)
+    g = {"v": hid.T @ d, "vb": d.sum(keepdims=True), "h": pool.T @ dh, "hb": dh.sum(0), "b": dp.sum(0), "w": np.zeros_like(m["w"])}
+    for j in range(WIDTH):
+        g["w"][j] = np.bincount((seen[j].astype(np.int64) * FILTERS + filters).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+    return p, g
+
+
+def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+    """Adam on the mean log loss of documents, which are read from `docs` one at a time."""
     rng = np.random.default_rng(seed)
     m = empty_model()
     if len(docs) == 0:
@@ -92,29 +117,11 @@ def train(docs: Sequence[bytes], labels: np.ndarray, seed: int = 3) -> dict[str,
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
     step = 0
-    t = CHUNK - WIDTH + 1
-    filters = np.arange(FILTERS)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             ids = order[at : at + BATCH]
-            kept = []
-            for x, of in gathered(docs[i] for i in ids):
-                arg, top = maxima(m, x, t)
-                rows = np.arange(len(x))[:, None]
-                kept.append((of, top, np.stack([x[rows, arg + j] for j in range(WIDTH)])))
-            of, top, seen = (np.concatenate(c, axis) for c, axis in zip(zip(*kept), (0, 0, 1)))
-            pool = np.maximum(top, 0)
-            hid = np.tanh(pool @ m["h"] + m["hb"])
-            logit = hid @ m["v"] + m["vb"]
-            share = 1 / np.bincount(of)[of]
-            p = 1 / (1 + np.exp(-np.bincount(of, logit * share)))
-            d = ((p - y_all[ids]) / len(ids))[of].astype(np.float32) * share.astype(np.float32)
-            dh = d[:, None] * m["v"] * (1 - hid**2)
-            dp = (dh @ m["h"].T) * (top > 0)
-            g = {"v": hid.T @ d, "vb": d.sum(keepdims=True), "h": pool.T @ dh, "hb": dh.sum(0), "b": dp.sum(0), "w": np.zeros_like(m["w"])}
-            for j in range(WIDTH):
-                g["w"][j] = np.bincount((seen[j].astype(np.int64) * FILTERS + filters).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+            _, g = gradients(m, (docs[i] for i in ids), y_all[ids])
             step += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS)
             for k in m:
@@ -187,8 +194,9 @@ class Texts:
         return self.file.read(size)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """doc_id, label_quality, text of at most `max_train` labelled ids of `docs` outside the held-out fold, by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """doc_id, label_quality, text of at most `max_train` labelled ids of `docs` outside the held-out fold, by a hash of the id;
+    of these the first whose whole texts have at most `max_bytes` together.
 
     Every id has one row: of several labels the lowest counts, of several texts the smallest; null labels don't count.
     """
@@ -197,7 +205,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     picked = picked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_train)
     text = F.min(F.coalesce("text", F.lit(""))).alias("text")
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label_quality").agg(text)
+    rows = common.written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label_quality").agg(text))
+    # ids and lengths of so few rows are put in order by one task
+    size = rows.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    upto = F.sum("size").over(W.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    first = size.withColumn("upto", upto).where((F.col("upto") <= max_bytes) | (F.col("upto") == F.col("size"))).select("doc_id")
+    return rows.join(F.broadcast(first), "doc_id")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict[str, np.ndarray]:
