@@ -79,8 +79,9 @@ def valid_id(ident: Column) -> Column:
 
 
 def inside(path: Column, root: Column) -> Column:
-    """Whether a path without links lies under a root, and so may be deleted."""
-    return (path == root) | path.startswith(F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))) & ~path.rlike(r"(^|/)\.\.(/|$)")
+    """Whether a path without links lies below a root, and so may be deleted; the root itself may not."""
+    top = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    return path.startswith(top) & (F.rtrim(path, F.lit("/")) != F.rtrim(root, F.lit("/"))) & ~path.rlike(r"(^|/)\.\.?(/|$)")
 
 
 def content_signature(luma: Column, levels: int = 16) -> Column:

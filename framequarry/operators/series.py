@@ -48,8 +48,11 @@ def counter_rate(df: DataFrame, key: list[str], count: str, micros: str = "us")
     return df.withColumn("rate", F.when(dc.isNull() | (dt <= 0) | (dc < 0), 0.0).otherwise(dc / F.nullif(dt, F.lit(0.0))))
 
 
-def step_rate(df: DataFrame, key: list[str], stage: str, done: str, micros: str = "us", seconds: float = RATE_SECONDS) -> DataFrame:
-    """Rate and elapsed time within a stage; the window has the last seconds, but two samples at least."""
+def step_rate(df: DataFrame, key: list[str], stage: str, done: str, micros: str = "us", seconds: float = RATE_SECONDS, total: str | None = None) -> DataFrame:
+    """Rate and elapsed time within a stage; the window has the last seconds, but two samples at least.
+
+    With a column `total`, also the expected time of the whole stage: null without a rate or with nothing left to do.
+    """
     by = [*key, stage]
     w, line = _back(by, micros, seconds), W.partitionBy(*by).orderBy(micros)
     t0, d0 = F.min(micros).over(w), F.min_by(done, micros).over(w)
@@ -58,7 +61,11 @@ def step_rate(df: DataFrame, key: list[str], stage: str, done: str, micros: str
     dt = (F.col(micros) - t0) / 1e6
     rate = F.when(dt > 0, (F.col(done) - d0) / F.nullif(dt, F.lit(0.0))).otherwise(0.0)
     start = F.min(micros).over(W.partitionBy(*by))
-    return df.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("elapsed", (F.col(micros) - start) / 1e6)
+    d = df.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("elapsed", (F.col(micros) - start) / 1e6)
+    if total is None:
+        return d
+    left = F.col(total) - F.col(done)
+    return d.withColumn("expected", F.when((F.col("rate") > 0) & (left > 0), F.col("elapsed") + left / F.nullif(F.col("rate"), F.lit(0.0))))
 
 
 def recent_percentiles(df: DataFrame, key: list[str], value: str, order: list[str], last: int = PERCENTILE_ROWS) -> DataFrame:

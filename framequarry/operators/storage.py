@@ -127,6 +127,18 @@ def missing(catalogue: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return catalogue.join(present.where(F.col("length") > 0).select(key), key, "left_anti")
 
 
+def looked_up(names: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
+    """`names` with what the catalogue knows of each; `known` tells whether it does."""
+    return names.join(catalogue.withColumn("known", F.lit(True)), key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def catalogue_entries(catalogue: DataFrame, category: str, name: str, categories: list[str]) -> DataFrame:
+    """`catalogue` with `place` (from 1): by category in the given order (others come last, by name), then by name, case aside."""
+    at = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(category))
+    order = [F.when(at > 0, at).otherwise(F.lit(len(categories) + 1)), F.when(at > 0, "").otherwise(F.col(category)), F.lower(name), F.col(name)]
+    return numbered(catalogue, order, "place")
+
+
 def section_label(items: DataFrame, folder: str, roots: list[str]) -> DataFrame:
     """`items` with `section`: the folder relative to the root that makes it shortest, else the folder."""
     c = F.col(folder)

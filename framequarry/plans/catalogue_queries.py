@@ -212,12 +212,12 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", p.alias("path"), K.sidecar(F.lit("/maps"), F.col("t"), "geometry").alias("geometry"))
 
 
-@query("""WITH p AS (SELECT page_id, (['abc', 'a/b', 'a\\b', '..', 'x..y', '0f3'])[page_id % 6 + 1] || page_id AS id, (['/c/', '/c/../', '/d/', '/cc/'])[page_id % 4 + 1] || page_id AS path FROM pages)
-SELECT page_id, page_id % 6 IN (0, 5) AS valid, page_id % 4 = 0 AS inside FROM p""")
+@query("""WITH p AS (SELECT page_id, (['abc', 'a/b', 'a\\b', '..', 'x..y', '0f3'])[page_id % 6 + 1] || page_id AS id, page_id % 7 AS k FROM pages)
+SELECT page_id, page_id % 6 IN (0, 5) AS valid, k = 0 AS inside FROM p""")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
     pick = lambda values: F.concat(F.get(F.array(*[F.lit(x) for x in values]), (i % len(values)).cast("int")), i.cast("string"))
-    return table(spark, d, "pages").select("page_id", K.valid_id(pick(["abc", "a/b", "a\\b", "..", "x..y", "0f3"])).alias("valid"), K.inside(pick(["/c/", "/c/../", "/d/", "/cc/"]), F.lit("/c")).alias("inside"))
+    return table(spark, d, "pages").select("page_id", K.valid_id(pick(["abc", "a/b", "a\\b", "..", "x..y", "0f3"])).alias("valid"), K.inside(F.when(i % 7 == 6, "/c//").when(i % 7 == 5, "/c").otherwise(pick(["/c/x", "/c/../", "/d/", "/cc/", "/c/./", "", ""])), F.lit("/c")).alias("inside"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 3 THEN event_id END AS frame FROM events""")

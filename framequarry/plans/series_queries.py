@@ -79,11 +79,12 @@ _WS = f"OVER (PARTITION BY user_id, event_type ORDER BY us RANGE BETWEEN {20 * S
 
 @query(f"""WITH {_E}, w AS (SELECT *, min(us) {_WS} AS t0, arg_min(event_id, us) {_WS} AS d0, lag(us) OVER q AS lt, lag(event_id) OVER q AS ld,
 min(us) OVER (PARTITION BY user_id, event_type) AS s FROM e WINDOW q AS (PARTITION BY user_id, event_type ORDER BY us)),
-v AS (SELECT *, CASE WHEN t0 = us THEN lt ELSE t0 END AS t, CASE WHEN t0 = us THEN ld ELSE d0 END AS d FROM w)
-SELECT event_id, coalesce(CASE WHEN us > t THEN round((event_id - d) / ((us - t) / 1000000.0::DOUBLE), 9) ELSE 0.0 END, 0.0) AS rate, (us - s) / 1000000.0::DOUBLE AS elapsed FROM v""")
+v AS (SELECT *, CASE WHEN t0 = us THEN lt ELSE t0 END AS t, CASE WHEN t0 = us THEN ld ELSE d0 END AS d FROM w), r AS (SELECT *, coalesce(CASE WHEN us > t THEN (event_id - d) / ((us - t) / 1000000.0::DOUBLE) ELSE 0.0 END, 0.0) AS rate, (us - s) / 1000000.0::DOUBLE AS elapsed FROM v)
+SELECT event_id, round(rate, 9) AS rate, elapsed, CASE WHEN rate > 0 AND event_id % 5 > 0 THEN round(elapsed + event_id % 5 * 100 / rate, 3) END AS expected FROM r""")
 def step_rate(spark: SparkSession, d: str) -> DataFrame:
-    r = X.step_rate(_events(spark, d), ["user_id"], "event_type", "event_id", seconds=20.0 * STEP)
-    return r.select("event_id", F.round("rate", 9).alias("rate"), "elapsed")
+    e = _events(spark, d).withColumn("total", F.col("event_id") + F.col("event_id") % 5 * 100)
+    r = X.step_rate(e, ["user_id"], "event_type", "event_id", seconds=20.0 * STEP, total="total")
+    return r.select("event_id", F.round("rate", 9).alias("rate"), "elapsed", F.round("expected", 3).alias("expected"))
 
 
 @query("""WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)

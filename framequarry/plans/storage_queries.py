@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import vectors as V
 from ..operators import jobs as J
 from ..operators import storage as C
-from ..session import table
+from ..operators.versions import Table, put_newest
+from ..session import scratch, table
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -144,3 +146,35 @@ def media_kind(spark: SparkSession, d: str) -> DataFrame:
 def models_missing(spark: SparkSession, d: str) -> DataFrame:
     have = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("length"))
     return C.missing(table(spark, d, "part"), have, "p_partkey").select("p_partkey")
+
+
+@query("""WITH m AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size > 25), k AS (SELECT p_type, min(p_brand) AS p_brand FROM m GROUP BY p_type)
+SELECT p_partkey, p_type, k.p_brand AS first_brand, k.p_type IS NOT NULL AS known FROM part LEFT JOIN k USING (p_type)""")
+def catalogue_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Parts looked up by type in a catalogue that lacks some types."""
+    p = table(spark, d, "part")
+    known = p.where("p_size > 25").groupBy("p_type").agg(F.min("p_brand").alias("first_brand"))
+    return C.looked_up(p.select("p_partkey", "p_type"), known, "p_type").select("p_partkey", "p_type", "first_brand", "known")
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE p_brand WHEN 'Brand#3' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END, CASE WHEN p_brand IN ('Brand#3', 'Brand#1') THEN '' ELSE p_brand END, lower(name), name) AS place FROM (SELECT *, p_name || p_partkey AS name FROM part)""")
+def catalogue_order(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", "p_brand", F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"))
+    return C.catalogue_entries(p, "p_brand", "name", ["Brand#3", "Brand#1"]).select("p_partkey", "place")
+
+
+@query("""WITH p AS (SELECT user_id * 20 + event_id % 20 AS path, event_id AS seq FROM events) SELECT path, max(seq) AS "at", 'thumb' || max(seq) AS caption, 3 AS version FROM p GROUP BY path""")
+def thumbnail_puts(spark: SparkSession, d: str) -> DataFrame:
+    """Thumbnails put in three batches, each a version of the store; of each path the newest stays."""
+    i = F.col("event_id")
+    e = table(spark, d, "events").select((F.col("user_id") * 20 + i % 20).alias("path"), i.alias("at"), F.concat(F.lit("thumb"), i.cast("string")).alias("caption"))
+    store = Table(spark, scratch(spark, "thumbnails"))
+    for k in range(3):
+        put_newest(store, e.where(F.col("at") % 3 == k), "path", "at")
+    return store.read().withColumn("version", F.lit(store.latest()))
+
+
+@query("SELECT event_id, round(10 + least(1.0, greatest(0.0, (value - 20) / 60)) * -8, 9) AS y FROM events")
+def interpolated(spark: SparkSession, d: str) -> DataFrame:
+    """A falling line between two values, constant beyond."""
+    return table(spark, d, "events").select("event_id", F.round(V.interpolate(F.col("value"), 20.0, 80.0, 10.0, 2.0), 9).alias("y"))
