@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import scalars as S
 from ..plans.groups import folded
@@ -206,6 +207,48 @@ def throttle(events: DataFrame, key: str, micros: str, seconds: float) -> DataFr
     return folded(events.select(key, micros), [key], [micros], lambda: None, step, f"{micros} long")
 
 
+class _Throttle(StatefulProcessor):
+    """The time of what was passed on last, kept until nothing that may still come depends on it."""
+
+    def __init__(self, time: str, least: int):
+        self.time, self.least = time, least
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        x = pd.concat(list(rows)).sort_values(self.time)
+        last, keep = self.last.get()[0] if self.last.exists() else None, []
+        for us in (x[self.time].astype("int64") // (1000 if x[self.time].dtype.str.endswith("ns]") else 1)).tolist():
+            keep.append(last is None or us >= last + self.least)
+            last = us if keep[-1] else last
+        self.last.update((last,))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(-(-(last + self.least) // 1000))
+        yield x[keep]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.last.clear()  # whatever comes now lies far enough behind
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(events: DataFrame, key: str, time: str, seconds: float, late: str = "0 seconds") -> DataFrame:
+    """`throttle` over a stream by its event time: the events (key, time) that are passed on.
+
+    Events of a micro-batch are put in order first; those more than `late` behind the newest are dropped by Spark. A key's
+    state goes by a timer once no event that may still come depends on it, so that only recent keys have any.
+    """
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    e = events.select(key, time).withWatermark(time, late)
+    schema = f"{key} {e.schema[key].dataType.simpleString()}, {time} timestamp"
+    return e.groupBy(key).transformWithStateInPandas(_Throttle(time, round(seconds * 1e6)), schema, "append", "eventTime")
+
+
 def pace(elapsed: Column, fps: Column) -> Column:
     """Seconds to wait so that a loop makes no more than `fps` rounds a second; none without a rate."""
     return F.when(fps > 0, F.greatest(F.lit(0.0), 1 / F.nullif(fps, F.lit(0.0)) - elapsed)).otherwise(0.0)
