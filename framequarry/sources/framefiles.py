@@ -2,7 +2,7 @@
 
 Format `frames`: option `path`, `ext` (png), `ranges` (partitions, 8), `frames` (how many there are; without it the folder
 is listed once), `pushdown` (false: filters on frame_index open only the files that they leave; see `frame_files`). Writing
-stages each task's files and moves them when the task is whole; what an aborted job has moved already is removed. Streaming reads deliver
+stages each task's files, and the job's commit moves them once all tasks are whole, so that a job that fails shows none. Streaming reads deliver
 each file once, or with `latest` only the newest one of each trigger.
 
 Format `latest_frame`, streaming writes only: option `path`, `ext`, `encoder`. The newest frame so far, encoded once for
@@ -17,6 +17,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import (
@@ -25,6 +26,8 @@ from pyspark.sql.datasource import (
 )
 
 SCHEMA = "frame_index bigint, length bigint, payload binary"
+#: Files that a commit moves at once.
+MOVERS = 16
 #: How payloads become the bytes of a file, by name; real encoders register here.
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {"raw": bytes}
 
@@ -151,8 +154,9 @@ class _Reader(RangedReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files that a task has moved to their place."""
+    """A task's folder and the files in it."""
 
+    folder: str
     names: list[str]
 
 
@@ -171,14 +175,18 @@ class _Writer(DataSourceArrowWriter):
                     names.append(file_name(i, self.ext))
                     with system.open_output_stream(f"{own}/{names[-1]}") as f:
                         f.write(encode(data))
-            for n in dict.fromkeys(names):
-                system.move(f"{own}/{n}", f"{root}/{n}")
-        finally:
+        except BaseException:
             system.delete_dir(own)
-        return Written(names)
+            raise
+        return Written(own, list(dict.fromkeys(names)))
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Only now tasks are known to be whole; a move is one call to the file system, and many are under way at once."""
         system, root = file_system(self.path)
+        moves = [(f"{m.folder}/{n}", f"{root}/{n}") for m in messages if m for n in m.names]
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(lambda m: system.move(*m), moves):
+                pass
         if self.overwrite:
             new = {n for m in messages if m for n in m.names}
             for n in (file_name(i, self.ext) for i in numbers(self.path, self.ext)):
@@ -187,9 +195,6 @@ class _Writer(DataSourceArrowWriter):
         self.tidy()
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = file_system(self.path)
-        for n in {n for m in messages if m for n in m.names}:
-            system.delete_file(f"{root}/{n}")
         self.tidy()
 
     def tidy(self) -> None:

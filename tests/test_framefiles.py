@@ -16,7 +16,7 @@ def pictures(spark, n, start=0):
 
 
 def names(path) -> list[str]:
-    return sorted(p.name for p in path.iterdir() if not p.name.startswith("_"))
+    return sorted(p.name for p in path.iterdir() if not p.name.startswith(("_", ".staging")))
 
 
 def rows_read(df) -> int:
