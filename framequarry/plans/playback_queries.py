@@ -199,9 +199,10 @@ FROM (SELECT *, event_id * event_id * event_id AS z FROM events)""")
 def tick_and_text(spark: SparkSession, d: str) -> DataFrame:
     """Texts of a step's progress (some without a total), of times from seconds to days, and of sizes from bytes to terabytes."""
     i = F.col("event_id")
+    z = i.cast("decimal(19,0)")  # a cube leaves the range of longs from 2,097,152 on
     return table(spark, d, "events").select(
         "event_id", F.round(S.tick_seconds(F.col("event_type") != "error", (i % 61).cast("double")), 9).alias("seconds"),
-        S.percent_text(i % 500, i % 9 * 500, i % 3, F.lit(3), F.col("event_type")).alias("progress"), S.clock_text(i * 37).alias("clock"), S.size_text(i * i * i).alias("size"))
+        S.percent_text(i % 500, i % 9 * 500, i % 3, F.lit(3), F.col("event_type")).alias("progress"), S.clock_text(i * 37).alias("clock"), S.size_text(z * z * z).alias("size"))
 
 
 @query("""SELECT p_partkey, round((p_size * 3) / 25.0::DOUBLE, 9) AS from_s, round((p_size * 3 + 10) / 25.0::DOUBLE, 9) AS to_s, (p_size * 3 - p_partkey % 90) > greatest(round_even(2 * 30.0::DOUBLE, 0), 10) AS fails FROM part""")
