@@ -1,9 +1,13 @@
 """Folders of frame files %08d.ext as a source and sink of Spark, in batches and streams, and a sink for the newest frame.
 
-Format `frames`: option `path`, `ext` (png), `ranges` (partitions, 8), `frames` (how many there are; without it the folder
-is listed once), `pushdown` (false: filters on frame_index open only the files that they leave; see `frame_files`). Writing
-stages each task's files, and the job's commit moves them once all tasks are whole, so that a job that fails shows none. Streaming reads deliver
-each file once, or with `latest` only the newest one of each trigger.
+Format `frames`: option `path`, `ext` (png), `ranges` (partitions; 8, more for many frames), `frames` (how many there are;
+without it the folder is listed once), `pushdown` (false: filters on frame_index open only the files that they leave; see
+`frame_files`). Writing stages each task's files, and the job's commit moves them once all tasks are whole, so that a job
+that fails shows none; with `staging` (a name) it only tells the folders that are whole, and `moved` moves each one's files.
+Streaming reads deliver each file once, or with `latest` only the newest one of each trigger.
+
+Format `listed_files`, reading only: option `path`, `recursive` (false), `ends` (what names end in, joined by bars), `info`
+(false: sizes and times aren't asked for), `ranges` (8). Tasks list files for themselves and each keeps its share of them.
 
 Format `latest_frame`, streaming writes only: option `path`, `ext`, `encoder`. The newest frame so far, encoded once for
 each version.
@@ -14,20 +18,29 @@ Paths are those of Arrow's file systems: local ones, hdfs, s3, gs, abfs.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, EqualNullSafe, EqualTo, GreaterThan,
     GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
 SCHEMA = "frame_index bigint, length bigint, payload binary"
-#: Files that a commit moves at once.
-MOVERS = 16
+LISTED = "path string, length bigint, mtime_ms bigint"
+#: Files that a commit moves at once, and that a staged folder holds.
+MOVERS, STAGED = 16, 10_000
+#: Frames of a partition, where no number of partitions is asked for and 8 would have more.
+RANGE_FRAMES = 20_000
+#: Rows and bytes of payload of a batch that a reader gives (one row at least).
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 23
 #: How payloads become the bytes of a file, by name; real encoders register here.
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {"raw": bytes}
 
@@ -43,54 +56,77 @@ def file_name(i: int, ext: str) -> str:
     return f"{i:08d}.{ext}"
 
 
-def numbers(path: str, ext: str) -> list[int]:
-    """Numbers of the frame files of a folder, in order; empty files are no frames, a folder that isn't there has none."""
+def entries(path: str) -> Iterator[tuple[str, Callable[[], int], Callable[[], int]]]:
+    """(name, its size, its time in ms) of the files of a folder, in no order; a folder that isn't there has none.
+
+    On a local file system the folder is read as it goes, and sizes and times only where they are asked for.
+    """
     from pyarrow import fs
 
     system, root = file_system(path)
-    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
-    return sorted(int(m[1]) for f in found if f.size and (m := re.fullmatch(rf"(\d+)\.{re.escape(ext)}", f.base_name)))
+    if isinstance(system, fs.LocalFileSystem):
+        if os.path.isdir(root):
+            with os.scandir(root) as found:
+                for e in found:
+                    if e.is_file():
+                        yield e.name, lambda e=e: e.stat().st_size, lambda e=e: e.stat().st_mtime_ns // 1_000_000
+        return
+    for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if f.is_file:
+            yield f.base_name, lambda f=f: f.size, lambda f=f: f.mtime_ns // 1_000_000
+
+
+def numbers(path: str, ext: str, empty: bool = False) -> np.ndarray:
+    """Numbers of the frame files of a folder, in order; empty files are no frames (unless asked for, which no size costs)."""
+    end = f".{ext}"
+    found = ((n[: -len(end)], size) for n, size, _ in entries(path) if n.endswith(end))
+    return np.unique(np.fromiter((int(n) for n, size in found if n.isascii() and n.isdigit() and (empty or size())), np.int64))
 
 
-def together(some: list[int]) -> list[tuple[int, int]]:
-    """Sorted numbers as ranges (first, behind the last)."""
-    out: list[list[int]] = []
-    for i in some:
-        if out and out[-1][1] == i:
-            out[-1][1] = i + 1
-        else:
-            out.append([i, i + 1])
-    return [(a, b) for a, b in out]
+#: First numbers of ranges and the numbers behind their last, in order.
+Bounds = tuple[np.ndarray, np.ndarray]
+
+
+def together(some: np.ndarray) -> Bounds:
+    """Sorted numbers as ranges."""
+    cut = np.flatnonzero(np.diff(some) != 1)
+    return some[np.r_[0, cut + 1]] if len(some) else some, some[np.r_[cut, len(some) - 1]] + 1 if len(some) else some
 
 
 class Ranges(InputPartition):
     """Ranges of frames that one task reads."""
 
-    def __init__(self, ranges: list[tuple[int, int]]):
-        super().__init__(ranges)
-        self.ranges = ranges
+    def __init__(self, first: np.ndarray, end: np.ndarray):
+        super().__init__(None)
+        self.first, self.end = first, end
 
+    def frames(self) -> Iterator[int]:
+        for a, b in zip(self.first, self.end):
+            yield from range(int(a), int(b))
 
-def dealt(ranges: list[tuple[int, int]], parts: int) -> list[Ranges]:
+
+def dealt(bounds: Bounds, parts: int | None) -> list[Ranges]:
     """Ranges in as many partitions of about equal size, in order."""
-    total = sum(b - a for a, b in ranges)
-    step, out, room = -(-total // max(parts, 1)) or 1, [], 0
-    for a, b in ranges:
-        while a < b:
-            if not room:
-                out.append([])
-                room = step
-            n = min(room, b - a)
-            out[-1].append((a, a + n))
-            a, room = a + n, room - n
-    return [Ranges(x) for x in out]
+    first, end = bounds
+    upto = np.r_[0, np.cumsum(end - first)]
+    total = int(upto[-1])
+    parts = max(8, -(-total // RANGE_FRAMES)) if parts is None else max(parts, 1)
+    step, out = -(-total // parts) or 1, []
+    for low in range(0, total, step):
+        high = min(low + step, total)
+        i, j = int(np.searchsorted(upto, low, "right")) - 1, int(np.searchsorted(upto, high, "left"))
+        a, b = first[i:j].copy(), end[i:j].copy()
+        a[0] += low - upto[i]
+        b[-1] -= upto[j] - high
+        out.append(Ranges(a, b))
+    return out
 
 
 class RangedReader(DataSourceReader):
     """A reader of numbered frames that reads no others than filters on frame_index leave."""
 
-    def __init__(self, options, parts: str):
-        self.parts, self.low, self.high, self.points = int(options.get("ranges", parts)), 0, None, None
+    def __init__(self, options, parts: int | None):
+        self.parts, self.low, self.high, self.points = int(options["ranges"]) if "ranges" in options else parts, 0, None, None
         self.pushes = options.get("pushdown", "false").lower() == "true"
 
     def pushFilters(self, filters):  # noqa: N802
@@ -113,117 +149,177 @@ class RangedReader(DataSourceReader):
     def only(self, some: set) -> None:
         self.points = some if self.points is None else self.points & some
 
-    def there(self) -> list[tuple[int, int]]:
-        """Ranges of the frames that exist."""
+    def there(self) -> Bounds:
+        """Ranges that hold the frames that exist, among those asked for."""
         raise NotImplementedError
 
     def partitions(self) -> list[Ranges]:
-        cut = []
-        for a, b in self.there():
-            a, b = max(a, self.low), b if self.high is None else min(b, self.high)
-            if a < b:
-                cut += [(a, b)] if self.points is None else together(sorted(i for i in self.points if a <= i < b))
-        return dealt(cut, self.parts)
+        first, end = self.there()
+        first, end = np.maximum(first, self.low), end if self.high is None else np.minimum(end, self.high)
+        first, end = first[first < end], end[first < end]
+        if self.points is not None:
+            some = np.array(sorted(self.points), np.int64)
+            at = np.searchsorted(first, some, "right") - 1
+            first, end = together(some[(at >= 0) & (some < np.r_[end, 0][at])])
+        return dealt((first, end), self.parts)
+
 
+def contents(path: str, ext: str, ranges: Ranges) -> Iterator:
+    """Batches of the files of these numbers that exist and aren't empty."""
+    import pyarrow as pa
 
-def contents(path: str, ext: str, ranges: list[tuple[int, int]]) -> Iterator[tuple]:
-    """Rows of the files of these numbers that exist and aren't empty."""
     system, root = file_system(path)
-    for a, b in ranges:
-        for i in range(a, b):
-            try:
-                with system.open_input_file(f"{root}/{file_name(i, ext)}") as f:
-                    data = f.read()
-            except FileNotFoundError:
-                continue
-            if data:
-                yield i, len(data), data
+    index, payload, size = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(index, pa.int64()), pa.array([len(x) for x in payload], pa.int64()), pa.array(payload, pa.binary())], names=["frame_index", "length", "payload"])
+
+    for i in ranges.frames():
+        try:
+            with system.open_input_file(f"{root}/{file_name(i, ext)}") as f:
+                data = f.read()
+        except FileNotFoundError:
+            continue
+        if data:
+            if index and (len(index) >= BATCH_ROWS or size + len(data) > BATCH_BYTES):
+                yield batch()
+                index, payload, size = [], [], 0
+            index.append(i), payload.append(data)
+            size += len(data)
+    if index:
+        yield batch()
 
 
 class _Reader(RangedReader):
     def __init__(self, options):
-        super().__init__(options, "8")
+        super().__init__(options, None)
         self.path, self.ext, self.frames = options["path"], options.get("ext", "png"), options.get("frames")
 
-    def there(self) -> list[tuple[int, int]]:
-        return [(0, int(self.frames))] if self.frames else together(numbers(self.path, self.ext))
+    def there(self) -> Bounds:
+        if self.frames:
+            return np.array([0]), np.array([int(self.frames)])
+        # a list of frames is read by name, whatever else the folder holds
+        return together(numbers(self.path, self.ext, empty=True) if self.points is None else np.array(sorted(self.points), np.int64))
 
-    def read(self, partition: Ranges | None) -> Iterator[tuple]:
-        return contents(self.path, self.ext, partition.ranges if partition else [])
+    def read(self, partition: Ranges | None) -> Iterator:
+        return contents(self.path, self.ext, partition) if partition else iter(())
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's folder and the files in it."""
+    """A task's folder, whose files lie in folders of their own."""
 
     folder: str
-    names: list[str]
+
+
+def moved(path: str, own: str, movers: int = 1) -> np.ndarray:
+    """Moves what a task has staged in its folder `own` to the folder itself, and tells the names' numbers.
+
+    Files that were staged later replace those staged before. A move is one call to the file system; those that were
+    done, by an attempt before this one or one beside it, aren't done again.
+    """
+    from pyarrow import fs
+
+    system, root = file_system(path)
+    _, own = file_system(own)
+    found = []
+
+    def move(source: str, target: str) -> None:
+        try:
+            system.move(source, target)
+        except FileNotFoundError:
+            if system.get_file_info(target).type == fs.FileType.NotFound:
+                raise
+
+    with ThreadPoolExecutor(movers) as pool:
+        for part in sorted(f.path for f in system.get_file_info(fs.FileSelector(own))):
+            names = [n for n, _, _ in entries(part)]
+            for _ in (map if movers == 1 else pool.map)(lambda n: move(f"{part}/{n}", f"{root}/{n}"), names):
+                pass
+            found.append(np.array([int(n.split(".")[0]) for n in names], np.int64))
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def whole(path: str, staging: str) -> list[str]:
+    """The folders that a job has told to be whole."""
+    system, root = file_system(path)
+    with system.open_input_file(f"{root}/{staging}/whole.json") as f:
+        return json.loads(f.read())
+
+
+def tidy(path: str, staging: str) -> None:
+    from pyarrow import fs
+
+    system, root = file_system(path)
+    if system.get_file_info(f"{root}/{staging}").type != fs.FileType.NotFound:
+        system.delete_dir(f"{root}/{staging}")
 
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.ext, self.overwrite, self.encoder = options["path"], options.get("ext", "png"), overwrite, options.get("encoder", "raw")
-        self.staging = f".staging-{uuid.uuid4().hex}"
+        self.told = "staging" in options
+        self.staging = options["staging"] if self.told else f".staging-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Written:
         system, root = file_system(self.path)
-        own, names, encode = f"{root}/{self.staging}/{uuid.uuid4().hex}", [], ENCODERS[self.encoder]
+        own, encode = f"{root}/{self.staging}/{uuid.uuid4().hex}", ENCODERS[self.encoder]
         system.create_dir(own, recursive=True)
         try:
-            for b in iterator:
-                for i, data in zip(b.column("frame_index").to_pylist(), b.column("payload").to_pylist()):
-                    names.append(file_name(i, self.ext))
-                    with system.open_output_stream(f"{own}/{names[-1]}") as f:
+            rows = ((i, data) for b in iterator for i, data in zip(b.column("frame_index").to_pylist(), b.column("payload").to_pylist()))
+            for k in range(1_000_000):
+                some = list(islice(rows, 1))
+                if not some:
+                    break
+                part = f"{own}/{k:06d}"
+                system.create_dir(part)
+                for i, data in (*some, *islice(rows, STAGED - 1)):
+                    with system.open_output_stream(f"{part}/{file_name(i, self.ext)}") as f:
                         f.write(encode(data))
         except BaseException:
             system.delete_dir(own)
             raise
-        return Written(own, list(dict.fromkeys(names)))
+        return Written(own)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Only now tasks are known to be whole; a move is one call to the file system, and many are under way at once."""
+        """Only now tasks are known to be whole."""
+        folders = [m.folder for m in messages if m]
         system, root = file_system(self.path)
-        moves = [(f"{m.folder}/{n}", f"{root}/{n}") for m in messages if m for n in m.names]
-        with ThreadPoolExecutor(MOVERS) as pool:
-            for _ in pool.map(lambda m: system.move(*m), moves):
-                pass
+        if self.told:
+            system.create_dir(f"{root}/{self.staging}", recursive=True)
+            with system.open_output_stream(f"{root}/{self.staging}/whole.json") as f:
+                f.write(json.dumps(folders).encode())
+            return
+        new = [moved(self.path, own, MOVERS) for own in folders]
         if self.overwrite:
-            new = {n for m in messages if m for n in m.names}
-            for n in (file_name(i, self.ext) for i in numbers(self.path, self.ext)):
-                if n not in new:
-                    system.delete_file(f"{root}/{n}")
-        self.tidy()
+            for n in np.setdiff1d(numbers(self.path, self.ext), np.concatenate([np.empty(0, np.int64), *new])).tolist():
+                system.delete_file(f"{root}/{file_name(n, self.ext)}")
+        tidy(self.path, self.staging)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self.tidy()
-
-    def tidy(self) -> None:
-        from pyarrow import fs
-
-        system, root = file_system(self.path)
-        if system.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/{self.staging}")
+        tidy(self.path, self.staging)
 
 
 class _StreamReader(DataSourceStreamReader):
     """Offsets are the number behind the newest file; files are expected in the order of their numbers."""
 
     def __init__(self, options):
-        self.path, self.ext, self.parts = options["path"], options.get("ext", "png"), int(options.get("ranges", "8"))
+        self.path, self.ext, self.parts = options["path"], options.get("ext", "png"), int(options["ranges"]) if "ranges" in options else None
         self.newest = options.get("latest", "false").lower() == "true"
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"next": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"next": max(numbers(self.path, self.ext), default=-1) + 1}
+        return {"next": int(max(numbers(self.path, self.ext), default=-1)) + 1}
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
         a, b = start["next"], end["next"]
-        return dealt([(max(a, b - 1) if self.newest else a, b)], 1 if self.newest else self.parts) if a < b else []
+        return dealt((np.array([max(a, b - 1) if self.newest else a]), np.array([b])), 1 if self.newest else self.parts) if a < b else []
 
-    def read(self, partition: Ranges) -> Iterator[tuple]:
-        return contents(self.path, self.ext, partition.ranges)
+    def read(self, partition: Ranges) -> Iterator:
+        return contents(self.path, self.ext, partition)
 
 
 class FrameFiles(DataSource):
@@ -246,6 +342,90 @@ class FrameFiles(DataSource):
         return _StreamReader(self.options)
 
 
+class Share(InputPartition):
+    """The files whose paths' hash leaves `value` of all tasks' number."""
+
+
+class _ListedReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.parts = options["path"], int(options.get("ranges", "8"))
+        self.recursive, self.info = (options.get(x, "false").lower() == "true" for x in ("recursive", "info"))
+        self.ends = tuple(options["ends"].split("|")) if "ends" in options else ("",)
+
+    def partitions(self) -> list[Share]:
+        from pyarrow import fs
+
+        system, root = file_system(self.path)
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"no folder {self.path}")
+        return [Share(k) for k in range(self.parts)]
+
+    def folders(self) -> Iterator[str]:
+        """The folder, and all below it that aren't hidden; those that can't be read are passed over."""
+        from pyarrow import fs
+
+        system, root = file_system(self.path)
+        todo = [root]
+        while todo:
+            yield (one := todo.pop())
+            if not self.recursive:
+                return
+            try:
+                if isinstance(system, fs.LocalFileSystem):
+                    with os.scandir(one) as found:
+                        below = [e.path for e in found if e.is_dir()]
+                else:
+                    below = [f.path for f in system.get_file_info(fs.FileSelector(one)) if f.type == fs.FileType.Directory]
+            except OSError:
+                if one == root:
+                    raise
+                continue
+            todo += [p for p in below if not hidden(p.rsplit("/", 1)[1])]
+
+    def read(self, partition: Share) -> Iterator:
+        import pyarrow as pa
+
+        system, root = file_system(self.path)
+        shown = f"file:{root}" if system.type_name == "local" else self.path.rstrip("/")
+
+        def rows() -> Iterator[tuple]:
+            for one in self.folders():
+                try:
+                    for name, size, time in entries(one):
+                        at = f"{one}/{name}"
+                        if hidden(name) or not name.endswith(self.ends) or zlib.crc32(at.encode("utf-8", "surrogateescape")) % self.parts != partition.value:
+                            continue
+                        try:
+                            yield (shown + at[len(root) :], size(), time()) if self.info else (shown + at[len(root) :], None, None)
+                        except OSError:  # it went, or can't be read
+                            continue
+                except OSError:
+                    continue
+
+        todo = rows()
+        while some := list(islice(todo, STAGED)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.int64(), pa.int64()))], names=["path", "length", "mtime_ms"])
+
+
+def hidden(name: str) -> bool:
+    """Whether Spark's own readers pass over a file or folder of this name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+class ListedFiles(DataSource):
+    """Format `listed_files`: the files of a folder; contents are never read."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "listed_files"
+
+    def schema(self) -> str:
+        return LISTED
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ListedReader(self.options)
+
+
 @dataclass
 class Newest(WriterCommitMessage):
     """A task's newest frame."""

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions import scalars as S
 from ..operators.versions import Table
-from .framefiles import FrameFiles, LatestFrame, RangedReader, Ranges
+from .framefiles import Bounds, FrameFiles, LatestFrame, ListedFiles, RangedReader, Ranges, moved, tidy, whole
 
 FRAMES = "target_id string, frame_index bigint, height int, width int, payload binary"
 
@@ -37,22 +39,21 @@ def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame
 def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """path, length, mtime, ext, kind of media files under a folder; unreadable entries are passed over.
 
-    Names are filtered before any file is opened; contents are never read.
+    Names are filtered before any file is asked for its size; contents are never read. Tasks list the folder, so that its
+    files' names don't go through the driver.
     """
+    register(spark)
     exts = S.normal_extensions(extensions or ()) or S.VIDEO + S.IMAGE
-    spelled = "{" + ",".join(sorted({v for e in exts for v in (e, e.upper())})) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option(
-        "ignoreCorruptFiles", "true").option("pathGlobFilter", f"*.{spelled}").load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("mtime"), S.extension(F.col("path")).alias("ext"), S.media_kind(F.col("path")).alias("kind"))
+    ends = "|".join(sorted({f".{v}" for e in exts for v in (e, e.upper())}))
+    files = spark.read.format("listed_files").options(path=path, recursive="true", info="true", ends=ends).load().where("length > 0")
+    return files.select("path", "length", F.timestamp_millis("mtime_ms").alias("mtime"), S.extension(F.col("path")).alias("ext"), S.media_kind(F.col("path")).alias("kind"))
 
 
 def cached(spark: SparkSession, path: str) -> DataFrame:
     """frame_index of all files of a store named by number, whatever their size (Spark's readers leave out empty ones)."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in p.getFileSystem(hadoop).listStatus(p)]
-    numbers = [(int(n.split(".")[0]),) for n in names if n.split(".")[0].isdigit()]
-    return spark.createDataFrame(numbers, "frame_index long")
+    register(spark)
+    number = F.regexp_extract("path", r"/(\d+)(\.[^/]*)?$", 1)
+    return spark.read.format("listed_files").options(path=path).load().where(number != "").select(number.cast("long").alias("frame_index"))
 
 
 #: Readers by the name users choose them by; decoders of real files register here.
@@ -114,24 +115,23 @@ class SyntheticVideo(DataSource):
 
 class _SyntheticReader(RangedReader):
     def __init__(self, options):
-        super().__init__(options, "4")
+        super().__init__(options, 4)
         self.n = int(options.get("frames", "0"))
         self.size, self.target = (int(options.get("height", "2")), int(options.get("width", "2"))), options.get("target", "synthetic")
 
-    def there(self) -> list[tuple[int, int]]:
-        return [(0, self.n)]
+    def there(self) -> Bounds:
+        return np.array([0]), np.array([self.n])
 
     def read(self, partition: Ranges | None) -> Iterator[tuple]:
         h, w = self.size
-        for a, b in partition.ranges if partition else []:
-            for i in range(a, b):
-                yield self.target, i, h, w, bytes([i % 256]) * (h * w * 3)
+        for i in partition.frames() if partition else []:
+            yield self.target, i, h, w, bytes([i % 256]) * (h * w * 3)
 
 
 def register(spark: SparkSession) -> None:
     """Makes the library's formats known to a session, and has Spark push filters into them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (SyntheticVideo, FrameFiles, LatestFrame):
+    for source in (SyntheticVideo, FrameFiles, LatestFrame, ListedFiles):
         spark.dataSource.register(source)
 
 
@@ -165,16 +165,31 @@ def load(spark: SparkSession, path: str, key: str) -> DataFrame:
     return store(spark, path).read().where(F.col("config_key") == key).drop("config_key")
 
 
-def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "raw", mode: str = "append", frame: str = "frame_index", payload: str = "payload") -> None:
-    """Frames as files %08d.ext in a folder that all machines share; a job that fails leaves none of its own."""
-    register(frames.sparkSession)
+def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "raw", mode: str = "append", frame: str = "frame_index", payload: str = "payload", spread: bool = True) -> None:
+    """Frames as files %08d.ext in a folder that all machines share; a job that fails leaves none of its own.
+
+    Frames are dealt out to all tasks by number (unless `spread` is false); once all are staged, tasks move them.
+    """
+    spark = frames.sparkSession
+    register(spark)
     rows = frames.select(F.col(frame).cast("long").alias("frame_index"), F.length(payload).cast("long").alias("length"), F.col(payload).alias("payload"))
-    rows.write.format("frames").options(path=path, ext=ext, encoder=encoder).mode(mode).save()
+    if mode != "append":
+        rows.write.format("frames").options(path=path, ext=ext, encoder=encoder).mode(mode).save()
+        return
+    if spread:
+        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "frame_index")
+    staging = f".staging-{uuid.uuid4().hex}"
+    try:
+        rows.write.format("frames").options(path=path, ext=ext, encoder=encoder, staging=staging).mode(mode).save()
+        if own := whole(path, staging):
+            spark.sparkContext.parallelize(own, len(own)).foreach(lambda folder: moved(path, folder))
+    finally:
+        tidy(path, staging)
 
 
 def copy_files(spark: SparkSession, source: str, target: str, ext: str = "png") -> None:
     """The frame files of a folder in another one too, by many tasks."""
-    write_files(frame_files(spark, source, ext), target, ext)
+    write_files(frame_files(spark, source, ext), target, ext, spread=False)
 
 
 def package(frames: DataFrame, output: str, video: bool, encode=None, ext: str = "png", payload: str = "payload") -> tuple[str, str | None]:

@@ -137,3 +137,47 @@ def test_latest_frame_sink(spark, tmp_path, monkeypatch):
     q = s.writeStream.format("latest_frame").options(path=str(tmp_path / "p"), ext="bin").option("checkpointLocation", str(tmp_path / "state")).trigger(once=True).start()
     assert q.awaitTermination(120) and json.loads((tmp_path / "p" / "latest.json").read_text())["frame_index"] == 3
     assert (tmp_path / "p" / "frame-1.bin").read_bytes() == b"frame3"
+
+
+def test_moves_of_tasks(spark, tmp_path):
+    """A job that is told a name for staging only tells its folders; tasks move them, and what an attempt before did stays done."""
+    frames.register(spark)
+    path = str(tmp_path / "f")
+    pictures(spark, 30).select("frame_index", F.length("payload").cast("long").alias("length"), "payload").write.format("frames").options(path=path, staging=".staging-x").mode("append").save()
+    own = framefiles.whole(path, ".staging-x")
+    assert len(own) == 3 and names(tmp_path / "f") == []
+    first = next((tmp_path / "f" / ".staging-x").glob("*/*/*.png"))
+    first.rename(tmp_path / "f" / first.name)
+    assert sorted(i for folder in own for i in framefiles.moved(path, folder)) == sorted(set(range(30)) - {int(first.stem)})
+    assert names(tmp_path / "f") == [f"{i:08d}.png" for i in range(30)]
+    framefiles.tidy(path, ".staging-x")
+    frames.write_files(pictures(spark, 40), path)
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == [f"{i:08d}.png" for i in range(40)]
+
+
+def test_listed_by_tasks(spark, tmp_path):
+    """Each file is listed by one task of several; hidden and empty ones are passed over as Spark's own reader does."""
+    for n in ("1.png", "sub/2.PNG", "sub/_3.png", ".4.png", "_no/5.png", "6.txt", "sub/a b.jpg", "7.png"):
+        (tmp_path / "f" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / n).write_bytes(b"" if n == "7.png" else b"xy")
+    path = str(tmp_path / "f")
+    got = frames.scan(spark, path, ("png", "jpg"))
+    assert got.rdd.getNumPartitions() > 1 and frames.cached(spark, path).rdd.getNumPartitions() > 1
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,PNG,jpg}").load(path)
+    rows = lambda d, time: sorted(map(tuple, d.select("path", "length", time).collect()))
+    assert rows(got, "mtime") == rows(own, "modificationTime") and got.count() == 3
+    assert sorted(r.frame_index for r in frames.cached(spark, path).collect()) == [1, 6, 7]
+
+
+def test_many_single_frames(tmp_path):
+    """Frames with gaps between them are told to tasks in 16 bytes each, and to more tasks as they become more."""
+    import pickle
+
+    import numpy as np
+
+    parts = framefiles.dealt(framefiles.together(np.arange(0, 1_400_000, 7)), None)
+    assert len(parts) == 10 and sum(len(pickle.dumps(p)) for p in parts) < 3_300_000
+    assert [i for p in parts for i in p.frames()] == list(range(0, 1_400_000, 7))
+    few = framefiles.dealt((np.array([3, 10]), np.array([6, 14])), 3)
+    assert [list(p.frames()) for p in few] == [[3, 4, 5], [10, 11, 12], [13]]
+    assert framefiles.dealt(framefiles.together(np.empty(0, np.int64)), None) == []
