@@ -12,26 +12,60 @@ from pyspark.sql import functions as F
 RATE_SECONDS, STALL_SECONDS, PERCENTILE_ROWS = 3.0, 30.0, 200
 
 
-def _back(key: list[str], micros: str, seconds: float) -> W:
-    return W.partitionBy(*key).orderBy(micros).rangeBetween(-round(seconds * 1e6), 0)
+def recent(df: DataFrame, key: list[str], micros: str, seconds: float, at: Column | None = None, value: str | None = None) -> DataFrame:
+    """`df` with _n, _first and _last: number, least and largest of the times `at` (null: none; by default all of
+    `micros`) in the last seconds up to a row's time; with a column `value` also _value, the least one at _first.
+
+    A window that slides over rows costs, for each row, all rows in it. Here times are counted once for each series, and
+    lie with those of the step before in steps as long as the window, so that a row's window ends within its step and
+    the one before; both ends are found by running sums over a step's times, which Spark's windows add up in one pass.
+    Rows without a time get what a window over nulls gives: what the other such rows of their series hold.
+    """
+    span, us = round(seconds * 1e6), F.col(micros)
+    step = lambda t: F.floor(t / F.lit(max(span, 1))).cast("long")
+    times = df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], us.alias("_us")).agg(F.count("*" if at is None else at).alias("_c"), (F.min(value) if value else F.lit(None)).alias("_v"))
+    by = [f"_k{i}" for i in range(len(key))]
+    known = times.where("_us is not null")
+    cell = step(F.col("_us"))
+    # a time's place as the end of its own window, as an event in this step and the next, and as the start of its window
+    rows = known.select(*by, F.col("_us"), "_c", "_v", F.explode(F.array(
+        F.struct(cell.alias("step"), F.col("_us").alias("at"), F.lit(1).alias("kind")),
+        F.struct((cell + 1).alias("step"), F.col("_us").alias("at"), F.lit(2).alias("kind")),
+        F.struct(cell.alias("step"), (F.col("_us") - span).alias("at"), F.lit(0).alias("kind")))).alias("_p"))
+    rows = rows.select(*by, "_us", F.col("_p.step").alias("_step"), F.col("_p.at").alias("_at"), F.col("_p.kind").alias("_kind"), F.when(F.col("_p.kind") > 0, F.col("_c")).otherwise(0).alias("_c"), "_v")
+    event = F.when(F.col("_c") > 0, F.col("_at"))
+    up = W.partitionBy(*by, "_step").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*by, "_step").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.sum("_c").over(up)).withColumn("_newest", F.max(event).over(up)).withColumn("_next", F.min(F.when(event.isNotNull(), F.struct("_at", "_v"))).over(down))
+    end, start = F.col("_kind") == 1, F.col("_kind") == 0
+    ends = rows.where("_kind < 2").groupBy(*by, "_us").agg(
+        F.max(F.when(end, F.col("_upto"))).alias("_upto"), F.max(F.when(start, F.col("_upto"))).alias("_before"),
+        F.max(F.when(end, F.col("_newest"))).alias("_newest"), F.max(F.when(start, F.col("_next"))).alias("_next"))
+    n = F.col("_upto") - F.col("_before")
+    ends = ends.select(*by, "_us", n.alias("_n"), F.when(n > 0, F.col("_next._at")).alias("_first"), F.when(n > 0, F.col("_newest")).alias("_last"), F.when(n > 0, F.col("_next._v")).alias("_value"))
+    none = times.where("_us is null").select(*by, "_us", F.col("_c").alias("_n"), F.lit(None).cast("long").alias("_first"), F.lit(None).cast("long").alias("_last"), F.col("_v").alias("_value"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)] + [us.eqNullSafe(F.col("_us"))]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return df.join(ends.unionByName(none), on, "left").drop(*by, "_us", *([] if value else ["_value"]))
 
 
 def window_rate(df: DataFrame, key: list[str], micros: str = "us", seconds: float = RATE_SECONDS) -> DataFrame:
     """`df` with `rate`: (n - 1) by the time between the first and last of the last seconds; 0 with under two or no time."""
-    w = _back(key, micros, seconds)
-    n, first = F.count("*").over(w), F.min(micros).over(w)
-    span = (F.col(micros) - first) / 1e6
-    return df.withColumn("rate", F.when((n < 2) | (span == 0), 0.0).otherwise((n - 1) / F.nullif(span, F.lit(0.0))))
+    d = recent(df, key, micros, seconds)
+    span = (F.col(micros) - F.col("_first")) / 1e6
+    rate = F.when((F.col("_n") < 2) | (span == 0), 0.0).otherwise((F.col("_n") - 1) / F.nullif(span, F.lit(0.0)))
+    return d.withColumn("rate", rate).drop("_n", "_first", "_last")
 
 
 def rate_with_decay(df: DataFrame, key: list[str], micros: str = "us", event: str = "is_event", cap: float = 120.0, seconds: float = RATE_SECONDS, stall: float = STALL_SECONDS) -> DataFrame:
     """For ticks among events: the window rate, 0 if its events have no time between them; once it has under two events,
     1 by the time since the last, held down by the last window rate (the cap if that is 0 or there is none), until the
     stall limit, then 0. Adds `rate`."""
-    w = _back(key, micros, seconds)
-    at = F.when(F.col(event), F.col(micros))
-    n, first, last = F.count(at).over(w), F.min(at).over(w), F.max(at).over(w)
-    d = df.withColumn("_live", F.when((n >= 2) & (last == first), 0.0).when(n >= 2, (n - 1) / F.nullif((last - first) / 1e6, F.lit(0.0))))
+    n, first, last = F.col("_n"), F.col("_first"), F.col("_last")
+    d = recent(df, key, micros, seconds, F.when(F.col(event), F.col(micros)))
+    d = d.withColumn("_live", F.when((n >= 2) & (last == first), 0.0).when(n >= 2, (n - 1) / F.nullif((last - first) / 1e6, F.lit(0.0)))).drop("_n", "_first", "_last")
     past = W.partitionBy(*key).orderBy(micros).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("_known", F.last("_live", True).over(past)).withColumn("_last", F.max(F.when(F.col(event), F.col(micros))).over(past))
     idle = (F.col(micros) - F.col("_last")) / 1e6
@@ -54,14 +88,14 @@ def step_rate(df: DataFrame, key: list[str], stage: str, done: str, micros: str
     With a column `total`, also the expected time of the whole stage: null without a rate or with nothing left to do.
     """
     by = [*key, stage]
-    w, line = _back(by, micros, seconds), W.partitionBy(*by).orderBy(micros)
-    t0, d0 = F.min(micros).over(w), F.min_by(done, micros).over(w)
-    t0 = F.when(t0 == F.col(micros), F.lag(micros).over(line)).otherwise(t0)
-    d0 = F.when(F.min(micros).over(w) == F.col(micros), F.lag(done).over(line)).otherwise(d0)
+    df, line = recent(df, by, micros, seconds, value=done), W.partitionBy(*by).orderBy(micros)
+    alone = F.col("_first") == F.col(micros)
+    t0 = F.when(alone, F.lag(micros).over(line)).otherwise(F.col("_first"))
+    d0 = F.when(alone, F.lag(done).over(line)).otherwise(F.col("_value"))
     dt = (F.col(micros) - t0) / 1e6
     rate = F.when(dt > 0, (F.col(done) - d0) / F.nullif(dt, F.lit(0.0))).otherwise(0.0)
     start = F.min(micros).over(W.partitionBy(*by))
-    d = df.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("elapsed", (F.col(micros) - start) / 1e6)
+    d = df.withColumn("rate", F.coalesce(rate, F.lit(0.0))).withColumn("elapsed", (F.col(micros) - start) / 1e6).drop("_n", "_first", "_last", "_value")
     if total is None:
         return d
     left = F.col(total) - F.col(done)
