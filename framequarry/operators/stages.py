@@ -106,7 +106,8 @@ def run_stage(frames: DataFrame, out: str, process: Callable[[DataFrame], DataFr
     before = table.latest()
 
     def left() -> DataFrame:
-        return frames.join(stage_rows(spark, out).select(idx).distinct(), idx, "left_anti") if table.exists() else frames
+        # what is done is nearly everything: by size on disk it may look small enough for the driver to send it to all tasks
+        return frames.join(stage_rows(spark, out).select(idx).distinct().hint("merge"), idx, "left_anti") if table.exists() else frames
 
     for attempt in range(1 + retries):
         todo = left()

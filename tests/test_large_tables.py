@@ -42,3 +42,13 @@ def test_windows_cost_no_more_than_their_rows(spark):
         assert got == want
     for d in (series.window_rate(df, ["k"]), series.rate_with_decay(df, ["k"])):
         assert "RangeFrame, -" not in d._jdf.queryExecution().optimizedPlan().toString() and d.count() == 400
+
+
+def test_done_frames_stay_off_the_driver(spark, tmp_path):
+    """What a stage has done is joined by a shuffle: it is never collected to be sent to all tasks."""
+    from framequarry.operators import stages
+
+    stage = stages.run_stage(spark.range(1_000).selectExpr("id AS idx"), str(tmp_path / "s"), lambda x: x.where("idx % 100 > 0"))
+    assert stage.status == "FAILED" and stage.missing.count() == 10
+    plan = stage.missing._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
