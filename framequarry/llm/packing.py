@@ -9,7 +9,6 @@ piece, until all of it fits one group or hardly any two fit together.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,16 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .arrowtext import small_batches, text_bytes
-from .quality_net import runs
+from .arrowtext import is_space, small_batches, text_bytes
+from .units import Known, Tokens, cut, ids_of
 
 LENGTH, END_ID, GROUP = 2048, 0, 25_000
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of words and their ids that a worker remembers, with WORD_COST for each besides; beyond half of it, those stay
-#: that were used since the last time.
-MAX_CACHE_BYTES, WORD_COST = 160_000_000, 200
-#: Bytes of text that are split into words at a time (one text at least).
-SPLIT_BYTES = 1 << 21
+#: Bytes of units and their ids that a worker remembers; beyond half of it, those stay that were used since the last time.
+MAX_CACHE_BYTES = 160_000_000
+#: Bytes of text that are cut into units at a time (one word at least).
+SPLIT_BYTES = 1 << 22
 #: Open sequences that are broadcast after they were packed again; more are joined by a shuffle.
 MAX_BROADCAST_OPEN = 500_000
 
@@ -37,51 +35,40 @@ _loaded: dict = {}
 
 
 def word_ids(path: str):
-    """[tokenizer, ids by word, ids by word before those, bytes] of this worker process; ids are little-endian 32-bit numbers."""
+    """[tokenizer, units and their ids, those known before them] of this worker process."""
     if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _loaded[path] = [Tokenizer.from_file(path), {}, {}, 0]
+        _loaded[path] = [Tokens(path), Known(), Known()]
     return _loaded[path]
 
 
-def encoded(raw: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
-    """The ids of each text as bytes.
+def blocks(raw: np.ndarray, off: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) byte of stretches of about `most_bytes` that end at a white space or with a text; one word at least."""
+    a, n = 0, len(raw)
+    while a < n:
+        b, size = n, most_bytes
+        while a + size < n:  # a word longer than that makes it larger
+            ends = np.flatnonzero(is_space(raw[a + 1 : a + size + 1]))[-1:] + a + 1
+            b = max([*ends.tolist(), int(off[np.searchsorted(off, a + size, "right") - 1])])
+            if b > a:
+                break
+            b, size = n, 2 * size
+        yield a, b
+        a = b
 
-    No token of this tokenizer holds white space and none spans it, so the ids of a text are those of its words in turn.
-    """
-    known = word_ids(path)
-    if known[3] > MAX_CACHE_BYTES // 2:
-        known[1:] = {}, known[1], 0
-    tokenizer, cache, before, _ = known
-    data = raw.tobytes()
-    split = [data[a:b].split() for a, b in zip(off[:-1], off[1:])]
-    fresh = [w for w in set().union(*split) if w not in cache]
-    for w in fresh:
-        if w in before:
-            cache[w] = before[w]
-    new = [w for w in fresh if w not in cache]
-    for i in range(0, len(new), 1_000):
-        some = [word_parts(w.decode()) for w in new[i : i + 1_000]]
-        parts = list(set().union(*some))
-        ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
-        cache.update((w, ids[a] + ids[b]) for w, (a, b) in zip(new[i : i + 1_000], some))
-    known[3] += sum(len(w) + len(cache[w]) + WORD_COST for w in fresh)
-    return [b"".join(map(cache.__getitem__, ws)) for ws in split]
-
-
-def word_parts(w: str) -> tuple[str, str]:
-    """A word as two strings whose ids in turn are the word's.
-
-    The tokenizer reads ASCII letters in lower case (its special tokens apart), and a mark behind a letter is a token
-    of its own, unless lower case or normal form end the letter in a combining mark, as none of Latin up to U+017F but
-    U+0130 does.
-    """
-    if w.isascii() and "<|" not in w:
-        w = w.lower()
-    apart = len(w) > 1 and w[-1] in ".,!" and w[-2].isalpha() and w[-2] <= "\u017f" and w[-2] != "\u0130"
-    return (w[:-1], w[-1]) if apart else (w, "")
+
+def encoded(raw: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
+    """The ids of each text as bytes, little-endian 32-bit numbers; a text of any length is encoded in stretches."""
+    known, flat, ends = word_ids(path), [], np.zeros(len(off), np.int64)
+    for a, b in blocks(raw, off, SPLIT_BYTES):
+        if known[1].size > MAX_CACHE_BYTES // 2:
+            known[1:] = Known(), known[1]
+        tokens, now, before = known
+        units, place, odd = cut(raw[a:b], off[(off >= a) & (off < b)] - a)
+        ids, count = ids_of(units, odd, tokens, now, before)
+        flat.append(ids)
+        ends += np.append(0, np.cumsum(count))[np.searchsorted(place, np.clip(off, a, b) - a)]
+    data = np.concatenate(flat).tobytes() if flat else b""
+    return [data[4 * x : 4 * y] for x, y in zip(ends[:-1], ends[1:])]
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -96,8 +83,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         for b in batches:
             raw, off = text_bytes(b.column(1))
             row, piece, start, size, crc = [], [], [], [], []
-            split = (ids for i, j in runs(off, SPLIT_BYTES) for ids in encoded(raw[off[i] : off[j]], off[i : j + 1] - off[i], path))
-            for i, ids in enumerate(split):
+            for i, ids in enumerate(encoded(raw, off, path)):
                 ids += end
                 for k, s in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[s : s + 4 * length]
