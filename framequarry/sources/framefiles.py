@@ -4,6 +4,9 @@ Format `frames`: option `path`, `ext` (png), `ranges` (partitions; 8, more for m
 without it the folder is listed once), `pushdown` (false: filters on frame_index open only the files that they leave; see
 `frame_files`). Writing stages each task's files, and the job's commit moves them once all tasks are whole, so that a job
 that fails shows none; with `staging` (a name) it only tells the folders that are whole, and `moved` moves each one's files.
+With `pack` (a number) the files lie in packs: plain zip archives of the frames of as many numbers, none compressed, so that
+a small frame takes its bytes and some 120 more instead of a block of the disk. Tasks give a pack's frames in order and none
+of another task's packs (`write_files` sees to it). A folder holds packs or single files, and `.packs` marks the former.
 Streaming reads deliver each file once, or with `latest` only the newest one of each trigger.
 
 Format `listed_files`, reading only: option `path`, `recursive` (false), `ends` (what names end in, joined by bars), `info`
@@ -17,15 +20,21 @@ Paths are those of Arrow's file systems: local ones, hdfs, s3, gs, abfs.
 
 from __future__ import annotations
 
+import heapq
+import io
 import json
 import os
 import re
+import struct
 import uuid
+import zipfile
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql.datasource import (
@@ -41,6 +50,8 @@ MOVERS, STAGED = 16, 10_000
 RANGE_FRAMES = 20_000
 #: Rows and bytes of payload of a batch that a reader gives (one row at least).
 BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 23
+#: Frames of a pack, and the file that marks a folder of packs and holds that number.
+PACK_FRAMES, MARK = 10_000, ".packs"
 #: How payloads become the bytes of a file, by name; real encoders register here.
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {"raw": bytes}
 
@@ -83,6 +94,100 @@ def numbers(path: str, ext: str, empty: bool = False) -> np.ndarray:
     return np.unique(np.fromiter((int(n) for n, size in found if n.isascii() and n.isdigit() and (empty or size())), np.int64))
 
 
+def pack_name(k: int, size: int, ext: str) -> str:
+    return f"{k * size:08d}-{(k + 1) * size - 1:08d}.{ext}.zip"
+
+
+def pack_size(path: str) -> int | None:
+    """Numbers that a pack of a folder stands for; none, if the folder holds no packs."""
+    system, root = file_system(path)
+    try:
+        with system.open_input_file(f"{root}/{MARK}") as f:
+            return int(f.read())
+    except FileNotFoundError:
+        return None
+
+
+def packs(path: str, ext: str) -> np.ndarray:
+    """First numbers of a folder's packs, in order."""
+    named = re.compile(rf"(\d{{8,}})-\d{{8,}}\.{re.escape(ext)}\.zip")
+    return np.unique(np.fromiter((int(m[1]) for n, _, _ in entries(path) if (m := named.fullmatch(n))), np.int64))
+
+
+def members(z: zipfile.ZipFile) -> tuple[np.ndarray, list[zipfile.ZipInfo]]:
+    """Numbers of a pack's frames, in order, and where they lie."""
+    found = z.infolist()
+    return np.array([int(x.filename.split(".")[0]) for x in found], np.int64), found
+
+
+def opened(system, path: str) -> io.BufferedReader:
+    return io.BufferedReader(system.open_input_file(path), 1 << 20)
+
+
+def unpacked(system, path: str, first: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A pack's frames of these ranges, in order; a pack that isn't there has none."""
+    try:
+        f = opened(system, path)
+    except FileNotFoundError:
+        return
+    with f, zipfile.ZipFile(f) as z:
+        n, found = members(z)
+        at = np.searchsorted(first, n, "right") - 1
+        for j in np.flatnonzero((at >= 0) & (n < end[at])).tolist():
+            x = found[j]
+            if x.compress_type != zipfile.ZIP_STORED:  # somebody else's
+                yield int(n[j]), z.read(x)
+                continue
+            f.seek(x.header_offset + 26)
+            f.seek(sum(struct.unpack("<HH", f.read(4))), os.SEEK_CUR)
+            data = f.read(x.file_size)
+            if zlib.crc32(data) != x.CRC:
+                raise zipfile.BadZipFile(f"{x.filename} in {path}")
+            yield int(n[j]), data
+
+
+def write_pack(system, target: str, rows: Iterator[tuple[int, bytes]], ext: str, old: str | None = None) -> None:
+    """A pack of rows in order, of equal numbers the last; frames of the pack `old`, if there is one, that rows lack are kept."""
+    kept = unpacked(system, old, np.array([0]), np.array([np.iinfo(np.int64).max])) if old else iter(())
+    with io.BufferedWriter(system.open_output_stream(target), 1 << 20) as f, zipfile.ZipFile(f, "w") as z:
+        for i, same in groupby(heapq.merge(kept, rows, key=itemgetter(0)), itemgetter(0)):
+            z.writestr(zipfile.ZipInfo(file_name(i, ext)), deque(same, 1).pop()[1])
+
+
+def copied(source: str, target: str, staging: str, ext: str, size: int, firsts: Iterator[int]) -> Iterator[str]:
+    """The folder under `target` in which a task has staged packs of `source`, byte by byte where the target has no such pack."""
+    from pyarrow import fs
+
+    (system, root), (other, there) = file_system(source), file_system(target)
+    own = f"{there}/{staging}/{uuid.uuid4().hex}"
+    other.create_dir(f"{own}/000000", recursive=True)
+    for i in firsts:
+        name = pack_name(i // size, size, ext)
+        if other.get_file_info(f"{there}/{name}").type == fs.FileType.NotFound:
+            fs.copy_files(f"{root}/{name}", f"{own}/000000/{name}", source_filesystem=system, destination_filesystem=other)
+        else:
+            rows = (r for r in unpacked(system, f"{root}/{name}", np.array([i]), np.array([i + size])) if r[1])
+            write_pack(other, f"{own}/000000/{name}", rows, ext, f"{there}/{name}")
+    yield own
+
+
+def mark(path: str, size: int) -> None:
+    """Says that a folder holds packs, before it shows any."""
+    system, root = file_system(path)
+    if pack_size(path) is None:
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{MARK}-{(own := uuid.uuid4().hex)}") as f:
+            f.write(str(size).encode())
+        system.move(f"{root}/{MARK}-{own}", f"{root}/{MARK}")
+
+
+def fits(path: str, ext: str, size: int | None) -> None:
+    """Raises if a folder holds frames in another form than packs of `size` (none: single files)."""
+    found = pack_size(path)
+    if found != size and (found or any(n.endswith(f".{ext}") and n[: -len(ext) - 1].isdigit() for n, _, _ in entries(path))):
+        raise ValueError(f"{path} holds {f'packs of {found}' if found else 'single files'}")
+
+
 #: First numbers of ranges and the numbers behind their last, in order.
 Bounds = tuple[np.ndarray, np.ndarray]
 
@@ -169,18 +274,27 @@ def contents(path: str, ext: str, ranges: Ranges) -> Iterator:
     import pyarrow as pa
 
     system, root = file_system(path)
-    index, payload, size = [], [], 0
+    index, payload, size, per = [], [], 0, pack_size(path)
 
     def batch():
         return pa.RecordBatch.from_arrays(
             [pa.array(index, pa.int64()), pa.array([len(x) for x in payload], pa.int64()), pa.array(payload, pa.binary())], names=["frame_index", "length", "payload"])
 
-    for i in ranges.frames():
-        try:
-            with system.open_input_file(f"{root}/{file_name(i, ext)}") as f:
-                data = f.read()
-        except FileNotFoundError:
-            continue
+    def single() -> Iterator[tuple[int, bytes]]:
+        for i in ranges.frames():
+            try:
+                with system.open_input_file(f"{root}/{file_name(i, ext)}") as f:
+                    yield i, f.read()
+            except FileNotFoundError:
+                continue
+
+    def in_packs() -> Iterator[tuple[int, bytes]]:
+        cut = ((k, max(a, k * per), min(b, (k + 1) * per)) for a, b in zip(ranges.first.tolist(), ranges.end.tolist()) for k in range(a // per, (b - 1) // per + 1))
+        for k, some in groupby(cut, itemgetter(0)):
+            _, first, end = zip(*some)
+            yield from unpacked(system, f"{root}/{pack_name(k, per, ext)}", np.array(first), np.array(end))
+
+    for i, data in in_packs() if per else single():
         if data:
             if index and (len(index) >= BATCH_ROWS or size + len(data) > BATCH_BYTES):
                 yield batch()
@@ -199,6 +313,9 @@ class _Reader(RangedReader):
     def there(self) -> Bounds:
         if self.frames:
             return np.array([0]), np.array([int(self.frames)])
+        if self.points is None and (size := pack_size(self.path)):
+            first, end = together(packs(self.path, self.ext) // size)
+            return first * size, end * size
         # a list of frames is read by name, whatever else the folder holds
         return together(numbers(self.path, self.ext, empty=True) if self.points is None else np.array(sorted(self.points), np.int64))
 
@@ -208,9 +325,10 @@ class _Reader(RangedReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's folder, whose files lie in folders of their own."""
+    """A task's folder, whose files lie in folders of their own, and numbers of its packs."""
 
     folder: str
+    packs: list[int]
 
 
 def moved(path: str, own: str, movers: int = 1) -> np.ndarray:
@@ -237,7 +355,7 @@ def moved(path: str, own: str, movers: int = 1) -> np.ndarray:
             names = [n for n, _, _ in entries(part)]
             for _ in (map if movers == 1 else pool.map)(lambda n: move(f"{part}/{n}", f"{root}/{n}"), names):
                 pass
-            found.append(np.array([int(n.split(".")[0]) for n in names], np.int64))
+            found.append(np.array([int(re.match(r"-?\d+", n)[0]) for n in names], np.int64))
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
@@ -261,13 +379,34 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.ext, self.overwrite, self.encoder = options["path"], options.get("ext", "png"), overwrite, options.get("encoder", "raw")
         self.told = "staging" in options
         self.staging = options["staging"] if self.told else f".staging-{uuid.uuid4().hex}"
+        self.pack = int(options["pack"]) if "pack" in options else None
+        fits(self.path, self.ext, self.pack)
+
+    def packed(self, system, root: str, part: str, rows: Iterator[tuple[int, bytes]]) -> Iterator[int]:
+        """Stages packs and tells their numbers."""
+        def in_order() -> Iterator[tuple[int, bytes]]:
+            before = 0
+            for i, data in rows:
+                if i < before:
+                    raise ValueError(f"frame {i} after {before}: packs take frames in order, from 0 on")
+                before = i
+                yield i, ENCODERS[self.encoder](data)
+
+        for k, some in groupby(in_order(), lambda r: r[0] // self.pack):
+            name = pack_name(k, self.pack, self.ext)
+            write_pack(system, f"{part}/{name}", some, self.ext, None if self.overwrite else f"{root}/{name}")
+            yield k
 
     def write(self, iterator) -> Written:
         system, root = file_system(self.path)
         own, encode = f"{root}/{self.staging}/{uuid.uuid4().hex}", ENCODERS[self.encoder]
         system.create_dir(own, recursive=True)
+        done = []
         try:
             rows = ((i, data) for b in iterator for i, data in zip(b.column("frame_index").to_pylist(), b.column("payload").to_pylist()))
+            if self.pack:
+                system.create_dir(f"{own}/000000")
+                done = list(self.packed(system, root, f"{own}/000000", rows))
             for k in range(1_000_000):
                 some = list(islice(rows, 1))
                 if not some:
@@ -280,12 +419,16 @@ class _Writer(DataSourceArrowWriter):
         except BaseException:
             system.delete_dir(own)
             raise
-        return Written(own)
+        return Written(own, done)
 
     def commit(self, messages: list[Written | None]) -> None:
         """Only now tasks are known to be whole."""
         folders = [m.folder for m in messages if m]
         system, root = file_system(self.path)
+        if self.pack:
+            if len(every := [k for m in messages if m for k in m.packs]) > len(set(every)):
+                raise ValueError("frames of one pack in several tasks")
+            mark(self.path, self.pack)
         if self.told:
             system.create_dir(f"{root}/{self.staging}", recursive=True)
             with system.open_output_stream(f"{root}/{self.staging}/whole.json") as f:
@@ -293,8 +436,9 @@ class _Writer(DataSourceArrowWriter):
             return
         new = [moved(self.path, own, MOVERS) for own in folders]
         if self.overwrite:
-            for n in np.setdiff1d(numbers(self.path, self.ext), np.concatenate([np.empty(0, np.int64), *new])).tolist():
-                system.delete_file(f"{root}/{file_name(n, self.ext)}")
+            there = packs(self.path, self.ext) if self.pack else numbers(self.path, self.ext)
+            for n in np.setdiff1d(there, np.concatenate([np.empty(0, np.int64), *new])).tolist():
+                system.delete_file(f"{root}/{pack_name(n // self.pack, self.pack, self.ext) if self.pack else file_name(n, self.ext)}")
         tidy(self.path, self.staging)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -312,6 +456,13 @@ class _StreamReader(DataSourceStreamReader):
         return {"next": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
+        if size := pack_size(self.path):
+            last = packs(self.path, self.ext)[-1:].tolist()
+            system, root = file_system(self.path)
+            for i in last:
+                with opened(system, f"{root}/{pack_name(i // size, size, self.ext)}") as f, zipfile.ZipFile(f) as z:
+                    return {"next": int(members(z)[0][-1]) + 1}
+            return {"next": 0}
         return {"next": int(max(numbers(self.path, self.ext), default=-1)) + 1}
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:

@@ -13,7 +13,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..functions import scalars as S
 from ..operators.versions import Table
-from .framefiles import Bounds, FrameFiles, LatestFrame, ListedFiles, RangedReader, Ranges, moved, tidy, whole
+from .framefiles import (
+    PACK_FRAMES, Bounds, FrameFiles, LatestFrame, ListedFiles, RangedReader, Ranges, copied, fits, mark, moved, pack_size, packs, tidy, whole,
+)
 
 FRAMES = "target_id string, frame_index bigint, height int, width int, payload binary"
 
@@ -165,22 +167,29 @@ def load(spark: SparkSession, path: str, key: str) -> DataFrame:
     return store(spark, path).read().where(F.col("config_key") == key).drop("config_key")
 
 
-def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "raw", mode: str = "append", frame: str = "frame_index", payload: str = "payload", spread: bool = True) -> None:
+def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "raw", mode: str = "append", frame: str = "frame_index", payload: str = "payload", spread: bool = True, pack: bool | None = None) -> None:
     """Frames as files %08d.ext in a folder that all machines share; a job that fails leaves none of its own.
 
-    Frames are dealt out to all tasks by number (unless `spread` is false); once all are staged, tasks move them.
+    Frames are dealt out to all tasks by number (unless `spread` is false); once all are staged, tasks move them. With
+    `pack` the files lie in archives of 10,000 numbers each, which is for many or small frames; without it being said the
+    folder's form goes on, single files in a new one. Writers at once into one pack aren't for packs: the last one's stays.
     """
     spark = frames.sparkSession
     register(spark)
+    size = (pack_size(path) or (PACK_FRAMES if pack else None)) if pack is not False else None
+    options = {"path": path, "ext": ext, "encoder": encoder} | ({"pack": size} if size else {})
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = frames.select(F.col(frame).cast("long").alias("frame_index"), F.length(payload).cast("long").alias("length"), F.col(payload).alias("payload"))
+    if size:
+        rows = rows.repartition(tasks, F.floor(F.col("frame_index") / size)).sortWithinPartitions("frame_index")
     if mode != "append":
-        rows.write.format("frames").options(path=path, ext=ext, encoder=encoder).mode(mode).save()
+        rows.write.format("frames").options(**options).mode(mode).save()
         return
-    if spread:
-        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "frame_index")
+    if spread and not size:
+        rows = rows.repartition(tasks, "frame_index")
     staging = f".staging-{uuid.uuid4().hex}"
     try:
-        rows.write.format("frames").options(path=path, ext=ext, encoder=encoder, staging=staging).mode(mode).save()
+        rows.write.format("frames").options(**options, staging=staging).mode(mode).save()
         if own := whole(path, staging):
             spark.sparkContext.parallelize(own, len(own)).foreach(lambda folder: moved(path, folder))
     finally:
@@ -188,18 +197,31 @@ def write_files(frames: DataFrame, path: str, ext: str = "png", encoder: str = "
 
 
 def copy_files(spark: SparkSession, source: str, target: str, ext: str = "png") -> None:
-    """The frame files of a folder in another one too, by many tasks."""
-    write_files(frame_files(spark, source, ext), target, ext, spread=False)
+    """The frame files of a folder in another one too, by many tasks; packs as they are, into a folder of no other form."""
+    size = pack_size(source)
+    if not size:
+        write_files(frame_files(spark, source, ext), target, ext, spread=False)
+        return
+    fits(target, ext, size)
+    firsts, staging = packs(source, ext).tolist(), f".staging-{uuid.uuid4().hex}"
+    tasks = min(len(firsts), max(4 * spark.sparkContext.defaultParallelism, len(firsts) // 32))
+    try:
+        own = spark.sparkContext.parallelize(firsts, tasks).mapPartitions(lambda some: copied(source, target, staging, ext, size, some)).collect() if tasks else []
+        mark(target, size)
+        if own:
+            spark.sparkContext.parallelize(own, len(own)).foreach(lambda folder: moved(target, folder))
+    finally:
+        tidy(target, staging)
 
 
-def package(frames: DataFrame, output: str, video: bool, encode=None, ext: str = "png", payload: str = "payload") -> tuple[str, str | None]:
+def package(frames: DataFrame, output: str, video: bool, encode=None, ext: str = "png", payload: str = "payload", pack: bool | None = None) -> tuple[str, str | None]:
     """(where the output lies, note). A video by `encode(frames, output)`; without an encoder, and if frames are wanted, files
-    in a folder: for a video that of its name without the extension."""
+    in a folder (in packs, if `pack`): for a video that of its name without the extension."""
     if video and encode:
         encode(frames, output)
         return output, None
     folder = re.sub(r"\.[^./]*$", "", output) if video else output
-    write_files(frames, folder, ext, payload=payload)
+    write_files(frames, folder, ext, payload=payload, pack=pack)
     return folder, "no encoder: frames instead" if video else None
 
 
