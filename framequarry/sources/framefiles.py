@@ -10,7 +10,9 @@ of another task's packs (`write_files` sees to it). A folder holds packs or sing
 Streaming reads deliver each file once, or with `latest` only the newest one of each trigger.
 
 Format `listed_files`, reading only: option `path`, `recursive` (false), `ends` (what names end in, joined by bars), `info`
-(false: sizes and times aren't asked for), `ranges` (8). Tasks list files for themselves and each keeps its share of them.
+(false: sizes and times aren't asked for), `ranges` (8, more for a folder of many packs). Tasks list files for themselves
+and each keeps its share of them. Frames in packs are listed from the packs' own directories, as pack!/frame, with the
+pack's time.
 
 Format `latest_frame`, streaming writes only: option `path`, `ext`, `encoder`. The newest frame so far, encoded once for
 each version.
@@ -52,6 +54,8 @@ RANGE_FRAMES = 20_000
 BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 23
 #: Frames of a pack, and the file that marks a folder of packs and holds that number.
 PACK_FRAMES, MARK = 10_000, ".packs"
+#: Names of packs, with their first and last numbers and what the frames' names end in.
+PACK = re.compile(r"(\d{8,})-(\d{8,})\.([^/]+)\.zip")
 #: How payloads become the bytes of a file, by name; real encoders register here.
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {"raw": bytes}
 
@@ -110,8 +114,7 @@ def pack_size(path: str) -> int | None:
 
 def packs(path: str, ext: str) -> np.ndarray:
     """First numbers of a folder's packs, in order."""
-    named = re.compile(rf"(\d{{8,}})-\d{{8,}}\.{re.escape(ext)}\.zip")
-    return np.unique(np.fromiter((int(m[1]) for n, _, _ in entries(path) if (m := named.fullmatch(n))), np.int64))
+    return np.unique(np.fromiter((int(m[1]) for n, _, _ in entries(path) if (m := PACK.fullmatch(n)) and m[3] == ext), np.int64))
 
 
 def members(z: zipfile.ZipFile) -> tuple[np.ndarray, list[zipfile.ZipInfo]]:
@@ -494,12 +497,12 @@ class FrameFiles(DataSource):
 
 
 class Share(InputPartition):
-    """The files whose paths' hash leaves `value` of all tasks' number."""
+    """The files whose paths' hash leaves the first of `value` of the second, all tasks' number."""
 
 
 class _ListedReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.parts = options["path"], int(options.get("ranges", "8"))
+        self.path, self.parts = options["path"], int(options["ranges"]) if "ranges" in options else None
         self.recursive, self.info = (options.get(x, "false").lower() == "true" for x in ("recursive", "info"))
         self.ends = tuple(options["ends"].split("|")) if "ends" in options else ("",)
 
@@ -509,7 +512,8 @@ class _ListedReader(DataSourceReader):
         system, root = file_system(self.path)
         if system.get_file_info(root).type != fs.FileType.Directory:
             raise FileNotFoundError(f"no folder {self.path}")
-        return [Share(k) for k in range(self.parts)]
+        parts = self.parts or max(8, sum(1 for n, _, _ in entries(self.path) if PACK.fullmatch(n)) // 32 if pack_size(self.path) else 0)
+        return [Share((k, parts)) for k in range(parts)]
 
     def folders(self) -> Iterator[str]:
         """The folder, and all below it that aren't hidden; those that can't be read are passed over."""
@@ -538,13 +542,18 @@ class _ListedReader(DataSourceReader):
 
         system, root = file_system(self.path)
         shown = f"file:{root}" if system.type_name == "local" else self.path.rstrip("/")
+        share, parts = partition.value
 
         def rows() -> Iterator[tuple]:
             for one in self.folders():
+                packed = pack_size(one) is not None
                 try:
                     for name, size, time in entries(one):
-                        at = f"{one}/{name}"
-                        if hidden(name) or not name.endswith(self.ends) or zlib.crc32(at.encode("utf-8", "surrogateescape")) % self.parts != partition.value:
+                        at, pack = f"{one}/{name}", packed and PACK.fullmatch(name)
+                        if hidden(name) or not (pack or name.endswith(self.ends)) or zlib.crc32(at.encode("utf-8", "surrogateescape")) % parts != share:
+                            continue
+                        if pack:
+                            yield from in_pack(at, time)
                             continue
                         try:
                             yield (shown + at[len(root) :], size(), time()) if self.info else (shown + at[len(root) :], None, None)
@@ -553,6 +562,16 @@ class _ListedReader(DataSourceReader):
                 except OSError:
                     continue
 
+        def in_pack(at: str, time: Callable[[], int]) -> Iterator[tuple]:
+            try:
+                with opened(system, at) as f, zipfile.ZipFile(f) as z:
+                    found, told = z.infolist(), time() if self.info else None
+            except FileNotFoundError:  # it went
+                return
+            except OSError as e:  # too many frames to pass over
+                raise RuntimeError(f"can't read the pack {at}") from e
+            yield from ((f"{shown}{at[len(root) :]}!/{x.filename}", x.file_size if self.info else None, told) for x in found if x.filename.endswith(self.ends))
+
         todo = rows()
         while some := list(islice(todo, STAGED)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.int64(), pa.int64()))], names=["path", "length", "mtime_ms"])

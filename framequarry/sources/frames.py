@@ -42,7 +42,7 @@ def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = No
     """path, length, mtime, ext, kind of media files under a folder; unreadable entries are passed over.
 
     Names are filtered before any file is asked for its size; contents are never read. Tasks list the folder, so that its
-    files' names don't go through the driver.
+    files' names don't go through the driver. Frames in packs are listed one by one.
     """
     register(spark)
     exts = S.normal_extensions(extensions or ()) or S.VIDEO + S.IMAGE

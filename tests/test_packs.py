@@ -126,3 +126,26 @@ def test_frame_ranges_files(spark, tmp_path, monkeypatch):
     """A thousand frames in packs of ten, and those of them that are copied."""
     n, files = files_of(spark, tmp_path, monkeypatch, "frame_ranges")
     assert n == 167 + 5 + 143 and files <= 2 * (100 + 1)
+
+
+def test_frame_files_files(spark, tmp_path, monkeypatch):
+    """A thousand frames in packs of ten, listed one by one."""
+    n, files = files_of(spark, tmp_path, monkeypatch, "frame_files")
+    assert n == 1000 and files <= 101
+
+
+def test_listed_in_packs(spark, tmp_path):
+    """Frames in packs are listed as those beside packs are: by name, with lengths, empty ones only where they are asked for."""
+    some = pictures(spark, 25).withColumn("payload", F.when(F.col("frame_index") == 8, b"").otherwise(F.col("payload")))
+    frames.write_files(some, str(tmp_path / "a" / "b"), pack=True)
+    frames.write_files(pictures(spark, 3, start=100), str(tmp_path / "a" / "b"), ext="JPG")
+    frames.write_files(pictures(spark, 3, start=200), str(tmp_path / "a"))
+    (tmp_path / "a" / "00000000-00000009.png.zip").write_bytes(b"no pack: its folder holds single files")
+    rows = frames.scan(spark, str(tmp_path), (".png",)).collect()
+    number = lambda r: int(r.path.rsplit("/", 1)[1].split(".")[0])
+    assert sorted(map(number, rows)) == [*(i for i in range(25) if i != 8), 200, 201, 202] and {(r.ext, r.kind) for r in rows} == {("png", "image")}
+    assert all(r.length == len(f"frame{number(r)}") for r in rows)
+    pack = tmp_path / "a" / "b" / "00000010-00000019.png.zip"
+    assert {int(r.mtime.timestamp() * 1000) for r in rows if f"{pack}!/" in r.path} == {pack.stat().st_mtime_ns // 1_000_000}
+    assert sorted(map(number, frames.scan(spark, str(tmp_path), ("jpg",)).collect())) == [100, 101, 102]
+    assert sorted(r.frame_index for r in frames.cached(spark, str(tmp_path / "a" / "b")).collect()) == [*range(25), 100, 101, 102]
